@@ -51,6 +51,23 @@ def unsettle(df: DataFrame | None) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Row numbers that may be broadcast: 8 MB of them.
+MOST_SENT = 1_000_000
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with _row, a number of its own for each row. The same for each job over the same files, and after a task is
+    run again."""
+    return df.withColumn("_row", F.monotonically_increasing_id())
+
+
+def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
+    """A numbered df less the rows in dropped (a settled table of _row). Few are sent to all tasks, so that texts
+    stay where they are; more than MOST_SENT are joined by a shuffle."""
+    few = dropped.count() <= MOST_SENT
+    return df.join(F.broadcast(dropped) if few else dropped, "_row", "left_anti").drop("_row")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, whatever the locale."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
