@@ -53,24 +53,29 @@ def window_hashes(words: Column, width: int = 5) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(*(F.element_at(words, i + k) for k in range(width))))
 
 
-def n_repeat_words(hashes: Column, width: int = 5) -> Column:
-    """Words that lie in a window found twice or more, from the windows' hashes: repeated windows start at positions
-    p1 < p2 < ..., and each adds the words that the one before didn't reach."""
-    places = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(places)
-    same = lambda i, j: F.coalesce(F.get(places, i)["h"] == F.get(places, j)["h"], F.lit(False))
-    starts = F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: same(i, i - 1) | same(i, i + 1)), lambda i: F.get(places, i)["i"]))
-    added = F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).alias("last")), lambda acc, s: F.struct((acc["n"] + F.least(F.lit(width), s - acc["last"])).alias("n"), s.alias("last")))
-    return added["n"]
+def with_repeats(df: DataFrame, windows: str, name: str, width: int = 5) -> DataFrame:
+    """df with the number of words that lie in a window found twice or more, from an array column of windows' hashes.
+
+    Repeated windows start at positions p1 < p2 < ..., and each adds the words that the one before didn't reach. Only
+    texts with a repeated window are sorted. Arrays that lambdas look into are columns, so they are made once a row.
+    """
+    some = F.size(F.array_distinct(windows)) < F.size(windows)
+    out = df.withColumn("_places", F.when(some, F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda i, j: F.coalesce(F.get("_places", i)["h"] == F.get("_places", j)["h"], F.lit(False))
+    twice = F.filter(F.sequence(F.lit(0), F.size("_places") - 1), lambda i: same(i, i - 1) | same(i, i + 1))
+    starts = F.array_sort(F.transform(twice, lambda i: F.get("_places", i)["i"]))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).alias("last"))
+    added = F.aggregate(starts, zero, lambda acc, s: F.struct((acc["n"] + F.least(F.lit(width), s - acc["last"])).alias("n"), s.alias("last")))
+    return out.withColumn(name, F.when(F.col("_places").isNotNull(), added["n"]).otherwise(F.lit(0).cast("long"))).drop("_places")
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words instead of the text."""
     text = F.col(text_col)
     words = F.filter(F.split(text, f"[{SPACES}]+", -1), lambda w: w != "")
-    out = docs.withColumns(base_statistics(text)).withColumn("_windows", F.when(F.col("n_words") >= 5, window_hashes(words)))
-    repeats = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), n_repeat_words(F.col("_windows")))
-    return out.withColumn("n_repeat_words", F.coalesce(repeats, F.lit(0)).cast("long")).drop("_windows", text_col)
+    out = docs.withColumns(base_statistics(text)).withColumn("_words", F.when(F.col("n_words") >= 5, words))
+    out = out.withColumn("_windows", F.when(F.col("_words").isNotNull(), window_hashes(F.col("_words"))))
+    return with_repeats(out, "_windows", "n_repeat_words").drop("_windows", "_words", text_col)
 
 
 def transformed() -> dict[str, Column]:
