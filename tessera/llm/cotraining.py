@@ -29,11 +29,13 @@ LABELLED = 6_000
 HELD = 4
 #: Rounds, and pseudo-labels of each class that a view gives the other in each.
 ROUNDS, EXCHANGED = 2, 250
+#: Least calibrated logit of a pseudo-label: a view that can't tell gives none.
+SURE = 3.0
 #: Hashed features of words and of metadata.
 TEXT_BITS, META_BITS = 14, 12
-#: Documents are kept down to the combined score that this share of the good calibration documents reaches, if that is
-#: under one half.
-KEEP = 0.995
+#: Documents are kept down to the combined score that this share of the good calibration documents reaches, or down to
+#: AT_MOST if that is less: a good document lost costs more than a bad one kept.
+KEEP, AT_MOST = 0.995, 0.35
 #: Words whose bucket a worker remembers.
 MEMO = 300_000
 
@@ -55,7 +57,7 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 #: Measures of form, after the hashed words: each is a share or a logarithm, scaled to about 0 to 1.
-FORMS = 8
+FORMS = 9
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -79,11 +81,12 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         min(1.0, 2 * upper / letters),
         min(1.0, 4 * digits / letters),
         min(1.0, 8 * raw.count(b"!") / letters),
+        min(1.0, 4 * sum(map(bytes.__eq__, words, words[1:])) / n),
         1 - len(set(lines)) / max(1, len(lines)),
         1 - len(set(fives)) / max(1, len(fives)),
     ]
     idx = np.concatenate((at, (1 << TEXT_BITS) + np.arange(FORMS)))
-    return idx, np.concatenate((tf / norm, np.array(forms) * 2))
+    return idx, np.concatenate((tf / norm, np.array(forms) * 4))
 
 
 def meta_features(meta: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -209,14 +212,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text_y, meta_y = fit_y, fit_y
     views.text.fit(fit_text, text_y)
     views.meta.fit(fit_meta, meta_y)
+    held_y = y[place]
+
+    def calibrate() -> dict[str, np.ndarray]:
+        raw = {k: np.array([v.raw((i, x)) for i, x, h in zip(r.idx, r.val, place) if h]) for k, v, r in (("t", views.text, text), ("m", views.meta, meta))}
+        views.text.calibrate(raw["t"], held_y)
+        views.meta.calibrate(raw["m"], held_y)
+        return raw
+
     taken: set[int] = set()
     for _ in range(ROUNDS):
+        calibrate()
         scored = settle(_scores(given.join(votes, "_id", "left_anti"), views))
         for view, others in (("t", "meta"), ("m", "text")):
-            # Of both ends of a view's scores the surest documents; ties stand in order of a hash.
+            # Of both ends of a view's scores the surest documents, if sure enough; ties stand in order of a hash.
             new: dict[int, int] = {}
             for label, order in ((1, F.desc(view)), (0, F.asc(view))):
-                best = scored.filter(F.col("_id").isNotNull() & ((F.col(view) > 0) if label else (F.col(view) < 0))).orderBy(order, F.xxhash64("_id"), "_id").limit(EXCHANGED).collect()
+                best = scored.filter(F.col("_id").isNotNull() & ((F.col(view) > SURE) if label else (F.col(view) < -SURE))).orderBy(order, F.xxhash64("_id"), "_id").limit(EXCHANGED).collect()
                 new |= {r["_id"]: label for r in best if r["_id"] not in taken and r["_id"] not in new}
             if new:
                 more = fetch(new)
@@ -231,16 +243,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         unsettle(scored)
         views.text.fit(fit_text, text_y)
         views.meta.fit(fit_meta, meta_y)
-    held_y = y[place]
-    raw = {k: np.array([v.raw((i, x)) for i, x, h in zip(r.idx, r.val, place) if h]) for k, v, r in (("t", views.text, text), ("m", views.meta, meta))}
-    views.text.calibrate(raw["t"], held_y)
-    views.meta.calibrate(raw["m"], held_y)
+    raw = calibrate()
     share = (held_y.sum() + 1) / (len(held_y) + 2)
     views.prior = float(np.log(share / (1 - share)))
     logits = [np.clip(v.scale * raw[k] + v.shift, -30, 30) for k, v in (("t", views.text), ("m", views.meta))]
     both = 1 / (1 + np.exp(-np.clip(logits[0] + logits[1] - views.prior, -30, 30)))
     good = np.sort(both[held_y > 0])
-    views.least = float(min(0.5, good[int((1 - KEEP) * len(good))])) if len(good) else 0.0
+    views.least = float(min(AT_MOST, good[int((1 - KEEP) * len(good))])) if len(good) else 0.0
     return views
 
 
