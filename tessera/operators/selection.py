@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import max_surprisal
+from .tables import numbered_rows
 
 
 def n_lines(text: Column) -> Column:
@@ -90,10 +91,9 @@ def split_by_program(examples: DataFrame, program: Column, fraction: float, orde
     """examples with split: the first max(1, floor(n * fraction)) programs in the given order are val, the rest train. A
     program never is on both sides."""
     named = examples.withColumn("_program", program)
-    # One row for each program; the cut is a rank, so ranks are made in ranges of the order's leading bits.
-    programs = named.groupBy("_program").agg(F.min(order).alias("_o"))
-    n = programs.count()
-    cut = programs.orderBy("_o", "_program").limit(max(1, math.floor(n * fraction)) if n else 0).select("_program", F.lit("val").alias("_split"))
+    # One row for each program, ranked over ranges of the order: no task sees all programs.
+    programs = numbered_rows(named.groupBy("_program").agg(F.min(order).alias("_o")).withColumn("_place", F.struct("_o", "_program")), "_place")
+    cut = programs.filter(F.col("_n") < max(1, math.floor(programs.count() * fraction))).select("_program", F.lit("val").alias("_split"))
     return named.join(cut, "_program", "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_program", "_split")
 
 

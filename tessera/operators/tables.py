@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,13 @@ class Steps:
 
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.parts)
+
+
+def numbered_rows(rows: DataFrame, order: str) -> DataFrame:
+    """rows with _n from 0 in an order, through one range shuffle: ranges are numbered on their own, from starts that
+    come from a count for each range. The ranged rows are written, as ranges made again might be cut elsewhere."""
+    ranged = Steps(rows.sparkSession).add(rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("c"))  # a row for each partition
+    starts = sizes.withColumn("_s", F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_s", F.lit(0)).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    return ranged.withColumn("_i", inside).join(F.broadcast(starts), "_p").withColumn("_n", F.col("_i") + F.col("_s")).drop("_i", "_s", "_p")

@@ -7,6 +7,8 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import numbered_rows
+
 #: Schemas of a checkpoint's tables.
 SCHEMAS = {
     "objects": "path string, type string, parents array<string>, content binary, properties map<string,string>, interestingness double",
@@ -114,17 +116,6 @@ def write_examples(rows: DataFrame, prefix: str, where: str, order: str) -> None
     numbered_rows(rows, order).withColumn("path", F.format_string("%s_%06d", F.lit(prefix), F.col("_n"))).drop("_n").write.mode("overwrite").parquet(where)
 
 
-def numbered_rows(rows: DataFrame, order: str) -> DataFrame:
-    """rows with _n from 0 in an order, through one range shuffle."""
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("c"))  # a row for each partition
-    starts = sizes.withColumn("_s", F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_s", F.lit(0)).alias("_s"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return ranged.withColumn("_i", inside).join(F.broadcast(starts), "_p").withColumn("_n", F.col("_i") + F.col("_s")).drop("_i", "_s", "_p")
-
-
 def materialized(objects: DataFrame) -> DataFrame:
     """path, content of the files that a store gives: each object's own, and with a history its older versions as .v1,
     .v2, ... from the oldest. A path that leaves the folder is an error."""

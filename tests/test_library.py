@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import programs, text
 from tessera.operators import records, selection, stats, store
+from tessera.operators.tables import numbered_rows
 from tessera.sources import io
 from tessera.streaming import calls
 
@@ -94,7 +95,7 @@ def test_checkpoint_and_files(spark, tmp_path):
     assert io.write_files(files, str(tmp_path / "out")) == 3 and (tmp_path / "out/a/b.dfy").read_bytes() == b"three"
     assert io.program_files(spark, str(tmp_path / "out")).first()["name"] == "b"
     assert io.programs_in(spark, str(tmp_path / "out/a")).select("language").first()[0] == "dafny"
-    numbered = io.numbered_rows(spark.range(50).withColumn("o", -F.col("id")), "o")
+    numbered = numbered_rows(spark.range(50).withColumn("o", -F.col("id")), "o")
     assert values(numbered.select("_n", "id")) == sorted(((49 - k, k) for k in range(50)), key=repr)
 
 
