@@ -28,6 +28,7 @@ def test_text(spark):
     assert get(text.run_label(lit("Ours:a/b.pkl"))) == "Ours" and get(text.run_label(lit("a/b.pkl"))) == "b"
     props = F.create_map(lit("a"), lit("1"), lit("b"), lit("false"))
     assert get(text.property_filter(props, ["a", "a=1"])) and not get(text.property_filter(props, ["b"])) and not get(text.property_filter(props, ["c"]))
+    assert get(text.n_tokens(lit("abcde"))) == 2 and get(text.shorter_than(lit("abcde"), 3))
     assert get(text.annotations(lit("  invariant x > 0\nassert y"), "invariant")) == ["x > 0"]
 
 
