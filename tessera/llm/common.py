@@ -68,6 +68,19 @@ def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
     return df.join(F.broadcast(dropped) if few else dropped, "_row", "left_anti").drop("_row")
 
 
+def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of df with the largest counts, at most `most` of them: down to the lowest step of the counts' logarithm
+    that still fits whole. Only a row for each step comes to the driver."""
+    step = F.floor(F.log2(F.col(count)) * 16)
+    left, least = most, None
+    for r in df.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():  # 64 * 16 rows at most
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["s"]
+    return df.filter(step >= least) if least is not None else df.limit(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, whatever the locale."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -13,15 +13,15 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, settle, table
+from .common import frequent, map_rows, settle, table
 from .pieces import default_model, model
 
 #: Pre-tokens whose counts are sent to all tasks. Bounds that broadcast, and nothing else.
-HOT = 100_000
+HOT = 400_000
 #: A longer pre-token isn't sent (bounds the broadcast's bytes); it takes the other way.
 HOT_CHARS = 64
 #: Distinct pre-tokens that a task holds before it passes their frequencies on.
-HELD = 300_000
+HELD = 500_000
 
 
 def pretoken_frequencies(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
@@ -72,8 +72,8 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     counted = settle(count_pieces(pretoken_frequencies(docs, model_path, text_col), model_path))
-    hot_rows = counted.filter(F.length("pretoken") <= HOT_CHARS).orderBy(F.desc("n"), "pretoken").limit(HOT).select("pretoken", "pieces").toPandas()
-    hot = spark.sparkContext.broadcast(dict(zip(hot_rows["pretoken"], hot_rows["pieces"].tolist())))
+    hot_rows = frequent(counted.filter(F.length("pretoken") <= HOT_CHARS), "n", HOT).select("pretoken", "pieces").toArrow()
+    hot = spark.sparkContext.broadcast(dict(zip(hot_rows["pretoken"].to_pylist(), hot_rows["pieces"].to_pylist())))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -89,7 +89,8 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                             rest[p] = rest.get(p, 0) + 1
                         else:
                             total += k
-                yield row, i, size, total, None, None
+                # A key of its own deals this row out like the others; what it might match doesn't count, as known is set.
+                yield row, i, size, total, f"\0{row}", None
                 for p, n in rest.items():
                     yield row, None, None, None, p, n
 
@@ -97,17 +98,10 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     # A row's number within its partition of the input: equal after a task is run again, as the files are.
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_bytes"), F.col(text_col).alias("_text"))
-    mapped = settle(map_rows(numbered, make, f"_row long, _id {kind}, n_bytes long, known long, pretoken string, freq int"))
-    rare = (
-        mapped.filter(F.col("pretoken").isNotNull())
-        .select("_row", "pretoken", "freq")
-        .join(counted.select("pretoken", "pieces"), "pretoken")
-        .select("_row", F.lit(None).cast(kind).alias("_id"), F.lit(None).cast("long").alias("n_bytes"), (F.col("freq") * F.col("pieces")).cast("long").alias("known"))
-    )
-    own = mapped.filter(F.col("pretoken").isNull()).select("_row", "_id", "n_bytes", "known")
+    mapped = map_rows(numbered, make, f"_row long, _id {kind}, n_bytes long, known long, pretoken string, freq int")
+    joined = mapped.join(counted.select("pretoken", "pieces"), "pretoken", "left").withColumn("known", F.coalesce("known", (F.col("freq") * F.col("pieces")).cast("long")))
     return (
-        own.unionByName(rare)
-        .groupBy("_row")
+        joined.groupBy("_row")
         .agg(F.max("_id").alias(id_col), F.max("n_bytes").alias("n_bytes"), F.sum("known").alias("n_tokens"))
         .select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
