@@ -19,14 +19,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, settle, table
+from .common import frequent, map_rows, settle, table
 
 #: Words with a class of their own choice, endings that other words share, and classes.
 ITEMS, ENDINGS, CLASSES = 1024, 256, 48
 #: Rounds of exchange at most.
 ROUNDS = 8
 #: Words whose counts all tasks are sent, and the length of a longer one that isn't.
-HOT, HOT_BYTES = 100_000, 64
+HOT, HOT_BYTES = 65_536, 64
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 300_000
 #: The end token, which no word can be.
@@ -213,14 +213,14 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[ClassModel, DataFram
     """The model of all rows, and their words' counts (word, c) as a table."""
     spark = docs.sparkSession
     counts = settle(word_counts(docs, text_col))
-    top = counts.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT).toPandas()
-    hot = dict(zip(top["word"], top["c"].tolist()))
-    words = [w for w in top["word"].head(ITEMS + 1) if w != END][:ITEMS] + [END]
+    top = frequent(counts.filter(F.octet_length("word") <= HOT_BYTES), "c", HOT).select("word", "c").toArrow()
+    hot = dict(sorted(zip(top["word"].to_pylist(), top["c"].to_pylist()), key=lambda x: (-x[1], x[0])))
+    words = [w for w in list(hot)[: ITEMS + 1] if w != END][:ITEMS] + [END]
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     items = Items(words)
-    cells = item_bigrams(docs, text_col, words).toPandas()
+    cells = item_bigrams(docs, text_col, words).toArrow()
     bigrams = np.zeros((items.n, items.n))
-    bigrams[cells["i"].to_numpy(np.int64), cells["j"].to_numpy(np.int64)] = cells["n"].to_numpy()
+    bigrams[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["n"].to_numpy()
     of = exchange(bigrams)
     k = int(of.max()) + 1
     counted, kinds = np.zeros(k), np.zeros(k)
