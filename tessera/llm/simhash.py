@@ -7,11 +7,13 @@ node. A shard of more than SHARD fingerprints is cut into trees of that size, an
 hold the shard's other parts. Within a task links already implied by others aren't given out, so a dense group gives
 about as many links as it has members, and components then join them across tasks.
 
-near_duplicates() uses the same trees for groups by similarity of word shingles, which fingerprints alone can't tell.
+near_duplicates() uses the same trees to join most texts of similar word shingles, then an exact prefix filter finds the
+pairs that trees can't reach.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations, groupby
 
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, numbered, settle, table, without
+from .common import frequent, map_rows, numbered, settle, table, unsettle, without
 from .graph import components
 
 BITS = 64
@@ -208,11 +210,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
 
 
-#: Near-duplicates by similarity. Pairs of the least similarity have fingerprints at 10 bits on average.
+#: Near-duplicates by similarity, first pass. Pairs of the least similarity have fingerprints at 10 bits on average, but
+#: farther ones if shingles repeat; what lies beyond is left to the second pass.
 REACH = 28
 #: Shards for similarity: anchors, each made of ROWS minima of hash functions over a text's shingles. A pair at 0.8
-#: shares an anchor with a probability of 1 - (1 - 0.8 ** 3) ** 12, over 0.9998.
+#: shares an anchor with a probability of 1 - (1 - 0.8 ** 3) ** 12, over 0.9998; the second pass finds the others.
 ANCHORS, ROWS = 12, 3
+#: Second pass: shingles that are in OFTEN or more of one in SAMPLE texts come last in the order of shingles, at most
+#: COMMON of them. This decides how many candidates there are, never which pairs are found.
+SAMPLE, OFTEN, COMMON = 16, 4, 65_536
 
 
 def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,14 +283,100 @@ def similar_links(width: int, similarity: float):
     return lambda: work
 
 
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Hashes of the most frequent shingles in a sample of texts (columns node, _text), the rarer first."""
+
+    def make():
+        def step(cols):
+            for (t,) in zip(*cols):
+                yield (np.unique(shingle_hashes(t, width)).view(np.int64).tolist(),)
+
+        return step
+
+    some = texts.filter(F.pmod(F.xxhash64("node", F.lit(17)), F.lit(SAMPLE)) == 0).select("_text")
+    each = map_rows(some, make, "own array<long>", rows=5_000).select(F.explode("own").alias("h"))
+    counts = settle(each.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN))
+    rows = frequent(counts, "n", COMMON).toArrow()  # COMMON rows at most
+    unsettle(counts)
+    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    return h[np.lexsort((h, n))]
+
+
+def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> list[int]:
+    """The first shingles of a set in an order that is the same for all sets: others by hash, then common ones by rank.
+    Sets of the similarity or more share one of these. common is sorted, with the rank of each."""
+    n = len(own)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        known = common[at] == own
+        own = np.concatenate((own[~known], own[known][np.argsort(ranks[at[known]])]))
+    return own[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64).tolist()
+
+
+def prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """node, size, own (the prefix of the text's shingles) of texts (columns node, _text)."""
+    order = np.argsort(common)
+    keys, ranks = common[order], order
+
+    def make():
+        def step(cols):
+            for i, t in zip(*cols):
+                own = np.unique(shingle_hashes(t, width))
+                if len(own):
+                    yield i, len(own), prefix(own, keys, ranks, similarity)
+
+        return step
+
+    return map_rows(texts.select("node", "_text"), make, "node long, size int, own array<long>", rows=5_000)
+
+
+def missed_links(texts: DataFrame, labels: DataFrame, width: int, similarity: float) -> DataFrame:
+    """a, b: the pairs of texts (node, _text) of the similarity or more that labels (node, _group) don't join yet.
+
+    Exact: the first shingle that such a pair has in common lies in both prefixes, and what follows it in the shorter
+    remainder is all that they can share besides.
+    """
+    own = prefixes(texts, width, similarity, common_shingles(texts, width))
+    rows = settle(own.join(labels, "node").select("node", "_group", "size", F.posexplode("own").alias("at", "shingle")))
+    # Only shingles of more than one group can link anything; most are of one text.
+    shared = settle(rows.groupBy("shingle").agg(F.min("_group").alias("lo"), F.max("_group").alias("hi")).filter("lo <> hi").select("shingle"))
+    left = settle(rows.join(shared, "shingle"))
+    right = left.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("node", "_group", "size", "at")))
+    most = F.least(F.col("size") - F.col("at"), F.col("size_2") - F.col("at_2"))  # with the shingle itself
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_2")) - 1e-6)
+    pairs = left.join(right, "shingle").filter((F.col("node") < F.col("node_2")) & (F.col("_group") != F.col("_group_2")) & (most >= least))
+    pairs = settle(pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct())
+    for done in (rows, shared, left):
+        unsettle(done)
+
+    def make():
+        last = [None, None]
+
+        def step(cols):
+            for a, b, s, t in zip(*cols):
+                if last[0] != a:  # pairs come in order of a
+                    last[:] = a, np.unique(shingle_hashes(s, width))
+                mine, theirs = last[1], np.unique(shingle_hashes(t, width))
+                shared = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if shared >= similarity * (len(mine) + len(theirs) - shared):
+                    yield a, b
+
+        return step
+
+    side = lambda n: texts.select(F.col("node").alias(n), F.col("_text").alias(f"_text_{n}"))
+    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "_text_a", "_text_b")
+    return map_rows(full.sortWithinPartitions("a"), make, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_row, _group, _keep for each row of docs, which has a _row: the least _row of its group, and whether it is the one
     with the group's smallest id, null last, and of equal ids the first.
 
     Linked are texts whose sets of `width`-word shingles, in lower case, have a Jaccard similarity of `similarity` or
     more; groups are connected by links. Texts with the same words are one node before anything is compared, wordless
-    and null ones too. Shards come from shared anchors, as shards of fingerprint blocks can't reach the ten bits or more
-    that such pairs differ by; within a shard BK-trees find who is near, and whole shingle sets decide.
+    and null ones too. In a first pass shards come from shared anchors, as shards of fingerprint blocks can't reach the
+    ten bits or more that such pairs differ by; within a shard BK-trees find who is near, and whole shingle sets decide.
+    A second pass finds every pair that the first left in two groups, by prefixes of shingle sets.
     """
     found = settle(sketches(docs, width, "_row", text_col))
     same_words = F.min(F.struct("_row", "fingerprint", "anchors"))  # equal words: equal fingerprints and anchors
@@ -297,6 +389,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     texts = docs.select("_row", F.col(text_col).alias("_text")).join(settle(dealt.select(F.col("node").alias("_row")).distinct()), "_row", "left_semi")
     full = dealt.join(settle(texts), F.col("node") == F.col("_row"))
     joined = components(settle(runs(full, "shard", ["fingerprint", "node", "_text"], similar_links(width, similarity), "a long, b long")))
+    known = settle(nodes.filter("anchors IS NOT NULL").select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("_group")))
+    whole = docs.select(F.col("_row").alias("node"), F.col(text_col).alias("_text")).join(known.select("node"), "node", "left_semi")
+    missed = settle(missed_links(whole, known, width, similarity))
+    joined = components(missed.unionByName(joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
     labels = settle(nodes.select("class", "node").join(joined, "node", "left").select(F.col("class").alias("_class"), F.coalesce("component", "node").alias("_group")))
     ids = docs.select(F.col("_row").alias("_r"), F.col(id_col).alias("_id"))
     placed = settle(found.select("_row", "class").join(labels, F.col("class") == F.col("_class")).select("_row", "_group").join(ids, F.col("_row") == F.col("_r")))

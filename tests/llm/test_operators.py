@@ -315,6 +315,41 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert kept == set(want.values())
 
 
+def test_near_duplicates_with_a_repeated_phrase(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(6):
+        own = [f"w{rng.randrange(50_000)}" for _ in range(4_000)]
+        phrase = [f"p{rng.randrange(50_000)}" for _ in range(5)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own + phrase * 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    far = [(simhash.fold(simhash.shingle_hashes(rows[k][1], 5)) ^ simhash.fold(simhash.shingle_hashes(rows[k + 1][1], 5))) & (2**64 - 1) for k in range(0, 12, 2)]
+    assert max(x.bit_count() for x in far) > simhash.REACH  # else the test tests nothing
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(df).collect()) == [0, 2, 4, 6, 8, 10]
+
+
+@pytest.mark.parametrize("often", [2, 10**9])
+def test_missed_links_are_all_similar_pairs(spark, monkeypatch, often):
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    rng = random.Random(6)
+    line = [f"c{k}" for k in range(12)]  # in every other text
+    rows = []
+    for k in range(40):
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 5, 6, 30, 80]))] + line * (k % 2)
+        rows.append(w)
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randint(0, 2)):
+                v[rng.randrange(len(v))] = "changed"
+            rows.append(v + [f"t{rng.randrange(5)}"] * rng.randint(0, 2))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in rows]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "node long, _text string")
+    found = simhash.missed_links(texts, texts.select("node", F.col("node").alias("_group")), 5, 0.8)
+    assert len(want) > 40 and {tuple(r) for r in found.collect()} == want
+
+
 def test_near_duplicates_edges(spark, odd):
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6, 7, 8]
