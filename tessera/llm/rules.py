@@ -25,7 +25,8 @@ DIMENSIONS = {"x_words": 0.25, "x_length": 0.005, "x_symbols": 0.001, "x_lines":
 SHARE = 0.75
 #: Concentration steps from each start. Steps beyond change next to nothing.
 STEPS = 4
-#: Groups with fewer documents are judged together with the others of their language; still fewer: nothing is rejected.
+#: Groups with fewer documents are judged by an estimate from all of their language; languages with fewer, by one from all
+#: documents.
 LEAST = 60
 #: Squared distance beyond which a document goes: far out, as the statistics aren't normal.
 CUT = 60.0
@@ -171,7 +172,7 @@ def estimates(stats: DataFrame, names: list[str], small: bool) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, the statistics, base_failed, distance (null where nothing is estimated), kept; a row for each row.
+    """doc_id, the statistics, base_failed, distance (null where the base rules fail), kept; a row for each row.
 
     A null text has no words and fails the base rules. Null languages and sources are values like others. Repeated
     rows are judged alike. An empty table gives an empty one.
@@ -194,18 +195,25 @@ def _verdicts(stats: DataFrame) -> DataFrame:
     # Names of groups are hashes of JSON, in which null is a value of its own.
     pair = F.md5(F.to_json(F.struct("_lang", "_source"), {"ignoreNullFields": "false"}))
     language = F.md5(F.to_json(F.struct("_lang"), {"ignoreNullFields": "false"}))
-    large = settle(passed.groupBy(pair.alias("_pair")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST).select("_pair", F.lit(True).alias("_large")))
-    small = large.count() <= SMALL
+    counts = settle(passed.groupBy(pair.alias("_pair"), language.alias("_language")).agg(F.count("*").alias("_n")))
+    # A language's own documents all count, those of its large groups too.
+    languages = counts.groupBy("_language").agg(F.sum("_n").alias("_of_language"), F.max((F.col("_n") < LEAST).cast("int")).alias("_short"))
+    sized = counts.join(languages, "_language")
+    own = F.when(F.col("_n") >= LEAST, F.col("_pair")).when(F.col("_of_language") >= LEAST, F.col("_language")).otherwise(F.lit("all"))
+    # _asks: the language's documents are also what some group of it is judged by.
+    placed = settle(sized.select("_pair", "_language", own.alias("grp"), ((F.col("_short") == 1) & (F.col("_of_language") >= LEAST)).alias("_asks")))
+    small = placed.count() <= SMALL
     hint = F.broadcast if small else (lambda df: df)
-    grouped = settle(passed.withColumn("_pair", pair).join(hint(large), "_pair", "left").withColumn("grp", F.when(F.col("_large"), F.col("_pair")).otherwise(language)))
-    pooled = grouped.filter(F.col("_large").isNull()).groupBy("grp").agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST).select("grp", F.lit(True).alias("_enough"))
-    narrow = grouped.select("grp", "_large", *names)
-    narrow = settle(narrow.join(pooled, "grp", "left").filter(F.col("_large") | F.col("_enough")).select("grp", *names))
+    everyone = not placed.filter("grp = 'all'").isEmpty()
+    grouped = settle(passed.withColumn("_pair", pair).join(hint(placed), "_pair"))
+    parts = [F.when(F.col("grp") == F.col("_pair"), F.col("_pair")), F.when(F.col("_asks"), F.col("_language"))]
+    parts += [F.lit("all")] if everyone else []
+    narrow = settle(grouped.select(F.explode(F.array_compact(F.array(*parts))).alias("grp"), *names))
     found = settle(estimates(narrow, names, small))
     judged = grouped.join(hint(found), "grp", "left").withColumn("distance", F.when(F.col("s").isNotNull(), _squared(names)))
-    own = [c for c in stats.columns if c not in names]
-    failed = stats.filter("base_failed").select(*own, F.lit(None).cast("double").alias("distance"))
-    return judged.select(*own, "distance").unionByName(failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT))
+    kept = [c for c in stats.columns if c not in names]
+    failed = stats.filter("base_failed").select(*kept, F.lit(None).cast("double").alias("distance"))
+    return judged.select(*kept, "distance").unionByName(failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,19 @@ def test_rules_base(spark, docs, odd):
     assert rules.keep_good(odd).columns == odd.columns
 
 
+def test_rules_judge_small_groups(spark):
+    rng = random.Random(8)
+    plain = lambda: " ".join(f"w{rng.randrange(9_000)}" for _ in range(rng.randint(40, 80)))
+    junk = " ".join(f"w{k} #$%&|<>*#$%&|<>*" for k in range(40))
+    rows = [(k, plain(), "de", "hot") for k in range(200)]
+    rows += [(200 + k, plain(), "de", "tiny") for k in range(5)] + [(300, junk, "de", "tiny")]
+    rows += [(400 + k, plain(), "fr", None) for k in range(5)] + [(500, junk, "fr", None)]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows)
+    assert all((r["distance"] is None) == r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {300, 500}
+
+
 def test_rules_estimate_equals_brute_force(spark):
     """The concentration steps in numpy give the same estimate, and planted outliers go."""
     rng = np.random.default_rng(1)
