@@ -56,9 +56,9 @@ MOST_SENT = 1_000_000
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with _row, a number of its own for each row. The same for each job over the same files, and after a task is
-    run again."""
-    return df.withColumn("_row", F.monotonically_increasing_id())
+    """df with _row, a number of its own for each row, as a written table: a plan made anew might cut the files elsewhere
+    and number other rows, where executors came or went."""
+    return settle(df.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def without(df: DataFrame, dropped: DataFrame) -> DataFrame:

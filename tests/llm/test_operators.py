@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessera.llm import classlm, cotraining, licenses, merkle, mixing, queries, rules, simhash, urls
+from tessera.llm import classlm, common, cotraining, licenses, merkle, mixing, queries, rules, simhash, urls
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 LONG = " ".join(f"w{k % 977}" for k in range(30_000))
@@ -42,6 +42,19 @@ def low(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
+def test_row_numbers_stay(spark, tmp_path):
+    spark.range(3_000).withColumn("x", F.sha2(F.col("id").cast("string"), 256)).repartition(6).write.parquet(str(tmp_path / "t"))
+    rows = common.numbered(spark.read.parquet(str(tmp_path / "t")))
+    before = {r["id"]: r["_row"] for r in rows.select("id", "_row").collect()}
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        after = {r["id"]: r["_row"] for r in rows.select("id", "_row").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert len(set(before.values())) == 3_000 and after == before
+
+
 # --- 2: rules -------------------------------------------------------------------------------------------------------
 
 
