@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def done_rate(log: DataFrame, type_col: str, done: Column) -> DataFrame:
     return log.groupBy(type_col).agg((F.sum(done.cast("long")) / F.count("*")).alias("rate"))
 
 
-def lineage(parents: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
+def lineage(parents: DataFrame, start: DataFrame) -> DataFrame:
     """node, ancestor, distance: every ancestor of the start nodes at its least distance, breadth first.
 
     parents: node, parent. A step joins the last step's ancestors alone, and ends when there are no new ones.
@@ -32,7 +34,7 @@ def lineage(parents: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
     edges = parents.select(F.col("node").alias("_n"), F.col("parent").alias("_p")).filter("_p IS NOT NULL").distinct()
     steps = Steps(parents.sparkSession)
     last = steps.add(start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).distinct())
-    for step in range(1, most + 1):
+    for step in count(1):
         after = last.join(edges, F.col("ancestor") == F.col("_n")).select("node", F.col("_p").alias("ancestor")).distinct()
         new = after.join(steps.all(), ["node", "ancestor"], "left_anti")
         last = steps.add(new.select("node", "ancestor", F.lit(step).alias("distance")))

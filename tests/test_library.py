@@ -100,6 +100,12 @@ def test_checkpoint_and_files(spark, tmp_path):
     assert values(numbered.select("_n", "id")) == sorted(((49 - k, k) for k in range(50)), key=repr)
 
 
+def test_lineage_of_a_long_chain(spark):
+    parents = spark.range(1, 67).select(F.col("id").alias("node"), (F.col("id") - 1).alias("parent"))
+    found = store.lineage(parents, spark.range(66, 67).select(F.col("id").alias("node")))
+    assert values(found.select("ancestor", "distance")) == sorted(((66 - k, k) for k in range(1, 67)), key=repr)
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"repo":"r","readme":"x"}\n\n{"repo":"s"}\n')
     assert io.jsonl(spark, str(tmp_path / "a.jsonl"), "repo string, readme string", ["repo", "readme"]).count() == 1
