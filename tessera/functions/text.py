@@ -44,9 +44,10 @@ def first_fenced(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"(?s)```[A-Za-z0-9_.+-]*[ \t]*\n.*?```")), F.regexp_replace(found, r"^\s+|\s+$", ""))
 
 
-def slugify(text: Column, most: int = 60) -> Column:
-    dashed = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-")
-    return F.regexp_replace(F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, most), "-+$", "")
+def slugify(text: Column, most: int | None = None) -> Column:
+    """The whole text, or its first `most` characters as a slug."""
+    dashed = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return dashed if most is None else F.regexp_replace(F.substring(dashed, 1, most), "-+$", "")
 
 
 def truncate(text: Column, n: int) -> Column:

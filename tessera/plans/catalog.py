@@ -422,7 +422,7 @@ def stripped_lines(spark, sf_dir):
 
 @query("slugs", r"""SELECT item_id, regexp_replace(substring(regexp_replace(regexp_replace(lower(substring(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug FROM benchmark""")
 def slugs(spark, sf_dir):
-    return load(spark, sf_dir, "benchmark").select("item_id", text.slugify(F.substring("text", 1, 200)).alias("slug"))
+    return load(spark, sf_dir, "benchmark").select("item_id", text.slugify(F.substring("text", 1, 200), 60).alias("slug"))
 
 
 @query("spec_preserved", r"""SELECT a.doc_id, len(list_distinct(list_filter(list_transform(string_split(b.text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT list_contains(list_transform(string_split(a.text, chr(10)), lambda y: trim(y)), x))))::INT AS missing FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")

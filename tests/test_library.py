@@ -32,6 +32,12 @@ def test_text(spark):
     assert get(text.annotations(lit("  invariant x > 0\nassert y"), "invariant")) == ["x > 0"]
 
 
+def test_slugs_of_long_texts(spark):
+    long = F.lit("Word " * 60 + "end.")
+    whole, cut = spark.range(1).select(text.slugify(long), text.slugify(long, 60)).first()
+    assert whole == "word-" * 60 + "end" and cut == "word-" * 11 + "word"
+
+
 def test_wilson_of_nothing(spark):
     low, high = stats.wilson(F.lit(0), F.lit(0))
     assert tuple(spark.range(1).select(low, high).first()) == (0.0, 0.0)
