@@ -75,6 +75,13 @@ def rarefaction(features: DataFrame, steps: list[int], order: str = "ord") -> Da
     return spread.groupBy("metric", "step").agg(F.greatest(F.lit(0.0), h).alias("entropy"), F.count("*").alias("unique_values")).select(F.element_at(up_to, F.col("step")).alias("n"), "metric", "entropy", "unique_values")
 
 
+def rarefaction_curve(features: DataFrame, order: Column) -> DataFrame:
+    """rarefaction() of all programs (doc) of features in an order, ties by doc, at checkpoints() up to the last."""
+    placed = numbered_rows(features.select("doc").distinct().withColumn("_at", F.struct(order.alias("o"), "doc")), "_at")
+    steps = checkpoints(placed.count())
+    return rarefaction(features.join(placed.select("doc", (F.col("_n") + 1).alias("ord")), "doc"), steps or [0])
+
+
 def matched_subsamples(features: DataFrame, docs: DataFrame, size: int, samples: int, group: str) -> DataFrame:
     """group, metric, mean entropy and unique values over `samples` draws of `size` documents of each group, each draw the
     first in order of a hash with the draw's number."""

@@ -87,6 +87,14 @@ def test_selection_properties(spark):
     assert 0 <= h["entropy"] <= math.log2(h["unique_values"]) + 1e-9
 
 
+def test_rarefaction_curve_takes_all_programs(spark):
+    rows = [(d, "m", f"v{d * k % 90}", 1) for d in range(300) for k in (1, 7)]
+    features = spark.createDataFrame(rows, "doc long, metric string, value string, cnt long")
+    got = {r["n"]: r["unique_values"] for r in selection.rarefaction_curve(features, -F.col("doc")).collect()}
+    assert got == {n: len({v for d, _, v, _ in rows if d >= 300 - n}) for n in selection.checkpoints(300)} and max(got) == 300
+    assert selection.rarefaction_curve(features.limit(0), F.col("doc")).count() == 0
+
+
 def test_checkpoint_and_files(spark, tmp_path):
     tasks = spark.createDataFrame([("t", "x", [], {}, ["p", "gone"], 2.0, "DOING", 1, {})], io.SCHEMAS["tasks"])
     objects = spark.createDataFrame([("p", "x", [], bytearray(b"c"), {"status": "success"}, 3.0)], io.SCHEMAS["objects"])
