@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,34 +23,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Where that is unset, as in
-    local tests, a temporary one is made and kept for the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir of the session. Where that is unset a temporary one is made
+    and kept for the session, on a local master only: a cluster's machines wouldn't see it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("tessera.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="tessera-")
-            spark.conf.set("tessera.checkpoint.dir", root)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("tessera.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Folders of settle() that still stand.
+_standing: set[str] = set()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, so a lost
-    executor costs a read of the files, never the work before."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    executor costs a read of the files, never the work before. What unsettle() or scratch() don't remove goes when
+    the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _standing.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
-def unsettle(df: DataFrame | None) -> None:
-    """Remove a table that settle() wrote and that nothing will read again."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+def unsettle(*tables: DataFrame | None) -> None:
+    """Remove tables that settle() wrote and that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_tessera_path", None)
+        if path in _standing:
+            _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _standing.discard(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled within are removed at its end, less those passed to what it gives."""
+    before, kept = set(_standing), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._tessera_path)
+        return df
+
+    yield keep
+    for path in _standing - before - kept:
+        _remove(spark, path)
 
 
 #: Row numbers that may be broadcast: 8 MB of them.
@@ -56,16 +86,23 @@ MOST_SENT = 1_000_000
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with _row, a number of its own for each row, as a written table: a plan made anew might cut the files elsewhere
-    and number other rows, where executors came or went."""
-    return settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    """df with its columns as c0, c1, ..., so that names can't clash, and _row, a number of its own for each row. A written
+    table: a plan made anew might cut the files elsewhere and number other rows, where executors came or went."""
+    out = settle(df.toDF(*(f"c{k}" for k in range(len(df.columns)))).withColumn("_row", F.monotonically_increasing_id()))
+    out._tessera_names = df.columns
+    return out
 
 
-def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
-    """A numbered df less the rows in dropped (a settled table of _row). Few are sent to all tasks, so that texts
-    stay where they are; more than MOST_SENT are joined by a shuffle."""
+def renamed(rows: DataFrame, name: str) -> str:
+    """What numbered() calls a column of its input."""
+    return f"c{rows._tessera_names.index(name)}"
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The input of numbered() less the rows in dropped (a settled table of _row). Few are sent to all tasks, so that
+    texts stay where they are; more than MOST_SENT are joined by a shuffle."""
     few = dropped.count() <= MOST_SENT
-    return df.join(F.broadcast(dropped) if few else dropped, "_row", "left_anti").drop("_row")
+    return rows.join(F.broadcast(dropped) if few else dropped, "_row", "left_anti").drop("_row").toDF(*rows._tessera_names)
 
 
 def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
@@ -90,9 +127,20 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Characters and array elements that leave a worker in one batch, about, and bytes of texts that become Python objects
+#: at a time.
+BATCH = 4_000_000
+
+
+def weight(row: tuple) -> int:
+    """About how many characters or elements a row has."""
+    return 8 + sum(len(x) for x in row if hasattr(x, "__len__"))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[tuple]]], schema: str, rows: int = 20_000) -> DataFrame:
-    """Arrow batches of df through a function made once per task. It takes the batch's columns as lists
-    and gives row tuples, which leave in batches of `rows` at most, so memory stays bounded."""
+    """Arrow batches of df through a function made once per task. It takes columns of some rows as lists and gives row
+    tuples, which leave in batches of `rows` or about BATCH characters at most, so memory stays bounded whatever the
+    lengths of texts: what is held at a time is a batch, and a single row where that is longer."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -100,20 +148,25 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[t
     out = to_arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, held = make(), []
-        for batch in batches:
-            # Few rows at a time become Python objects: one batch may hold many very long texts.
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                held.extend(step([c.to_pylist() for c in part.columns]))
-                while len(held) >= rows:
-                    yield pack(held[:rows])
-                    del held[:rows]
-        held.extend(getattr(step, "end", lambda: ())())
-        for at in range(0, len(held), rows):
-            yield pack(held[at : at + rows])
+        step, held, size = make(), [], 0
+        for made in chain((step([c.to_pylist() for c in part.columns]) for batch in batches for part in slices(batch)), (x() for x in (getattr(step, "end", tuple),))):
+            for row in made:
+                held.append(row)
+                size += weight(row)
+                if len(held) >= rows or size >= BATCH:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
 
     def pack(part: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*part), out)], schema=out)
 
     return df.mapInArrow(run, parsed)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most 256 rows, fewer where rows are long."""
+    most = max(1, min(256, batch.num_rows * BATCH // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, most):
+        yield batch.slice(at, most)

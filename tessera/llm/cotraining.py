@@ -37,7 +37,7 @@ TEXT_BITS, META_BITS = 14, 12
 #: AT_MOST if that is less: a good document lost costs more than a bad one kept.
 KEEP, AT_MOST = 0.995, 0.35
 #: Words whose bucket a worker remembers.
-MEMO = 300_000
+MEMO = 150_000
 
 _SYMBOL = re.compile(rb"[#*$%&|<>{}\\^~=+_@]")
 
@@ -266,6 +266,7 @@ def _batches(views: Views, text_at: int, meta_at: int, use):
                 part = batch.slice(at, 256)
                 logits = [(views.text.logit(text_features(t)), views.meta.logit(meta_features(m))) for t, m in zip(part.column(text_at).to_pylist(), part.column(meta_at).to_pylist())]
                 yield use(part, logits)
+        _buckets.clear()  # the worker goes on to other tasks
 
     return run
 

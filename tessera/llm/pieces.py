@@ -9,22 +9,52 @@ bitfield and never tried again, so the walk is linear in the text.
 Where the vocabulary proves that no piece crosses a boundary (before a space run, or around a newline that is
 in no piece), the text is cut there first and the parts' encodings are kept in a bounded memo. If a vocabulary
 doesn't prove it, the whole text is one part.
+
+Memory: a text is cut into segments of about SEGMENT characters at such boundaries, and a longer part without one is
+walked over matches of WINDOW characters at a time. What grows with a text is its ids, 4 bytes each, and a bit a
+character.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_rows, table
 
 SPACE = "▁"
-#: Parts of a text kept by each Python worker with their ids; the memo starts anew beyond that.
-MEMO = 400_000
+#: Parts of a text kept by each Python worker with their ids; the memo starts anew beyond that. About 50 MB.
+MEMO = 200_000
 #: Longer parts are never kept.
-MEMO_CHARS = 64
+MEMO_CHARS = 48
+#: Pairs of pieces whose compatibility a worker remembers, about 30 MB.
+PAIRS = 200_000
+#: Characters of a text that are cut into parts at a time.
+SEGMENT = 262_144
+#: Characters of a part for which matches are held at a time, and how many such windows: a way back beyond them finds its
+#: matches anew.
+WINDOW, WINDOWS = 16_384, 4
+
+
+class _Matches:
+    """The pieces that start at each position of a text: its character, then the automaton's matches, the longest last."""
+
+    def __init__(self, model: PieceModel, text: str):
+        self.model, self.text, self.held = model, text, {}
+
+    def __getitem__(self, at: int) -> list[int]:
+        k = at // WINDOW
+        own = self.held.get(k)
+        if own is None:
+            if len(self.held) >= WINDOWS:
+                del self.held[min(self.held)]
+            own = self.held[k] = self.model.matches(self.text[k * WINDOW : (k + 1) * WINDOW + self.model.longest], WINDOW)
+        return own[at - k * WINDOW]
 
 
 class PieceModel:
@@ -70,8 +100,10 @@ class PieceModel:
         for i, (a, b) in self.split.items():  # un-merging in order of rank needs parts older than the whole
             if i not in self.tied and any(x in self.split and self.rank[x] >= self.rank[i] for x in (a, b)):
                 self.tied.add(i)
+        self.longest = max(map(len, self.ids), default=1)
         self.cuts_spaces = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.cuts_lines = all("\n" not in p for p in self.ids)
+        self.cuts_all = self.prefix and self.cuts_spaces and self.cuts_lines and SPACE in self.ids
         self.fits: dict[tuple[int, int], bool] = {}
         self.memo = _Memo(self)
         self.known = frozenset(p for p in self.ids if len(p) == 1)
@@ -97,7 +129,7 @@ class PieceModel:
         """Whether merging the joint text of two pieces gives back the two pieces."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > MEMO:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             known = self.fits[a, b] = self._compatible(a, b)
         return known
@@ -148,15 +180,23 @@ class PieceModel:
             at = to
         return out
 
-    def _backtrack(self, text: str) -> list[int]:
-        # The pieces that start at each position: its character, then the automaton's matches. Ends ascend, so the
-        # longest comes last.
-        known, size, fits, n = self.ids, self.size, self.fits, len(text)
-        found = [[known[c]] for c in text]
+    def matches(self, text: str, starts: int) -> list[list[int]]:
+        """The pieces that start at each of the first positions. Ends ascend, so the longest comes last."""
+        known, size = self.ids, self.size
+        found = [[known[c]] for c in text[:starts]]
         for end, i in self.automaton.iter(text):
-            found[end - size[i] + 1].append(i)
-        failed = 0  # bit p: no way on from position p
-        ids, starts, tries = [], [], []  # tries: how many matches of a position are still untried
+            at = end - size[i] + 1
+            if at < starts:
+                found[at].append(i)
+        return found
+
+    def _backtrack(self, text: str) -> list[int] | array:
+        size, fits, n = self.size, self.fits, len(text)
+        whole = n <= WINDOW
+        found = self.matches(text, n) if whole else _Matches(self, text)
+        failed, any_failed = bytearray(n // 8 + 1), False  # bit p: no way on from position p
+        # starts and tries: of each piece, where it starts and how many matches there are still untried.
+        ids, starts, tries = ([], [], []) if whole else (array("i"), array("q"), array("i"))
         at, left = 0, len(found[0])
         while at < n:
             options, last = found[at], ids[-1] if ids else None
@@ -164,7 +204,7 @@ class PieceModel:
                 left -= 1
                 i = options[left]
                 to = at + size[i]
-                if failed and failed >> to & 1:
+                if any_failed and failed[to >> 3] >> (to & 7) & 1:
                     continue
                 if last is None or (fit if (fit := fits.get((last, i))) is not None else self.compatible(last, i)):
                     ids.append(i)
@@ -176,17 +216,31 @@ class PieceModel:
             else:
                 if not ids:
                     raise ValueError("the vocabulary can't encode this text")
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 ids.pop()
                 at, left = starts.pop(), tries.pop()
         return ids
 
+    def segments(self, text: str) -> Iterator[str]:
+        """The text in segments whose parts() are those of the whole: a segment ends before a single space between two
+        other characters that are no newlines, and that space isn't in any."""
+        at, n = 0, len(text)
+        while n - at > SEGMENT and self.cuts_all:
+            cut = text.find(" ", at + SEGMENT)
+            while 0 <= cut < n - 1 and (text[cut - 1] in " \n" or text[cut + 1] in " \n"):
+                cut = text.find(" ", cut + 1)
+            if cut < 0 or cut >= n - 1:
+                break
+            yield text[at:cut]
+            at = cut + 1
+        yield text[at:]
+
     def parts(self, text: str) -> list[str]:
         """The text cut where no piece can cross. A part that starts with a newline has no space before it; all
         others stand for a space and what follows."""
-        text = text.replace(SPACE, " ")
-        if not self.prefix or not self.cuts_spaces or not self.cuts_lines:
-            return ["\n" + text if self.cuts_lines else text]
+        if not self.cuts_all:
+            return [text]
         out = text.replace("\n", " \n").split(" ")
         if "" in out:
             runs, held = [], 0
@@ -204,32 +258,37 @@ class PieceModel:
 
     def encode_key(self, key: str) -> list[int]:
         """Ids of one of parts()."""
+        if not self.cuts_all:
+            return self._plain((" " if self.prefix else "") + key)
         if key[:1] == "\n":
-            return self.encode_part("\n") + self._plain(key[1:])
+            return [*self.encode_part("\n"), *self._plain(key[1:])]
         return self._plain(" " + key)
 
     def _plain(self, text: str) -> list[int]:
         return self.encode_part(text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if not self.prefix or not self.cuts_spaces or not self.cuts_lines:
-            return self._plain((" " if self.prefix else "") + text)
-        return [i for key in self.parts(text) for i in self.encode_key(key)]
-
-    def encode_ids(self, text: str) -> str:
-        """As encode(), but decimal numbers joined by single spaces, and through the memo."""
-        if not text:
-            return ""
-        if not self.prefix or not self.cuts_spaces or not self.cuts_lines:
-            return " ".join(map(str, self.encode(text)))
-        memo = self.memo
-        return " ".join([memo[p] for p in self.parts(text)])
-
-    def decode(self, ids: list[str]) -> str:
+        """All ids of a whole text, without control pieces."""
+        return [int(i) for ids in self.encode_segments(text) for i in ids.split()]
+
+    def encode_segments(self, text: str) -> Iterator[str]:
+        """The ids of each segment of a text, as decimal numbers joined by single spaces. Nothing for an empty text."""
+        text = text.replace(SPACE, " ")
+        if text:
+            memo = self.memo
+            for segment in self.segments(text):
+                yield " ".join([memo[p] for p in self.parts(segment)])
+
+    def pretokens(self, text: str) -> Iterator[str]:
+        """parts() of the whole text, segment by segment."""
+        if text:
+            for segment in self.segments(text.replace(SPACE, " ")):
+                yield from self.parts(segment)
+
+    def decode(self, ids: list[str], first: bool = True) -> str:
         """Text of ids given as decimal strings: pieces joined, spaces restored, byte pieces as UTF-8 with U+FFFD
-        for what isn't, control pieces left out, the space that encoding puts first taken off."""
+        for what isn't, control pieces left out, the space that encoding puts first taken off, if these are the first.
+        A later segment starts with a space of its own, so no character's bytes lie in two segments."""
         text_of = self.text_of
         try:
             out = "".join([text_of[i] for i in ids])
@@ -248,7 +307,7 @@ class PieceModel:
             if held:
                 parts.append(_utf8(bytes(held)))
             out = "".join(parts)
-        return out[1:] if self.prefix and out[:1] == " " else out
+        return out[1:] if first and self.prefix and out[:1] == " " else out
 
 
 class _Memo(dict):
@@ -285,42 +344,60 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True) -> DataFrame:
-    """Columns id, ids (array of int), decoded: the encoding of every whole text and what it decodes to.
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True, decoded: bool = True) -> DataFrame:
+    """Columns id, ids (array of int), same (whether decoding gives the text back) and, if asked for, decoded: the encoding
+    of every whole text and what it decodes to.
 
-    A null text is an empty one: no ids but the end id. Rows are independent: repeated rows, null or repeated
-    ids come out as often as they went in, and an empty table gives an empty one.
+    A null text is an empty one: no ids but the end id. Texts of any length are encoded whole. Rows are independent:
+    repeated rows, null or repeated ids come out as often as they went in, and an empty table gives an empty one. Other
+    columns of docs, whatever their names, play no part.
     """
 
     def make():
         m = model(model_path)
-        end = [str(m.end_id)] if add_end else []
+        end = [m.end_id] if add_end else []
 
         def step(cols):
             for i, t in zip(*cols):
-                ids = m.encode_ids(t or "").split() + end
-                yield i, [int(x) for x in ids], m.decode(ids)
+                ids, out, same, at = array("i"), [], True, 0
+                plain = (t or "").replace(SPACE, " ")  # which decodes to a space
+                for segment in m.encode_segments(plain):
+                    own = segment.split()
+                    ids.extend(map(int, own))
+                    back = m.decode(own, not at)
+                    same = same and plain.startswith(back, at)
+                    at += len(back)
+                    if decoded:
+                        out.append(back)
+                ids.extend(end)
+                yield i, np.frombuffer(ids, np.int32) if ids else [], same and at == len(plain) and plain == (t or ""), *(["".join(out)] if decoded else [])
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, ids array<int>, decoded string", rows=200)
+    return map_rows(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, ids array<int>, same boolean" + ", decoded string" * decoded)
 
 
 def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True) -> DataFrame:
     """As encode_documents(), but only digests leave the worker: n_tokens, ids_sha256 (of the decimal ids joined
-    by one space), decoded_sha256 (of the decoded text in UTF-8)."""
+    by one space), decoded_sha256 (of the decoded text in UTF-8), each made segment by segment."""
 
     def make():
         m = model(model_path)
-        end = str(m.end_id) if add_end else ""
+        end = [str(m.end_id)] if add_end else []
 
         def step(cols):
             for i, t in zip(*cols):
-                joined = m.encode_ids(t or "")
-                joined = f"{joined} {end}".strip() if end else joined
-                ids = joined.split()
-                yield i, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(m.decode(ids).encode()).hexdigest()
+                n, ids, text = 0, hashlib.sha256(), hashlib.sha256()
+                for segment in m.encode_segments(t or ""):
+                    own = segment.split()
+                    ids.update(f" {segment}".encode() if n else segment.encode())
+                    text.update(m.decode(own, not n).encode())
+                    n += len(own)
+                for x in end:
+                    ids.update(f" {x}".encode() if n else x.encode())
+                    n += 1
+                yield i, n, ids.hexdigest(), text.hexdigest()
 
         return step
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, n_words, numbered, settle, table, unsettle, without
+from .common import SPACES, n_words, numbered, renamed, settle, table, unsettle, without
 
 #: Names of the transformed statistics, the dimensions of the estimate, and what each one's variance never falls below.
 DIMENSIONS = {"x_words": 0.25, "x_length": 0.005, "x_symbols": 0.001, "x_lines": 0.01, "x_repeats": 0.01}
@@ -186,7 +186,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
     rows = numbered(docs)
-    return without(rows, settle(judge(rows, "_row", text_col, lang_col, source_col).filter(~F.col("kept")).select("_row")))
+    at = lambda c: renamed(rows, c)
+    return without(rows, settle(judge(rows, "_row", at(text_col), at(lang_col), at(source_col)).filter(~F.col("kept")).select("_row")))
 
 
 def _verdicts(stats: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frequent, map_rows, numbered, settle, table, unsettle, without
+from .common import frequent, map_rows, numbered, renamed, settle, table, unsettle, without
 from .graph import components
 
 BITS = 64
@@ -404,4 +404,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, of each group of near_duplicates() only the first. An empty table gives an empty one."""
     rows = numbered(docs)
-    return without(rows, settle(near_duplicates(rows, width, similarity, id_col, text_col).filter(~F.col("_keep")).select("_row")))
+    found = near_duplicates(rows, width, similarity, renamed(rows, id_col), renamed(rows, text_col))
+    return without(rows, settle(found.filter(~F.col("_keep")).select("_row")))

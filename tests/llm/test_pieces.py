@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 import pytest
 
 sentencepiece = pytest.importorskip("sentencepiece")
 
+from tessera.llm import counts, pieces
 from tessera.llm.counts import count_tokens, op3_token_counts
 from tessera.llm.pieces import default_model, digest_documents, encode_documents, model
 
@@ -23,11 +25,45 @@ def test_encode_equals_the_library_on_random_text(sp):
         n = rng.randint(0, 40)
         s = "".join(rng.choice(letters) for _ in range(n)) if k % 2 else "".join(rng.choice(pieces) for _ in range(n // 3)).replace("▁", " ")
         assert m.encode(s) == sp.encode(s), s
-        ids = m.encode_ids(s).split()
+        ids = [i for part in m.encode_segments(s) for i in part.split()]
         assert list(map(int, ids)) == sp.encode(s)
         assert m.decode(ids) == sp.decode(sp.encode(s))
 
 
+def test_segments_and_windows_change_nothing(sp, monkeypatch):
+    monkeypatch.setattr(pieces, "SEGMENT", 7)
+    monkeypatch.setattr(pieces, "WINDOW", 4)
+    monkeypatch.setattr(pieces, "WINDOWS", 2)
+    m, rng = pieces.PieceModel(default_model()), random.Random(11)
+    for k in range(1500):
+        s = "".join(rng.choice("  \nabthe▁ingéü🙂=") for _ in range(rng.randint(0, 90)))
+        s = s.replace(" ", "") if k % 3 == 0 else s
+        found = [x.split() for x in m.encode_segments(s)]
+        assert [int(i) for x in found for i in x] == sp.encode(s), s
+        assert "".join(m.decode(x, not i) for i, x in enumerate(found)) == sp.decode(sp.encode(s))
+        assert sum(len(m.encode_key(p)) for p in m.pretokens(s)) == len(sp.encode(s))
+
+
+def test_very_long_texts(spark, sp):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcdeinorst") for _ in range(300_000)), " ".join(rng.choice(["the", "of", "x1", "", "é\n"]) for _ in range(400_000)), "=" * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in digest_documents(docs, default_model()).collect()}
+    counted = {r.doc_id: r.n_tokens for r in count_tokens(docs, default_model()).collect()}
+    for i, t in enumerate(texts):
+        ids = sp.encode(t, add_eos=True)
+        assert got[i].n_tokens == len(ids) == counted[i] + 1
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_a_frequent_long_pretoken_is_broadcast(spark, sp, monkeypatch):
+    monkeypatch.setattr(counts, "HOT", 3)
+    line = "-" * 90
+    docs = spark.createDataFrame([(k, f"a {line} b{k} {line}") for k in range(40)], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in count_tokens(docs, default_model()).collect()} == {k: len(sp.encode(f"a {line} b{k} {line}")) for k in range(40)}
+
+
 def test_decode_of_broken_byte_pieces(sp):
     m = model(default_model())
     for raw in (b"\xe6\x97", b"\xff\xfea", b"\xe6\x97\xa5\xe6", b"\xf0\x9f\x99"):
@@ -46,9 +82,14 @@ def test_compatible_is_re_merging(sp):
 def test_documents(spark, sp):
     rows = [(i, t, "x") for i, t in enumerate(EDGE)] + [(0, "again", "x"), (0, "again", "x"), (None, "null id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    back = {t: sp.decode(sp.encode(t or "", add_eos=True)) for _, t, _ in rows}
     got = sorted(map(tuple, encode_documents(docs, default_model()).collect()), key=str)
-    want = sorted(((i, sp.encode(t or "", add_eos=True), sp.decode(sp.encode(t or "", add_eos=True))) for i, t, _ in rows), key=str)
+    want = sorted(((i, sp.encode(t or "", add_eos=True), back[t] == (t or ""), back[t]) for i, t, _ in rows), key=str)
     assert got == want
+    assert encode_documents(docs, default_model(), decoded=False).columns == ["doc_id", "ids", "same"]
+    digests = sorted(map(tuple, digest_documents(docs, default_model()).collect()), key=str)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert digests == sorted(((i, len(ids := sp.encode(t or "", add_eos=True)), sha(" ".join(map(str, ids))), sha(back[t])) for i, t, _ in rows), key=str)
     counted = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(docs, default_model()).collect()), key=str)
     assert counted == sorted(((i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096) for i, t, _ in rows), key=str)
     assert digest_documents(docs.limit(0), default_model()).count() == 0
