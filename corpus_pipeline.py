@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import cotraining, mixing, pieces, rules, simhash
-from tessera.llm.common import settle, table
+from tessera.llm.common import scratch, settle, table, unsettle
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,9 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and ids, with an end id, of each document."""
-    return pieces.encode_documents(docs, pieces.default_model()).select("doc_id", "ids")
+    """doc_id, ids, with an end id, and same, whether decoding gives the text back, of each document. A null text has the
+    end id alone; null and repeated doc_ids come out as they went in."""
+    return pieces.encode_documents(docs, pieces.default_model(), decoded=False)
 
 
 STAGES = [
@@ -49,9 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote on its way is removed once the stage is written, and a stage's own rows
+    once the next one's are."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = settle(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            after = keep(settle(stage(spark, docs, sf_dir)))
+        unsettle(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
