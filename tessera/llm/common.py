@@ -105,17 +105,20 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(dropped) if few else dropped, "_row", "left_anti").drop("_row").toDF(*rows._tessera_names)
 
 
-def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+def frequent(df: DataFrame, count: str, most: int, key: str) -> DataFrame:
     """The rows of df with the largest counts, at most `most` of them: down to the lowest step of the counts' logarithm
-    that still fits whole. Only a row for each step comes to the driver."""
+    that still fits whole, and of the step below about half of what is left, by a hash of the key. Only a row for each
+    step comes to the driver."""
     step = F.floor(F.log2(F.col(count)) * 16)
-    left, least = most, None
+    left, taken = most, F.lit(False)
     for r in df.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():  # 64 * 16 rows at most
-        left -= r["n"]
-        if left < 0:
+        if r["n"] > left:
+            part = F.pmod(F.xxhash64(key, F.lit(23)), F.lit(2**20)) < int(2**19 * left / r["n"])
+            taken |= (step == r["s"]) & part if left >= 1_000 else F.lit(False)
             break
-        least = r["s"]
-    return df.filter(step >= least) if least is not None else df.limit(0)
+        left -= r["n"]
+        taken = step >= r["s"]
+    return df.filter(taken)
 
 
 def ascii_lower(c: Column) -> Column:

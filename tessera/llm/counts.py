@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     counted = settle(count_pieces(pretoken_frequencies(docs, model_path, text_col), model_path))
     name = F.when(F.length("pretoken") <= HOT_CHARS, F.col("pretoken")).otherwise(F.concat(F.lit("\0"), F.md5(F.col("pretoken").cast("binary"))))
-    hot_rows = frequent(counted, "n", HOT).select(name.alias("pretoken"), "pieces").toArrow()
+    hot_rows = frequent(counted, "n", HOT, "pretoken").select(name.alias("pretoken"), "pieces").toArrow()
     hot = spark.sparkContext.broadcast(dict(zip(hot_rows["pretoken"].to_pylist(), hot_rows["pieces"].to_pylist())))
     kind = docs.schema[id_col].dataType.simpleString()
 

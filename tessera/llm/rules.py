@@ -1,18 +1,26 @@
 """Operator 2: quality rules, then robust multivariate outliers.
 
 Fixed rules on a document's statistics come first. What passes is held, within its language and source, against a
-minimum-covariance-determinant estimate of centre and scatter of transformed statistics: from several starts,
-concentration steps take the share of documents nearest to the current estimate and estimate anew from them, which
-never raises the determinant, and the start that ends lowest wins. A document beyond CUT squared Mahalanobis distance
-is rejected.
+minimum-covariance-determinant estimate of centre and scatter of transformed statistics (Rousseeuw and Van Driessen 1999):
+from several starts, concentration steps take the share of documents nearest to the current estimate and estimate anew
+from them; after FIRST steps the start of the lowest determinant goes on until no group's determinant falls. The scatter
+of that share is made consistent with a normal distribution's, documents within its CORE quantile give the reweighted
+estimate, and a document beyond the CUT quantile of the squared Mahalanobis distance is rejected.
+
+There is no least size of a group: all documents, each language's and each group's have an estimate, a language's is drawn
+towards that of all and a group's towards its language's, with the weight of PRIOR documents, which decides in small groups
+and fades in large ones. Each statistic's variance is at least its floor in DIMENSIONS, so that a group in which nearly all
+documents agree doesn't reject the first that differs a little.
 
 All of it is DataFrame code. A step reads a narrow table of statistics, sums moments by group, and picks the nearest
-share from a histogram of distances by group, so no group meets in one task and every run decides alike.
+share from a histogram of distances by group. What meets in one task for a group are the histogram's bins, a few thousand
+at most however many documents it has, so no group meets in one task, and every run decides alike.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,19 +31,47 @@ from .common import SPACES, n_words, numbered, renamed, settle, table, unsettle,
 DIMENSIONS = {"x_words": 0.25, "x_length": 0.005, "x_symbols": 0.001, "x_lines": 0.01, "x_repeats": 0.01}
 #: Share of a group that the estimate is made from.
 SHARE = 0.75
-#: Concentration steps from each start. Steps beyond change next to nothing.
-STEPS = 4
-#: Groups with fewer documents are judged by an estimate from all of their language; languages with fewer, by one from all
-#: documents.
-LEAST = 60
-#: Squared distance beyond which a document goes: far out, as the statistics aren't normal.
-CUT = 60.0
+#: Concentration steps from each start, and in all at most: the determinant never rises by a step, and a few suffice.
+FIRST, STEPS = 2, 20
+#: Weight, in documents, of the estimate of a group's language, and of all documents in a language's.
+PRIOR = 100
+#: Quantiles of the squared distance within which documents give the reweighted estimate, and beyond which they go. The
+#: statistics have longer tails than a normal distribution, and a good document lost costs more than a bad one kept.
+CORE, CUT = 0.975, 0.9999999
 #: Estimates are broadcast if they are of that many groups at most: a few hundred bytes each.
 SMALL = 2_000
 #: Bins of a distance's logarithm, of a width of 1 / BINS.
 BINS = 64
 
 
+def chi_square(x: float, dims: int) -> float:
+    """Distribution function of chi-square: the lower incomplete gamma function by its series."""
+    if x <= 0:
+        return 0.0
+    a, h = dims / 2, x / 2
+    term = total = 1 / a
+    k = a
+    while term > total * 1e-16:
+        k += 1
+        term *= h / k
+        total += term
+    return min(1.0, total * exp(a * log(h) - h - lgamma(a)))
+
+
+def quantile(share: float, dims: int) -> float:
+    """The squared distance within which a share of a normal distribution lies."""
+    low, high = 0.0, 1_000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, dims) < share else (low, mid)
+    return high
+
+
+def consistency(share: float, dims: int) -> float:
+    """What makes the scatter of the nearest share of a normal distribution that of all of it (Croux and Haesbroeck 1999)."""
+    return share / chi_square(quantile(share, dims), dims + 2)
+
+
 def base_statistics(text: Column) -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines of a whole text; all 0 for null."""
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -90,13 +126,18 @@ def transformed() -> dict[str, Column]:
     }
 
 
-def _invert(df: DataFrame, names: list[str]) -> DataFrame:
-    """df with mean (array), inverse (array, row by row) of the scatter, and logdet, from sums. The scatter is inverted
-    by sweeping each of its columns in turn."""
+def _scatter(df: DataFrame, names: list[str], factor: float) -> DataFrame:
+    """grp, start, s, mean, scatter (arrays, row by row) from sums: the scatter times factor, variances at least their
+    floors."""
     p = len(names)
     mean = F.array(*(F.col(f"s_{i}") / F.col("s") for i in range(p)))
-    cell = lambda i, j: F.col(f"s_{max(i, j)}_{min(i, j)}") / F.col("s") - F.col(f"s_{i}") / F.col("s") * F.col(f"s_{j}") / F.col("s")
-    scatter = F.array(*((F.greatest(cell(i, j), F.lit(0.0)) + DIMENSIONS[names[i]]) if i == j else cell(i, j) for i in range(p) for j in range(p)))
+    cell = lambda i, j: factor * (F.col(f"s_{max(i, j)}_{min(i, j)}") / F.col("s") - F.col(f"s_{i}") / F.col("s") * F.col(f"s_{j}") / F.col("s"))
+    scatter = F.array(*(F.greatest(cell(i, j), F.lit(DIMENSIONS[names[i]])) if i == j else cell(i, j) for i in range(p) for j in range(p)))
+    return df.select(*(c for c in df.columns if c in ("grp", "start")), "s", mean.alias("mean"), scatter.alias("scatter"))
+
+
+def _inverted(df: DataFrame, p: int) -> DataFrame:
+    """df with inverse and logdet of its scatter, which is inverted by sweeping each of its columns in turn."""
 
     def sweep(acc, k):
         at = lambda i, j: F.get(acc["a"], i * p + j)
@@ -108,10 +149,9 @@ def _invert(df: DataFrame, names: list[str]) -> DataFrame:
 
         return F.struct(F.transform(acc["a"], one).alias("a"), (acc["l"] + F.log(d)).alias("l"))
 
-    start = F.struct(F.col("_scatter").alias("a"), F.lit(0.0).alias("l"))
-    swept = df.select("*", mean.alias("mean"), scatter.alias("_scatter")).withColumn("_swept", F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), start, sweep))
-    keys = [c for c in df.columns if c != "s" and not c.startswith("s_")]
-    return swept.select(*keys, "s", "mean", F.transform("_swept.a", lambda v: -v).alias("inverse"), F.col("_swept.l").alias("logdet"))
+    start = F.struct(F.col("scatter").alias("a"), F.lit(0.0).alias("l"))
+    swept = df.withColumn("_swept", F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), start, sweep))
+    return swept.withColumns({"inverse": F.transform("_swept.a", lambda v: -v), "logdet": F.col("_swept.l")}).drop("_swept")
 
 
 def _moments(names: list[str]) -> list[Column]:
@@ -125,9 +165,9 @@ def _moments(names: list[str]) -> list[Column]:
 def _squared(names: list[str]) -> Column:
     """Squared Mahalanobis distance from mean and inverse."""
     p = len(names)
-    away = F.array(*(F.col(n) - F.get("mean", F.lit(i)) for i, n in enumerate(names)))
-    row = lambda i, x: F.aggregate(F.zip_with(F.slice("inverse", i * p + 1, p), away, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) * x
-    return F.aggregate(F.transform(away, lambda x, i: row(i, x)), F.lit(0.0), lambda s, v: s + v)
+    away = [F.col(n) - F.get("mean", F.lit(i)) for i, n in enumerate(names)]
+    terms = [away[i] * away[j] * F.get("inverse", F.lit(i * p + j)) * (1 if i == j else 2) for i in range(p) for j in range(i + 1)]
+    return F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, terms))
 
 
 def _quantile(df: DataFrame, keys: list[str], value: str, share: float, width: float) -> DataFrame:
@@ -139,43 +179,72 @@ def _quantile(df: DataFrame, keys: list[str], value: str, share: float, width: f
 
 
 def estimates(stats: DataFrame, names: list[str], small: bool) -> DataFrame:
-    """One row for each group of stats (columns grp and names) with its rows, mean and inverse scatter: grp, s, mean, inverse.
-
-    small: whether what has a row or a few for each group may be broadcast.
-    """
+    """One row for each group of stats (columns grp and names): grp, s (documents of the reweighted estimate), mean,
+    scatter, a settled table. small: whether what has a row or a few for each group may be broadcast."""
     hint = F.broadcast if small else (lambda df: df)
+    p = len(names)
+
+    def concentrated(current: DataFrame, keys: list[str]) -> DataFrame:
+        """The estimate from the nearest share of rows (grp, names, d)."""
+        logged = current.withColumn("_log", F.log(F.col("d") + 1e-6))
+        edges = _quantile(logged, keys, "_log", SHARE, 1 / BINS)
+        nearest = logged.join(hint(edges), keys).filter(F.floor(F.col("_log") / (1 / BINS)) <= F.col("edge"))
+        return _inverted(_scatter(nearest.groupBy(*keys).agg(*_moments(names)), names, consistency(SHARE, p)), p)
+
+    def away(fitted: DataFrame, *keys: str) -> DataFrame:
+        return stats.join(hint(fitted.select("grp", *keys, "mean", "inverse")), "grp").select("grp", *keys, *names, _squared(names).alias("d"))
+
     # Medians and median deviations of each dimension, for the starts.
     longer = stats.select("grp", F.posexplode(F.array(*names)).alias("dim", "x"))
     keys = ["grp", "dim"]
     middle = settle(_quantile(longer, keys, "x", 0.5, 1e-3).select("grp", "dim", (F.col("edge") * 1e-3).alias("c")))
-    away = longer.join(hint(middle), keys).withColumn("x", F.abs(F.col("x") - F.col("c")))
-    spread = _quantile(away, keys, "x", 0.5, 1e-3).select("grp", "dim", (F.col("edge") * 1e-3 * 1.4826).alias("v"))
-    wide = middle.join(spread, keys).groupBy("grp").agg(*(F.max(F.when(F.col("dim") == i, F.col(c))).alias(f"{c}_{i}") for i in range(len(names)) for c in "cv"))
-    wide = settle(wide)
+    off = longer.join(hint(middle), keys).withColumn("x", F.abs(F.col("x") - F.col("c")))
+    spread = _quantile(off, keys, "x", 0.5, 1e-3).select("grp", "dim", (F.col("edge") * 1e-3 * 1.4826).alias("v"))
+    wide = settle(middle.join(spread, keys).groupBy("grp").agg(*(F.max(F.when(F.col("dim") == i, F.col(c))).alias(f"{c}_{i}") for i in range(p) for c in "cv")))
     # Three starts: rows nearest to the medians by a sum of squares, a sum, and a maximum.
     scaled = [F.abs(F.col(n) - F.col(f"c_{i}")) / (F.col(f"v_{i}") + F.lit(DIMENSIONS[n] ** 0.5)) for i, n in enumerate(names)]
     starts = F.array(reduce(lambda a, b: a + b, (v * v for v in scaled)), reduce(lambda a, b: a + b, scaled), F.greatest(*scaled))
-    current = stats.join(hint(wide), "grp").select("grp", *names, F.posexplode(starts).alias("start", "d"))
-    keys, old = ["grp", "start"], None
-    for step in range(STEPS):
-        logged = current.withColumn("_log", F.log(F.col("d") + 1e-6))
-        edges = settle(_quantile(logged, keys, "_log", SHARE, 1 / BINS))
-        nearest = logged.join(hint(edges), keys).filter(F.floor(F.col("_log") / (1 / BINS)) <= F.col("edge"))
-        fitted = settle(_invert(nearest.groupBy(*keys).agg(*_moments(names)), names))
-        for done in (edges, old):
-            unsettle(done)
-        old = fitted
-        if step < STEPS - 1:
-            current = stats.join(hint(fitted), "grp").select("grp", "start", *names, _squared(names).alias("d"))
-    best = Window.partitionBy("grp").orderBy("logdet", "start")  # three rows a group
-    return fitted.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") == 1).select("grp", "s", "mean", "inverse")
+    fitted = concentrated(stats.join(hint(wide), "grp").select("grp", *names, F.posexplode(starts).alias("start", "d")), ["grp", "start"])
+    for _ in range(FIRST - 1):
+        old = settle(fitted)
+        fitted = concentrated(away(old, "start"), ["grp", "start"])
+    ranked = Window.partitionBy("grp").orderBy("logdet", "start")  # three rows a group
+    own = ("s", "mean", "scatter", "inverse", "logdet")
+    best = settle(fitted.withColumn("_place", F.row_number().over(ranked)).filter("_place = 1").select("grp", *own))
+    unsettle(middle, wide, old)
+    for _ in range(STEPS - FIRST):
+        # Bins make a step's share a little larger than SHARE, so what isn't a fall isn't taken.
+        new = concentrated(away(best), ["grp"]).select("grp", F.struct(*own).alias("new"))
+        both = best.select("grp", F.struct(*own).alias("old")).join(hint(new), "grp", "left")
+        falls = F.coalesce(F.col("new.logdet") < F.col("old.logdet") - 1e-3, F.lit(False))
+        old, best = best, settle(both.select("grp", falls.alias("fell"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e")).select("grp", "fell", "e.*"))
+        unsettle(old)
+        if best.filter("fell").isEmpty():
+            break
+    inner = away(best).filter(F.col("d") <= quantile(CORE, p))
+    final = _scatter(inner.groupBy("grp").agg(*_moments(names)), names, consistency(CORE, p)).select("grp", F.struct("s", "mean", "scatter").alias("new"))
+    # A group without a document within reach of its own estimate keeps that.
+    out = settle(best.select("grp", F.struct("s", "mean", "scatter").alias("old")).join(hint(final), "grp", "left").select("grp", F.coalesce("new", "old").alias("e")).select("grp", "e.*"))
+    unsettle(best)
+    return out
+
+
+def drawn(found: DataFrame, above: DataFrame, small: bool) -> DataFrame:
+    """found (grp, s, mean, scatter, _above) with each estimate drawn towards that of its _above among above."""
+    hint = F.broadcast if small else (lambda df: df)
+    to = above.select(F.col("grp").alias("_above"), F.col("mean").alias("_mean"), F.col("scatter").alias("_scatter"))
+    own = F.col("s") / (F.col("s") + PRIOR)
+    mixed = lambda a, b: F.zip_with(a, b, lambda x, y: x * F.col("_w") + y * (1 - F.col("_w")))
+    return found.join(hint(to), "_above").withColumn("_w", own).select("grp", "s", mixed("mean", "_mean").alias("mean"), mixed("scatter", "_scatter").alias("scatter"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the statistics, base_failed, distance (null where the base rules fail), kept; a row for each row.
 
-    A null text has no words and fails the base rules. Null languages and sources are values like others. Repeated
-    rows are judged alike. An empty table gives an empty one.
+    A null text has no words and fails the base rules. Null languages and sources are values like others. Texts of any
+    length are read whole. Repeated rows are judged alike and count as often as they stand; of documents at equal distances
+    all or none are in a nearest share. An empty table gives an empty one. Other columns of docs, whatever their names,
+    play no part.
     """
     taken = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).alias("_text"))
     stats = statistics(taken, "_text").withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
@@ -192,29 +261,24 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
 def _verdicts(stats: DataFrame) -> DataFrame:
     names = list(DIMENSIONS)
-    passed = stats.filter(~F.col("base_failed"))
     # Names of groups are hashes of JSON, in which null is a value of its own.
-    pair = F.md5(F.to_json(F.struct("_lang", "_source"), {"ignoreNullFields": "false"}))
-    language = F.md5(F.to_json(F.struct("_lang"), {"ignoreNullFields": "false"}))
-    counts = settle(passed.groupBy(pair.alias("_pair"), language.alias("_language")).agg(F.count("*").alias("_n")))
-    # A language's own documents all count, those of its large groups too.
-    languages = counts.groupBy("_language").agg(F.sum("_n").alias("_of_language"), F.max((F.col("_n") < LEAST).cast("int")).alias("_short"))
-    sized = counts.join(languages, "_language")
-    own = F.when(F.col("_n") >= LEAST, F.col("_pair")).when(F.col("_of_language") >= LEAST, F.col("_language")).otherwise(F.lit("all"))
-    # _asks: the language's documents are also what some group of it is judged by.
-    placed = settle(sized.select("_pair", "_language", own.alias("grp"), ((F.col("_short") == 1) & (F.col("_of_language") >= LEAST)).alias("_asks")))
-    small = placed.count() <= SMALL
+    name = lambda *c: F.md5(F.to_json(F.struct(*c), {"ignoreNullFields": "false"}))
+    levels = F.explode(F.array(F.lit("all"), F.col("language"), F.col("pair")))
+    passed = stats.filter(~F.col("base_failed")).select(name("_lang", "_source").alias("pair"), name("_lang").alias("language"), *names)
+    each = settle(passed.select(levels.alias("grp"), "pair", "language", *names))
+    pairs = settle(each.filter("grp = pair").select("pair", "language").distinct())
+    small = pairs.count() <= SMALL
     hint = F.broadcast if small else (lambda df: df)
-    everyone = not placed.filter("grp = 'all'").isEmpty()
-    grouped = settle(passed.withColumn("_pair", pair).join(hint(placed), "_pair"))
-    parts = [F.when(F.col("grp") == F.col("_pair"), F.col("_pair")), F.when(F.col("_asks"), F.col("_language"))]
-    parts += [F.lit("all")] if everyone else []
-    narrow = settle(grouped.select(F.explode(F.array_compact(F.array(*parts))).alias("grp"), *names))
-    found = settle(estimates(narrow, names, small))
-    judged = grouped.join(hint(found), "grp", "left").withColumn("distance", F.when(F.col("s").isNotNull(), _squared(names)))
+    found = estimates(each.select("grp", *names), names, small)
+    whole = found.filter("grp = 'all'")
+    languages = drawn(found.join(hint(pairs.select(F.col("language").alias("grp")).distinct()), "grp").withColumn("_above", F.lit("all")), whole, small)
+    groups = drawn(found.join(hint(pairs.select(F.col("pair").alias("grp"), F.col("language").alias("_above"))), "grp"), languages, small)
+    known = settle(_inverted(groups, len(names)).select("grp", "mean", "inverse"))
+    unsettle(each, pairs, found)
     kept = [c for c in stats.columns if c not in names]
+    judged = stats.filter(~F.col("base_failed")).withColumn("grp", name("_lang", "_source")).join(hint(known), "grp").withColumn("distance", _squared(names))
     failed = stats.filter("base_failed").select(*kept, F.lit(None).cast("double").alias("distance"))
-    return judged.select(*kept, "distance").unionByName(failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT))
+    return judged.select(*kept, "distance").unionByName(failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= quantile(CUT, len(names))))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """Operator 6: SimHash near-duplicates over BK-trees.
 
-Fingerprints that differ by RADIUS bits at most agree on two of RADIUS + 2 equal blocks of bits. Each choice of two
-blocks and their value is a shard, so any two linked fingerprints meet in one; distinct fingerprints are dealt to their
-shards, each shard's BK-tree is built once, and a query follows only the edges within the radius of its distance to a
-node. A shard of more than SHARD fingerprints is cut into trees of that size, and every tree is sent to the tasks that
-hold the shard's other parts. Within a task links already implied by others aren't given out, so a dense group gives
-about as many links as it has members, and components then join them across tasks.
-
-near_duplicates() uses the same trees to join most texts of similar word shingles, then an exact prefix filter finds the
-pairs that trees can't reach.
+Distinct fingerprints are dealt to shards so that any two within the radius meet in one: fingerprints that differ by RADIUS
+bits at most agree on two of RADIUS + 2 equal blocks of bits, and each choice of two blocks and their value is a shard. A
+shard of more than SHARD fingerprints is split by the bits on which its members may still differ: these make RADIUS + 1
+groups, linked members agree on one of them, and each group with its value is a shard again. So a fingerprint is copied a
+few times however hot its shard is, and as at most 2 ** 7 values are left after four splits, every shard ends small.
+
+A BK-tree is built of each shard, children keyed by their distance to the parent. Up to TREES nodes in all, a size that is
+checked, trees are broadcast and every fingerprint walks those of its shards where it lies; beyond that a shard's members
+come to where its tree is. A walk follows only the edges within the radius of its distance to a node. Links already implied
+by others of the same task aren't given out, and components then join them across tasks.
+
+near_duplicates() joins texts of similar word shingles: BK-trees of shards of shared anchors find each text's nearest, and
+an exact prefix filter finds all pairs that this leaves apart.
 """
 
 from __future__ import annotations
@@ -25,8 +29,12 @@ from .common import frequent, map_rows, numbered, renamed, settle, table, unsett
 from .graph import components
 
 BITS = 64
-#: Fingerprints of one tree, and so of one task's part of a shard.
+#: Fingerprints of one tree.
 SHARD = 512
+#: Nodes of all trees together up to which they are broadcast: about 26 MB.
+TREES = 2_000_000
+#: Fingerprints, those of most rows, whose components are sent to all tasks; the others have at most one row in HOT each.
+HOT = 65_536
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -73,37 +81,78 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
 
 
 class BKTree:
-    """Values by Hamming distance: a child's edge is its distance to its parent."""
+    """Values by Hamming distance: a child's edge is its distance to its parent. Equal values are one node with several
+    items."""
 
     def __init__(self):
-        self.root = None
+        self.values: list[int] = []
+        self.items: list[list] = []
+        self.children: list[dict[int, int]] = []
 
     def add(self, value: int, item) -> None:
-        if self.root is None:
-            self.root = (value, [item], {})
-            return
-        node = self.root
-        while d := (value ^ node[0]).bit_count():
-            child = node[2].get(d)
+        if not self.values:
+            return self._node(value, item)
+        at = 0
+        while d := (value ^ self.values[at]).bit_count():
+            child = self.children[at].get(d)
             if child is None:
-                node[2][d] = (value, [item], {})
-                return
-            node = child
-        node[1].append(item)
+                self.children[at][d] = len(self.values)
+                return self._node(value, item)
+            at = child
+        self.items[at].append(item)
+
+    def _node(self, value: int, item) -> None:
+        self.values.append(value)
+        self.items.append([item])
+        self.children.append({})
 
     def within(self, value: int, radius: int) -> Iterator:
         """Items whose value differs by radius bits at most."""
-        stack = [self.root] if self.root else []
+        stack = [0] if self.values else []
         while stack:
-            node = stack.pop()
-            d = (value ^ node[0]).bit_count()
+            at = stack.pop()
+            d = (value ^ self.values[at]).bit_count()
             if d <= radius:
-                yield from node[1]
-            children = node[2]
-            if len(children) <= 2 * radius:
-                stack += [c for e, c in children.items() if d - radius <= e <= d + radius]
-            else:
-                stack += [children[e] for e in range(max(1, d - radius), d + radius + 1) if e in children]
+                yield from self.items[at]
+            stack += self._edges(at, d, radius)
+
+    def nearest(self, value: int, radius: int):
+        """The first item of a nearest value within the radius, or None. What is found narrows the radius."""
+        stack, best = ([0] if self.values else []), None
+        while stack:
+            at = stack.pop()
+            d = (value ^ self.values[at]).bit_count()
+            if d < radius or best is None and d == radius:
+                radius, best = d, self.items[at][0]
+            stack += self._edges(at, d, radius)
+        return best
+
+    def _edges(self, at: int, d: int, radius: int) -> list[int]:
+        children = self.children[at]
+        if len(children) <= 2 * radius:
+            return [c for e, c in children.items() if d - radius <= e <= d + radius]
+        return [children[e] for e in range(max(1, d - radius), d + radius + 1) if e in children]
+
+    def packed(self) -> bytes:
+        """The nodes in the order they came, each with its parent and edge; items are left out."""
+        parents, edges = np.zeros(len(self.values), np.int32), np.zeros(len(self.values), np.uint8)
+        for at, own in enumerate(self.children):
+            for e, c in own.items():
+                parents[c], edges[c] = at, e
+        return np.array(self.values, np.uint64).tobytes() + parents.tobytes() + edges.tobytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> BKTree:
+        """A tree whose items are its values."""
+        n = len(raw) // 13
+        tree = cls()
+        tree.values = np.frombuffer(raw, np.uint64, n).tolist()
+        tree.items = [[v] for v in tree.values]
+        tree.children = [{} for _ in range(n)]
+        for c, (at, e) in enumerate(zip(np.frombuffer(raw, np.int32, n, 8 * n).tolist(), np.frombuffer(raw, np.uint8, n, 12 * n).tolist())):
+            if c:
+                tree.children[at][e] = c
+        return tree
 
 
 class Joined:
@@ -125,36 +174,50 @@ class Joined:
         return a != b
 
 
-def shard_keys(fingerprint: Column, radius: int) -> Column:
-    """array<long>: the shards of a fingerprint."""
-    blocks = radius + 2
-    bounds = [BITS * k // blocks for k in range(blocks + 1)]
-    block = lambda k: F.shiftrightunsigned(fingerprint, bounds[k]).bitwiseAND(F.lit((1 << bounds[k + 1] - bounds[k]) - 1))
-    return F.array(*(F.xxhash64(F.lit(100 * i + j), block(i), block(j)) for i, j in combinations(range(blocks), 2)))
+def _masks(bits: list[int], groups: int) -> list[int]:
+    """Masks of about equally many of the given bits each."""
+    return [sum(1 << x for x in bits[len(bits) * k // groups : len(bits) * (k + 1) // groups]) for k in range(groups)]
 
 
-def deal(rows: DataFrame, key: str, item: str, most: int = SHARD) -> DataFrame:
-    """rows of the keys with two rows or more, with parts, left and right: a key with over `most` rows is cut into parts
-    by a hash of the item, and a row goes to every pair of parts that its own is in."""
-    sizes = settle(rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1"))
-    parts = F.ceil(F.col("_n") / most).cast("int")
-    part = F.pmod(F.xxhash64(item, F.lit(11)), F.col("parts")).cast("int")
-    dealt = rows.join(sizes, key).withColumn("parts", parts).withColumn("_part", part)
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k))
-    return dealt.withColumn("_other", other).select(*rows.columns, F.least("_part", "_other").alias("left"), F.greatest("_part", "_other").alias("right"), "_part").filter((F.col("_part") == F.col("left")) | (F.col("_part") == F.col("right")))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def shards(nodes: DataFrame, radius: int) -> DataFrame:
+    """shard, fingerprint, a settled table: of nodes (distinct fingerprints), each with all shards that it shares with
+    another, at most SHARD in each."""
+    blocks = _masks(list(range(BITS)), radius + 2)
+    fixed = [a | b for a, b in combinations(blocks, 2)]  # of each kind of shard the bits that its members share
+    key = lambda kind, mask, above: F.xxhash64(F.lit(kind), above, F.col("fingerprint").bitwiseAND(F.lit(_signed(mask))))
+    first = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), key(k, m, F.lit(0)).alias("shard")) for k, m in enumerate(fixed))))
+    rows = settle(nodes.select("fingerprint", first.alias("_s")).select("fingerprint", "_s.kind", "_s.shard"))
+    small = None
+    while True:
+        sizes = settle(rows.groupBy("shard").agg(F.count("*").alias("_n")).filter("_n > 1"))
+        cold = rows.join(sizes.filter(F.col("_n") <= SHARD), "shard").select("shard", "fingerprint")
+        small = cold if small is None else small.unionByName(cold)
+        hot = sizes.filter(F.col("_n") > SHARD)
+        # Groups of the bits that differ yet, by kind; with one bit or less a group, shards are small already.
+        groups = [_masks([x for x in range(BITS) if not m >> x & 1], radius + 1) for m in fixed]
+        if hot.isEmpty() or not all(all(g) for g in groups):
+            return settle(small.unionByName(rows.join(hot, "shard").select("shard", "fingerprint")))
+        split = [F.array(*(F.struct(F.lit(len(g) * k + i).alias("kind"), key(len(g) * k + i, x, F.col("shard")).alias("shard")) for i, x in enumerate(g))) for k, g in enumerate(groups)]
+        chosen = F.coalesce(*(F.when(F.col("kind") == k, a) for k, a in enumerate(split)))
+        rows = settle(rows.join(hot, "shard").select("fingerprint", F.explode(chosen).alias("_s")).select("fingerprint", "_s.kind", "_s.shard"))
+        fixed = [m | x for m, g in zip(fixed, groups) for x in g]
 
 
-def runs(dealt: DataFrame, key: str, columns: list[str], make, schema: str) -> DataFrame:
-    """make() gives a function from the rows of one key and pair of parts, in order of the part, to row tuples."""
-    ordered = dealt.select(key, "left", "right", "_part", *columns).repartition(key, "left", "right").sortWithinPartitions(key, "left", "right", "_part")
+def runs(dealt: DataFrame, keys: list[str], columns: list[str], make, schema: str) -> DataFrame:
+    """make() gives a function from the rows of equal keys (these first, then columns, in their order) to row tuples."""
+    ordered = dealt.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns)
 
     def start():
         work, held = make(), []
 
         def step(cols):
             nonlocal held
-            for k, rows in groupby(zip(*cols), lambda r: r[:3]):
-                if held and held[0][:3] != k:
+            for k, rows in groupby(zip(*cols), lambda r: r[: len(keys)]):
+                if held and held[0][: len(keys)] != k:
                     yield from work(held)
                     held = []
                 held.extend(rows)
@@ -168,41 +231,73 @@ def runs(dealt: DataFrame, key: str, columns: list[str], make, schema: str) -> D
     return map_rows(ordered, start, schema)
 
 
-def near_links(rows: Iterable[tuple], radius: int) -> Iterator[tuple[int, int]]:
-    """Links of one task's fingerprints (the fifth of each row), less those that others imply."""
+def _tree(rows: list[tuple]) -> BKTree:
+    tree = BKTree()
+    for _, value in rows:
+        tree.add(value & 0xFFFFFFFFFFFFFFFF, value)
+    return tree
+
+
+def _links_in(rows: list[tuple], radius: int) -> Iterator[tuple[int, int]]:
     tree, joined = BKTree(), Joined()
-    for row in rows:
-        left, right, part, value = row[1], row[2], row[3], row[4]
+    for _, value in rows:
         bits = value & 0xFFFFFFFFFFFFFFFF
-        if left == right or part == right:
-            for other in tree.within(bits, radius):
-                if joined.join(value, other):
-                    yield value, other
-        if left == right or part == left:
-            tree.add(bits, value)
+        for other in tree.within(bits, radius):
+            if joined.join(value, other):
+                yield value, other
+        tree.add(bits, value)
 
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """a, b: links between distinct fingerprints of nodes (column fingerprint) that differ by radius bits at most; all
     other such links join what these join already."""
-    rows = nodes.select("fingerprint", F.explode(shard_keys(F.col("fingerprint"), radius)).alias("shard"))
-    return runs(deal(rows, "shard", "fingerprint"), "shard", ["fingerprint"], lambda: lambda own: near_links(own, radius), "a long, b long")
+    dealt = shards(nodes, radius)
+    if dealt.count() > TREES:
+        return runs(dealt, ["shard"], ["fingerprint"], lambda: lambda own: _links_in(own, radius), "a long, b long")
+    packed = runs(dealt, ["shard"], ["fingerprint"], lambda: lambda own: [(own[0][0], _tree(own).packed())], "shard long, tree binary").toArrow()  # 13 bytes a node
+    sent = nodes.sparkSession.sparkContext.broadcast(dict(zip(packed["shard"].to_pylist(), packed["tree"].to_pylist())))
+
+    def make():
+        opened: dict[int, BKTree] = {}
+        joined = Joined()
+
+        def step(cols):
+            for shard, value in zip(*cols):
+                tree = opened.get(shard)
+                if tree is None:
+                    if len(opened) >= 1_000:
+                        opened.clear()
+                    tree = opened[shard] = BKTree.unpacked(sent.value[shard])
+                bits = value & 0xFFFFFFFFFFFFFFFF
+                for other in tree.within(bits, radius):
+                    other = _signed(other)
+                    if other < value and joined.join(value, other):
+                        yield value, other
+
+        return step
+
+    return map_rows(dealt.select("shard", "fingerprint"), make, "a long, b long")
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id that links reach, its own included.
 
-    Null and wordless texts have fingerprint zero and link like others. Each row gives one row; null ids are never a
-    component's id unless it has no others. An empty table gives an empty one.
+    Null and wordless texts have fingerprint zero and link like others. Texts of any length are taken whole. Each row gives
+    one row, repeated rows are in one component; null ids are never a component's id unless it has no others. An empty
+    table gives an empty one. Other columns of docs, whatever their names, play no part.
     """
     signed = settle(fingerprints(docs, width, id_col, text_col))
-    nodes = settle(signed.groupBy("fingerprint").agg(F.min(id_col).alias("_first")))
-    found = components(links(nodes, radius))
-    joined = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select("fingerprint", "_first", F.coalesce("component", "fingerprint").alias("_component"))
+    nodes = settle(signed.groupBy("fingerprint").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")))
+    found = components(settle(links(nodes, radius)))
+    joined = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select("fingerprint", "_first", "_n", F.coalesce("component", "fingerprint").alias("_component"))
     joined = settle(joined)
     least = settle(joined.groupBy("_component").agg(F.min("_first").alias("component_id")))
-    named = settle(joined.join(least, "_component").select(F.col("fingerprint").alias("_print"), "component_id"))
-    out = signed.join(named, F.col("fingerprint") == F.col("_print"))
+    named = settle(joined.join(least, "_component").select(F.col("fingerprint").alias("_print"), "component_id", "_n"))
+    # A fingerprint of very many rows is no hot key: the most frequent ones are sent to all tasks.
+    often = F.broadcast(settle(frequent(named.filter("_n > 1"), "_n", HOT, "_print").drop("_n")))
+    at = F.col("fingerprint") == F.col("_print")
+    rest = signed.join(often.select("_print"), at, "left_anti").join(named.drop("_n"), at)
+    out = signed.join(often, at).unionByName(rest)
     return out.select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -210,8 +305,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
 
 
-#: Near-duplicates by similarity, first pass. Pairs of the least similarity have fingerprints at 10 bits on average, but
-#: farther ones if shingles repeat; what lies beyond is left to the second pass.
+#: Near-duplicates by similarity, first pass. Pairs of the least similarity have fingerprints at 10 bits on average; a
+#: nearest one beyond this many isn't near, and what is lost so is left to the second pass.
 REACH = 28
 #: Shards for similarity: anchors, each made of ROWS minima of hash functions over a text's shingles. A pair at 0.8
 #: shares an anchor with a probability of 1 - (1 - 0.8 ** 3) ** 12, over 0.9998; the second pass finds the others.
@@ -251,36 +346,63 @@ def sketches(docs: DataFrame, width: int, row_col: str, text_col: str) -> DataFr
 
         def step(cols):
             for i, t in zip(*cols):
-                own = shingle_hashes(t, width)
+                own = np.unique(shingle_hashes(t, width))  # similarity is of sets: repeats don't count
                 name = xxh3_128_hexdigest(b" ".join((t or "").encode().lower().split()))
-                yield i, name, fold(own), anchors(np.unique(own)) if len(own) else None
+                yield i, name, fold(own), anchors(own) if len(own) else None
 
         return step
 
     return map_rows(docs.select(row_col, text_col), make, "_row long, class string, fingerprint long, anchors array<long>", rows=5_000)
 
 
-def similar_links(width: int, similarity: float):
-    """For runs(): rows of a shard's part with fingerprint, row number and text -> links of the similarity or more."""
+def deal(rows: DataFrame, key: str, item: str, most: int = SHARD) -> DataFrame:
+    """rows of the keys with two rows or more, with part and to: a key with over `most` rows is cut into parts by a hash of
+    the item. The first part's rows, the shard's tree, go to all parts, the others to their own, so a row of a shard is
+    copied once on average, however large the shard is."""
+    sizes = settle(rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1"))
+    parts = F.ceil(F.col("_n") / most).cast("int")
+    dealt = rows.join(sizes, key).withColumn("part", F.pmod(F.xxhash64(item, F.lit(11)), parts).cast("int"))
+    to = F.when(F.col("part") == 0, F.sequence(F.lit(0), parts - 1)).otherwise(F.array("part"))
+    return dealt.withColumn("to", F.explode(to)).select(*rows.columns, "part", "to")
+
+
+def nearest_links(dealt: DataFrame) -> DataFrame:
+    """a, b: each node of a shard's part with the nearest one of the shard's tree and of what came before in its part."""
+
+    def make():
+        def work(rows):
+            tree = BKTree()
+            for _, to, part, node, value in rows:
+                bits = value & 0xFFFFFFFFFFFFFFFF
+                if part == to and (other := tree.nearest(bits, REACH)) is not None:
+                    yield max(node, other), min(node, other)
+                tree.add(bits, node)
+
+        return work
+
+    return runs(dealt, ["shard", "to"], ["part", "node", "fingerprint"], make, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose texts (node, _text) have the similarity or more."""
+
+    def make():
+        last = [None, None]
+
+        def step(cols):
+            for a, b, s, t in zip(*cols):
+                if last[0] != a:  # pairs come in order of a
+                    last[:] = a, np.unique(shingle_hashes(s, width))
+                mine, theirs = last[1], np.unique(shingle_hashes(t, width))
+                shared = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if shared >= similarity * (len(mine) + len(theirs) - shared):
+                    yield a, b
 
-    def work(rows):
-        tree, joined = BKTree(), Joined()
-        for _, left, right, part, value, name, text in rows:
-            bits, own = value & 0xFFFFFFFFFFFFFFFF, np.unique(shingle_hashes(text, width))
-            if left == right or part == right:
-                for other, theirs in tree.within(bits, REACH):
-                    if joined.find(name) == joined.find(other):
-                        continue
-                    small, large = sorted((len(own), len(theirs)))
-                    if small < similarity * large:
-                        continue
-                    shared = len(np.intersect1d(own, theirs, assume_unique=True))
-                    if shared >= similarity * (small + large - shared) and joined.join(name, other):
-                        yield name, other
-            if left == right or part == left:
-                tree.add(bits, (name, own))
+        return step
 
-    return lambda: work
+    side = lambda n: texts.select(F.col("node").alias(n), F.col("_text").alias(f"_text_{n}"))
+    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "_text_a", "_text_b")
+    return map_rows(full.sortWithinPartitions("a"), make, "a long, b long")
 
 
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
@@ -296,7 +418,7 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     some = texts.filter(F.pmod(F.xxhash64("node", F.lit(17)), F.lit(SAMPLE)) == 0).select("_text")
     each = map_rows(some, make, "own array<long>", rows=5_000).select(F.explode("own").alias("h"))
     counts = settle(each.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN))
-    rows = frequent(counts, "n", COMMON).toArrow()  # COMMON rows at most
+    rows = frequent(counts, "n", COMMON, "h").toArrow()  # COMMON rows at most
     unsettle(counts)
     h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     return h[np.lexsort((h, n))]
@@ -346,26 +468,8 @@ def missed_links(texts: DataFrame, labels: DataFrame, width: int, similarity: fl
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_2")) - 1e-6)
     pairs = left.join(right, "shingle").filter((F.col("node") < F.col("node_2")) & (F.col("_group") != F.col("_group_2")) & (most >= least))
     pairs = settle(pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct())
-    for done in (rows, shared, left):
-        unsettle(done)
-
-    def make():
-        last = [None, None]
-
-        def step(cols):
-            for a, b, s, t in zip(*cols):
-                if last[0] != a:  # pairs come in order of a
-                    last[:] = a, np.unique(shingle_hashes(s, width))
-                mine, theirs = last[1], np.unique(shingle_hashes(t, width))
-                shared = len(np.intersect1d(mine, theirs, assume_unique=True))
-                if shared >= similarity * (len(mine) + len(theirs) - shared):
-                    yield a, b
-
-        return step
-
-    side = lambda n: texts.select(F.col("node").alias(n), F.col("_text").alias(f"_text_{n}"))
-    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "_text_a", "_text_b")
-    return map_rows(full.sortWithinPartitions("a"), make, "a long, b long")
+    unsettle(rows, shared, left)
+    return verified(pairs, texts, width, similarity)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,8 +479,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     Linked are texts whose sets of `width`-word shingles, in lower case, have a Jaccard similarity of `similarity` or
     more; groups are connected by links. Texts with the same words are one node before anything is compared, wordless
     and null ones too. In a first pass shards come from shared anchors, as shards of fingerprint blocks can't reach the
-    ten bits or more that such pairs differ by; within a shard BK-trees find who is near, and whole shingle sets decide.
-    A second pass finds every pair that the first left in two groups, by prefixes of shingle sets.
+    ten bits or more that such pairs differ by; in a shard's BK-tree each text finds its nearest, and whole shingle sets
+    decide. So a group of near copies is joined by about as many links as it has members. A second pass finds every pair
+    that the first left in two groups, by prefixes of shingle sets.
     """
     found = settle(sketches(docs, width, "_row", text_col))
     same_words = F.min(F.struct("_row", "fingerprint", "anchors"))  # equal words: equal fingerprints and anchors
@@ -384,14 +489,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     rows = nodes.select("node", "fingerprint", F.explode("anchors").alias("shard"))
     # Shards with the same members are looked into once: similar texts share most of their anchors.
     members = [F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(5))).alias("_y")]
-    same = rows.groupBy("shard").agg(*members).filter("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("shard").alias("shard"))
-    dealt = settle(deal(rows.join(settle(same.select("shard")), "shard"), "shard", "node"))
-    texts = docs.select("_row", F.col(text_col).alias("_text")).join(settle(dealt.select(F.col("node").alias("_row")).distinct()), "_row", "left_semi")
-    full = dealt.join(settle(texts), F.col("node") == F.col("_row"))
-    joined = components(settle(runs(full, "shard", ["fingerprint", "node", "_text"], similar_links(width, similarity), "a long, b long")))
+    same = settle(rows.groupBy("shard").agg(*members).filter("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("shard").alias("shard")).select("shard"))
+    dealt = settle(deal(rows.join(same, "shard"), "shard", "node"))
+    pairs = settle(nearest_links(dealt).distinct())
+    unsettle(same, dealt)
+    texts = docs.select(F.col("_row").alias("node"), F.col(text_col).alias("_text"))
+    some = texts.join(settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+    joined = components(settle(verified(pairs, settle(some), width, similarity)))
     known = settle(nodes.filter("anchors IS NOT NULL").select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("_group")))
-    whole = docs.select(F.col("_row").alias("node"), F.col(text_col).alias("_text")).join(known.select("node"), "node", "left_semi")
-    missed = settle(missed_links(whole, known, width, similarity))
+    missed = settle(missed_links(texts.join(known.select("node"), "node", "left_semi"), known, width, similarity))
     joined = components(missed.unionByName(joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
     labels = settle(nodes.select("class", "node").join(joined, "node", "left").select(F.col("class").alias("_class"), F.coalesce("component", "node").alias("_group")))
     ids = docs.select(F.col("_row").alias("_r"), F.col(id_col).alias("_id"))
