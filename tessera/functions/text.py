@@ -16,14 +16,14 @@ def strip_c_comments(source: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(source, r"(?s)/\*(?!@).*?\*/", " "), r"//(?!@)[^\n]*", "")
 
 
-def stripped(source: Column) -> Column:
+def stripped(source: Column, strip=strip_comments) -> Column:
     """Without comments and blank lines."""
-    return F.array_join(F.filter(F.split(strip_comments(source), "\n", -1), lambda x: F.regexp_like(x, F.lit(r"\S"))), "\n")
+    return F.array_join(F.filter(F.split(strip(source), "\n", -1), lambda x: F.regexp_like(x, F.lit(r"\S"))), "\n")
 
 
 def split_identifier(name: Column) -> Column:
-    """Lower-case words of two letters or more of a camelCase or snake_case name."""
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "'+$", ""), r"([A-Z]+)([A-Z][a-z])", "$1 $2"), r"([a-z0-9])([A-Z])", "$1 $2")
+    """Lower-case words of two letters or more of a camelCase or snake_case name. A part with a digit in it is none."""
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "'+$", ""), r"([a-z])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
     return F.transform(F.filter(F.split(s, r"[_\s]+", -1), lambda p: F.regexp_like(p, F.lit(r"^\p{L}{2,}$"))), F.lower)
 
 
@@ -82,7 +82,12 @@ def run_label(path: Column) -> Column:
 
 def parsed(content: Column, schema: str) -> Column:
     """Struct from JSON bytes, null where they aren't JSON; bad UTF-8 doesn't stop it."""
-    return F.from_json(F.decode(content, "UTF-8") if not isinstance(content, str) else content, schema, {"mode": "PERMISSIVE"})
+    return F.from_json(decoded(content), schema, {"mode": "PERMISSIVE"})
+
+
+def decoded(content: Column | str) -> Column:
+    """Text of UTF-8 bytes; what isn't UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8((F.col(content) if isinstance(content, str) else content).cast("string"))
 
 
 def property_filter(properties: Column, wanted: list[str]) -> Column:

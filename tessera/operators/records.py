@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.programs import applied_column
+from ..functions.registry import tasks_by_prompt
+from ..functions.text import is_success
 
 MESSAGE = "array<struct<role:string,content:string>>"
 
@@ -30,7 +32,7 @@ def sft_records(examples: DataFrame, systems: dict[str, str], success_only: bool
 
     Ideas stay if a successful implementation took them up: a left semi join on the idea's text.
     """
-    good = F.lower(F.coalesce("outcome", F.lit(""))) == "success"
+    good = is_success(F.col("outcome"))
     rows = examples.filter(F.col("prompt").isin(*systems))
     ideas, others = rows.filter("prompt = 'idea'"), rows.filter("prompt <> 'idea'")
     taken = examples.filter((F.col("prompt") == "implement") & good).select(F.try_element_at("arguments", F.lit("idea")).alias("response")).distinct()
@@ -47,8 +49,20 @@ def tasks_of(examples: DataFrame, tasks: DataFrame) -> DataFrame:
     return examples.join(first, F.col("prompt") == F.col("prompt_type"))
 
 
+def task_records(examples: DataFrame, success_only: bool = True) -> DataFrame:
+    """prompt, messages, completion of the examples whose prompt a registered task takes, worded by that task; those without
+    arguments or response are left out."""
+    rows = examples.filter((F.size("arguments") > 0) & F.col("response").isNotNull())
+    rows = rows.filter(is_success(F.col("outcome"))) if success_only else rows
+    made = F.lit(None).cast(MESSAGE)
+    for kind, task in tasks_by_prompt().items():
+        made = F.when(F.col("prompt") == kind, messages(F.lit(task.system), task.user(F.col("arguments")))).otherwise(made)
+    return rows.select("prompt", made.alias("messages"), F.array(message("assistant", F.col("response"))).alias("completion")).filter("messages IS NOT NULL")
+
+
 def chat_records(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv, prompt (all turns but the last), completion (the last, if it is the assistant's)."""
+    """conv, prompt (all turns but the last), completion (the last, if it is the assistant's). A record is a row with a whole
+    conversation, so that is what one task holds at a time."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("content"))))
     rows = turns.groupBy(conv).agg(ordered.alias("m"))
     plain = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))

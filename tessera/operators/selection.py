@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import max_surprisal
-from .tables import numbered_rows
+from .tables import numbered_rows, running_sums
 
 
 def n_lines(text: Column) -> Column:
@@ -34,22 +34,28 @@ def longest_per_group(df: DataFrame, rule: str, group: str, id_col: str, text_co
     return df.join(best, id_col, "left_semi")
 
 
-def top_surprisal(features: DataFrame, examples: DataFrame, fraction: float, kind: str = "kind") -> DataFrame:
+def top_surprisal(features: DataFrame, examples: DataFrame, fraction: float, kind: str = "kind", present: DataFrame | None = None) -> DataFrame:
     """doc, kind, best_rank of the selected examples (doc, kind).
 
     Within a kind and metric examples are ranked by surprisal; an example's rank is its best one, and the best
-    max(1, ceil(fraction * n)) rankable ones of a kind stay. A kind with no rankable example keeps all of them.
+    max(1, ceil(fraction * n)) rankable ones of a kind stay. A kind with no rankable example keeps all of them. Ranks are
+    running counts over ranges, so a kind that has most examples isn't sorted in one task. present: see max_surprisal().
     """
-    surprisal = max_surprisal(features, "doc", kind)
-    rank = F.row_number().over(Window.partitionBy(kind, "metric").orderBy(F.desc("surprisal"), "doc"))
-    best = surprisal.withColumn("r", rank).groupBy("doc", kind).agg(F.min("r").alias("best_rank"))
-    place = F.row_number().over(Window.partitionBy(kind).orderBy("best_rank", "doc"))
-    kept = F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.count("*").over(Window.partitionBy(kind))))
-    selected = best.withColumn("p", place).withColumn("k", kept).filter("p <= k").select("doc", kind, "best_rank")
-    whole = examples.join(best.select(kind).distinct(), kind, "left_anti").select("doc", kind, F.lit(None).cast("int").alias("best_rank"))
+    surprisal = max_surprisal(features, "doc", kind, present).withColumn("_down", -F.col("surprisal"))
+    ranked = running_sums(surprisal.select("doc", kind, "metric", "_down"), [kind, "metric"], ["_down", "doc"])
+    best = ranked.groupBy("doc", kind).agg(F.min("_upto").cast("int").alias("best_rank"))
+    placed = running_sums(best, [kind], ["best_rank", "doc"])
+    sizes = placed.groupBy(F.col(kind).alias("_kind")).agg(F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.count("*"))).alias("_kept"))  # a row for each kind
+    selected = placed.join(F.broadcast(sizes), F.col(kind).eqNullSafe(F.col("_kind"))).filter("_upto <= _kept").select("doc", kind, "best_rank")
+    whole = examples.join(F.broadcast(sizes), F.col(kind).eqNullSafe(F.col("_kind")), "left_anti").select("doc", kind, F.lit(None).cast("int").alias("best_rank"))
     return selected.unionByName(whole)
 
 
+def supported_metrics(features: DataFrame, wanted: list[str] | None, supported: list[str]) -> DataFrame:
+    """features of the metrics that are both wanted (None: all) and supported."""
+    return features.filter(F.col("metric").isin(*(m for m in supported if wanted is None or m in wanted)))
+
+
 def checkpoints(n: int, factor: float = 1.5, least: int = 10) -> list[int]:
     """Geometric steps from `least` below n, and n."""
     steps, x = [], 1.0

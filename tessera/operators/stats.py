@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import Steps, frequent, running_sums
+
 Z = 1.96
+#: Values, the most frequent ones, that are sent to all tasks where a feature's rows are rated.
+HOT = 65_536
 
 
 def wilson(successes: Column, n: Column, clamp: bool = True) -> tuple[Column, Column]:
@@ -53,15 +57,25 @@ def entropy_bits(features: DataFrame, keys: list[str]) -> DataFrame:
     return pooled.groupBy(*keys).agg(F.greatest(F.lit(0.0), h).alias("entropy"), F.count("*").alias("unique_values"), F.sum("c").alias("total"))
 
 
-def max_surprisal(features: DataFrame, doc: str = "doc", kind: str = "kind") -> DataFrame:
+def max_surprisal(features: DataFrame, doc: str = "doc", kind: str = "kind", present: DataFrame | None = None) -> DataFrame:
     """doc, kind, metric, surprisal: the largest log2(T / c) of a document's values, against the counts of its kind.
 
-    Counts are joined back on (kind, metric, value); a document's values keep their own rows until the maximum.
+    present: the values that each document has, if known without counts (fewer rows than features). The rates of the HOT
+    most frequent values go to all tasks, so their rows are reduced to a maximum a document where they lie; the others
+    have no hot key and are joined by a shuffle.
     """
-    pooled = features.groupBy(kind, "metric", "value").agg(F.sum("cnt").alias("c"))
-    whole = Window.partitionBy(kind, "metric")
-    rated = pooled.withColumn("s", F.log2(F.sum("c").over(whole) / F.col("c"))).select(kind, "metric", "value", "s")
-    return features.join(rated, [kind, "metric", "value"]).groupBy(doc, kind, "metric").agg(F.max("s").alias("surprisal"))
+    keys = [kind, "metric", "value"]
+    counts = features.groupBy(*keys).agg(F.sum("cnt").alias("c"))
+    pooled = Steps(features.sparkSession).add(counts)
+    whole = pooled.groupBy(F.col(kind).alias("_k"), F.col("metric").alias("_m")).agg(F.sum("c").alias("t"))  # a row for each kind and metric
+    sized = pooled.join(F.broadcast(whole), F.col(kind).eqNullSafe(F.col("_k")) & (F.col("metric") == F.col("_m")))
+    rated = sized.select(F.col(kind).alias("_kind"), F.col("metric").alias("_metric"), F.col("value").alias("_value"), "c", F.log2(F.col("t") / F.col("c")).alias("s"))
+    hot = F.broadcast(frequent(rated, "c", HOT).drop("c"))
+    own = (present if present is not None else features).select(doc, *keys)
+    same = F.col(kind).eqNullSafe(F.col("_kind")) & (F.col("metric") == F.col("_metric")) & (F.col("value") == F.col("_value"))
+    near = own.join(hot, same).groupBy(doc, kind, "metric").agg(F.max("s").alias("s"))
+    far = own.join(hot, same, "left_anti").join(rated.drop("c"), same).groupBy(doc, kind, "metric").agg(F.max("s").alias("s"))
+    return near.unionByName(far).groupBy(doc, kind, "metric").agg(F.max("s").alias("surprisal"))
 
 
 def surprisal_against(features: DataFrame, reference: DataFrame) -> DataFrame:
@@ -82,10 +96,25 @@ def novelty(features: DataFrame, order: str = "ord") -> DataFrame:
     return sized.select("metric", "unique_values", "total", (F.col("unique_values") / F.col("total")).alias("p_new"), (F.col("bringers") / F.col("programs")).alias("p_any_new"))
 
 
+def exact_percentiles(df: DataFrame, keys: list[str], x: str, shares: list[float], count: str | None = None) -> DataFrame:
+    """keys, q0, q1, ...: percentiles of x, between neighbours in proportion, as numpy gives them. Values are counted, then
+    summed in order over ranges, so no task holds a group's values. count: how often a row's value counts."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg((F.sum(count) if count else F.count("*")).cast("long").alias("_c"))
+    sums = running_sums(counts, keys, [x], "_c")
+    whole = sums.groupBy(*keys).agg(F.max("_upto").alias("_t")).select(F.struct(*keys).alias("_k"), "_t")
+    placed = sums.join(F.broadcast(whole), F.struct(*keys).eqNullSafe(F.col("_k")))  # a row for each group
+    at = [(F.lit(float(q)) * (F.col("_t") - 1)) for q in shares]
+    ends = [F.min(F.when(F.col("_upto") > f(p), F.col(x))).alias(f"_{n}{i}") for i, p in enumerate(at) for n, f in (("l", F.floor), ("h", F.ceil))]
+    out = placed.groupBy(*keys).agg(F.max("_t").alias("_t"), *ends)
+    return out.select(*keys, *((F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (p - F.floor(p))).alias(f"q{i}") for i, p in enumerate(at)))
+
+
 def two_level(features: DataFrame, keys: list[str]) -> DataFrame:
     """keys, mean, p90, p95 of per-program means of a numeric metric: rows keys, doc, x, cnt."""
     per = features.groupBy(*keys, "doc").agg((F.sum(F.col("x") * F.col("cnt")) / F.sum("cnt")).alias("m"))
-    return per.groupBy(*keys).agg(F.avg("m").alias("mean"), F.percentile("m", 0.9).alias("p90"), F.percentile("m", 0.95).alias("p95"))
+    means = per.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.avg("m").alias("mean"))
+    both = exact_percentiles(per, keys, "m", [0.9, 0.95]).join(means, F.struct(*keys).eqNullSafe(F.struct(*(f"_{k}" for k in keys))))
+    return both.select(*keys, "mean", F.col("q0").alias("p90"), F.col("q1").alias("p95"))
 
 
 def pass_at_k(results: DataFrame, keys: list[str], ks: list[int], drop_above_max: bool = False) -> DataFrame:
@@ -113,6 +142,24 @@ def distribution(df: DataFrame, key: str, k: str) -> DataFrame:
     return counts.withColumn("n_at_least", F.sum("n_exact").over(down))
 
 
+def repair_classes(tasks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, no_repair, repaired, all_failed: tasks done without a repair, those whose last verification after repairs
+    succeeded, and those whose last one didn't. Rows: repair_attempts, work_status, verification (array of outcomes)."""
+    tried = F.size(F.coalesce("verification", F.array().cast("array<string>"))) > 0
+    won = F.coalesce(F.try_element_at("verification", F.lit(-1)) == "SUCCESS", F.lit(False))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return tasks.groupBy(*keys).agg(count((F.col("repair_attempts") == 0) & (F.col("work_status") == "DONE")).alias("no_repair"), count(tried & won).alias("repaired"), count(tried & ~won).alias("all_failed"))
+
+
+def spec_counts(source: Column) -> dict[str, Column]:
+    """Of a program: code_lines (neither blank nor a comment), declarations with a postcondition before their body, asserts
+    and invariants that begin a line."""
+    lines = F.filter(F.transform(F.split(source, "\n", -1), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("//"))
+    begins = lambda w: F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(rf"^{w}\b"))))
+    heads = F.regexp_extract_all(source, F.lit(r"(?s)\b(?:method|function|lemma|predicate)\b(?=([^{]*))"), F.lit(1))
+    return {"code_lines": F.size(lines), "with_ensures": F.size(F.filter(heads, lambda h: F.regexp_like(h, F.lit(r"\bensures\b")))), "asserts": begins("assert"), "invariants": begins("invariant")}
+
+
 def top_values(features: DataFrame, n: int, datasets: list[str], column: str = "dataset") -> DataFrame:
     """value, a count for each dataset, total: the n values of the largest total, ties by value."""
     wide = features.groupBy("value").agg(*(F.sum(F.when(F.col(column) == d, F.col("cnt")).otherwise(0)).alias(d) for d in datasets), F.sum("cnt").alias("total"))
@@ -126,18 +173,30 @@ def top_shares(features: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
     return shared.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), "value"))).filter(F.col("place") <= n)
 
 
-def kde(df: DataFrame, keys: list[str], x: str, grid: list[float], most: int = 20_000) -> DataFrame:
-    """keys, g, density on a grid, with Silverman's bandwidth 0.9 min(sd, iqr / 1.34) n^-0.2. Groups over `most` rows are
-    estimated from the first in order of a hash, as the reference method samples them; that is its feature."""
-    placed = df.select(*keys, F.col(x).cast("double").alias("x")).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    few = placed.filter(F.col("_n") <= most)
-    many = placed.filter(F.col("_n") > most).filter(F.pmod(F.xxhash64("x", F.monotonically_increasing_id()), F.lit(1 << 30)) < F.lit(float(most)) / F.col("_n") * (1 << 30))
-    rows = few.unionByName(many)
-    spread = F.least(F.stddev_samp("x"), (F.percentile("x", 0.75) - F.percentile("x", 0.25)) / 1.34)
-    width = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.when(spread > 0, spread).otherwise(F.stddev_samp("x")).alias("s")).filter("n > 1 AND s > 0").withColumn("h", 0.9 * F.col("s") * F.pow("n", F.lit(-0.2)))
-    joined = rows.join(width, keys).withColumn("g", F.explode(F.array(*map(F.lit, grid))))
+def kde(df: DataFrame, keys: list[str], x: str, grid: list[float] | DataFrame, most: int = 20_000) -> DataFrame:
+    """keys, g, density on a grid (numbers, or a table of g by some of the keys), with Silverman's bandwidth
+    0.9 min(sd, iqr / 1.34) n^-0.2. Groups over `most` rows are estimated from about that many, taken by a hash of the row's
+    value and its count among equal ones, which is a feature of the estimate and doesn't depend on the files' layout."""
+    counted = df.groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.count("*").alias("c")).filter("x IS NOT NULL")
+    k = F.struct(*keys)
+    sizes = counted.groupBy(*keys).agg(F.sum("c").alias("_n")).select(k.alias("_k"), "_n")
+    # Of a value that stands c times in a group of n, c * most / n are taken, the fraction by a hash.
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("_n")) * F.col("c")
+    taken = F.floor(share) + ((F.pmod(F.xxhash64("x"), F.lit(1 << 30)) / float(1 << 30)) < share - F.floor(share)).cast("long")
+    rows = counted.join(F.broadcast(sizes), k.eqNullSafe(F.col("_k"))).withColumn("w", taken).filter("w > 0").select(*keys, "x", "w")
+    moments = rows.groupBy(*keys).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("s1"), F.min("x").alias("base"))
+    spread = rows.join(F.broadcast(moments.select(k.alias("_k"), "n", (F.col("s1") / F.col("n")).alias("mean"))), k.eqNullSafe(F.col("_k")))
+    sd = spread.groupBy(*keys).agg(F.max("n").alias("n"), F.sqrt(F.sum(F.col("w") * F.pow(F.col("x") - F.col("mean"), 2)) / (F.max("n") - 1)).alias("sd")).filter("n > 1").select(k.alias("_k"), "n", "sd")
+    iqr = exact_percentiles(rows, keys, "x", [0.25, 0.75], "w").select(k.alias("_i"), ((F.col("q1") - F.col("q0")) / 1.34).alias("iqr"))
+    least = F.least("sd", "iqr")
+    width = sd.join(iqr, F.col("_k").eqNullSafe(F.col("_i"))).withColumn("s", F.when(least > 0, least).otherwise(F.col("sd"))).filter("s > 0").select("_k", "n", (0.9 * F.col("s") * F.pow("n", F.lit(-0.2))).alias("h"))
+    joined = rows.join(F.broadcast(width), k.eqNullSafe(F.col("_k")))
+    if isinstance(grid, list):
+        joined = joined.withColumn("g", F.explode(F.array(*map(F.lit, grid))))
+    else:
+        joined = joined.join(F.broadcast(grid), [c for c in grid.columns if c != "g"])
     z = (F.col("g") - F.col("x")) / F.col("h")
-    return joined.groupBy(*keys, "g").agg((F.sum(F.exp(-0.5 * z * z)) / F.first(F.col("n") * F.col("h")) / (2 * 3.141592653589793) ** 0.5).alias("density"))
+    return joined.groupBy(*keys, "g").agg((F.sum(F.col("w") * F.exp(-0.5 * z * z)) / F.first(F.col("n") * F.col("h")) / (2 * 3.141592653589793) ** 0.5).alias("density"))
 
 
 def index_percentile(values: Column, q: float) -> Column:

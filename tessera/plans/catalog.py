@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import programs, text
-from ..operators import records, selection, stats, store
+from ..operators import iterations, records, selection, stats, store
+from ..sources import io
 from .registry import query
 
 FLAGSHIP = "top_surprisal"
@@ -34,13 +35,15 @@ def labelled(spark, sf_dir) -> DataFrame:
     return docs.join(labels, "doc_id")
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """doc, kind, metric, value, cnt: words of each text, and its number of lines. A document's own words are counted
-    before anything shuffles: partial sums by (doc, word)."""
-    each = docs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("kind"), F.explode(F.split("text", " ", -1)).alias("value")).filter("value <> ''")
-    counted = each.groupBy("doc", "kind", "value").agg(F.count("*").alias("cnt")).select("doc", "kind", F.lit("word").alias("metric"), "value", "cnt")
-    lines = docs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("kind"), F.lit("lines").alias("metric"), F.size(F.split("text", "\n", -1)).cast("string").alias("value"), F.lit(1).cast("long").alias("cnt"))
-    return counted.unionByName(lines)
+def words(docs: DataFrame, distinct: bool = False) -> DataFrame:
+    """doc, kind, metric, value, cnt: words of each text, and its number of lines. A word has a row each time it stands, or
+    once with distinct: what sums counts does so before it shuffles, so documents' words never shuffle on their own."""
+    each = F.split("text", " ", -1)
+    value = F.explode(F.array_distinct(each) if distinct else each)
+    name = [F.col("doc_id").alias("doc"), F.col("lang").alias("kind")]
+    one = F.lit(1).cast("long").alias("cnt")
+    found = docs.select(*name, F.lit("word").alias("metric"), value.alias("value"), one).filter("value <> ''")
+    return found.unionByName(docs.select(*name, F.lit("lines").alias("metric"), F.size(F.split("text", "\n", -1)).cast("string").alias("value"), one))
 
 
 WORDS = """features AS (
@@ -137,12 +140,16 @@ def codebase_stats(spark, sf_dir):
 
 
 @query("dataset_stats", """WITH b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS k FROM documents)
-SELECT (SELECT count(DISTINCT source) FROM documents) AS ideas, (SELECT count(*) FROM documents) AS variations, (SELECT count(DISTINCT l) FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM b WHERE k = 1) WHERE l <> '') AS distinct_lines""")
+SELECT (SELECT count(DISTINCT source) FROM documents) AS ideas, (SELECT count(*) FROM documents) AS variations, (SELECT count(DISTINCT l) FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM b WHERE k = 1) WHERE l <> '') AS distinct_lines,
+(SELECT sum(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '//'))))::BIGINT FROM b WHERE k = 1) AS code_lines,
+(SELECT sum(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^assert\b'))))::BIGINT FROM b WHERE k = 1) AS asserts""")
 def dataset_stats(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     best = selection.longest_per_group(docs, "text", "source", "doc_id", "text")
     lines = best.select(F.explode(F.split("text", "\n", -1)).alias("l")).filter("l <> ''").agg(F.countDistinct("l").alias("distinct_lines"))
-    return docs.agg(F.countDistinct("source").alias("ideas"), F.count("*").alias("variations")).join(F.broadcast(lines))  # one row each
+    counts = stats.spec_counts(F.col("text"))
+    specs = best.agg(F.sum(counts["code_lines"]).alias("code_lines"), F.sum(counts["asserts"]).alias("asserts"))
+    return docs.agg(F.countDistinct("source").alias("ideas"), F.count("*").alias("variations")).join(F.broadcast(lines)).join(F.broadcast(specs))  # one row each
 
 
 @query("hub_stats", """SELECT lang, sum(len(regexp_extract_all(text, '[0-9]+')))::BIGINT AS numbers, sum(len(regexp_extract_all(text, '[.]')))::BIGINT AS stops FROM documents GROUP BY lang""")
@@ -173,7 +180,8 @@ s AS (SELECT doc, kind, metric, max(s) AS surprisal FROM features JOIN t USING (
 
 @query("max_surprisal", f"WITH {_S} SELECT doc, kind, metric, round(surprisal, 6) AS surprisal FROM s")
 def max_surprisal(spark, sf_dir):
-    return r6(stats.max_surprisal(words(load(spark, sf_dir, "documents"))), "surprisal")
+    docs = load(spark, sf_dir, "documents")
+    return r6(stats.max_surprisal(words(docs), present=words(docs, distinct=True)), "surprisal")
 
 
 @query("top_surprisal", f"""WITH {_S}, r AS (SELECT doc, kind, row_number() OVER (PARTITION BY kind, metric ORDER BY round(surprisal, 6) DESC, doc) AS k FROM s), b AS (SELECT doc, kind, min(k) AS best_rank FROM r GROUP BY ALL),
@@ -181,31 +189,28 @@ q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY best_rank, doc) AS
 SELECT doc, kind, best_rank::INT AS best_rank FROM q WHERE place <= kept""")
 def top_surprisal(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    return selection.top_surprisal(words(docs), docs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("kind")), 0.33)
+    return selection.top_surprisal(words(docs), docs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("kind")), 0.33, present=words(docs, distinct=True))
 
 
 @query("surprisal_against", f"""WITH {WORDS}, bench AS (SELECT 'word' AS metric, value, count(*) AS c FROM (SELECT unnest(string_split(text, ' ')) AS value FROM benchmark) WHERE value <> '' GROUP BY value), t AS (SELECT metric, value, log2(sum(c) OVER () / c) AS s FROM bench)
 SELECT doc, metric, CASE WHEN isinf(max(coalesce(s, 'inf'::DOUBLE))) THEN -1 ELSE round(max(coalesce(s, 'inf'::DOUBLE)), 6) END AS surprisal FROM (SELECT * FROM features WHERE metric = 'word') LEFT JOIN t USING (metric, value) GROUP BY ALL""")
 def surprisal_against(spark, sf_dir):
     bench = load(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("value")).filter("value <> ''").select(F.lit("word").alias("metric"), "value", F.lit(1).alias("cnt"))
-    out = stats.surprisal_against(words(load(spark, sf_dir, "documents")).filter("metric = 'word'"), bench)
+    out = stats.surprisal_against(words(load(spark, sf_dir, "documents"), distinct=True).filter("metric = 'word'"), bench)
     return out.withColumn("surprisal", F.when(F.col("surprisal") == float("inf"), -1.0).otherwise(F.round("surprisal", 6)))
 
 
-STEPS = [10, 22, 50, 113, 200]
-
-
-@query("rarefaction", f"""WITH {WORDS}, o AS (SELECT doc, row_number() OVER (ORDER BY (doc * 7919) % 100003, doc) AS ord FROM (SELECT DISTINCT doc FROM features)), steps AS (SELECT unnest({STEPS}) AS n),
+@query("rarefaction", f"""WITH {WORDS}, o AS (SELECT doc, row_number() OVER (ORDER BY (doc * 7919) % 100003, doc) AS ord FROM (SELECT DISTINCT doc FROM features)),
+steps AS (SELECT DISTINCT floor(pow(1.5, k))::BIGINT AS n FROM range(0, 80) t(k) WHERE floor(pow(1.5, k)) >= 10 AND pow(1.5, k) < (SELECT count(*) FROM o) UNION SELECT count(*) FROM o),
 p AS (SELECT n, metric, value, sum(cnt) AS c FROM features JOIN o USING (doc) JOIN steps ON ord <= n GROUP BY ALL) SELECT n, metric, {_H} AS entropy, count(*) AS unique_values FROM p GROUP BY n, metric""")
 def rarefaction(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
-    # Only the first programs of the order matter: a top-k, not a sort of all.
-    first = docs.select("doc_id").orderBy(order_key(F.col("doc_id")), "doc_id").limit(max(STEPS))
-    from pyspark.sql import Window
+    return r6(selection.rarefaction_curve(words(load(spark, sf_dir, "documents")), order_key(F.col("doc"))), "entropy")
 
-    placed = first.withColumn("ord", F.row_number().over(Window.orderBy(order_key(F.col("doc_id")), "doc_id"))).withColumnRenamed("doc_id", "doc")
-    features = words(docs.join(F.broadcast(first), "doc_id", "left_semi")).join(F.broadcast(placed), "doc")  # max(STEPS) rows
-    return r6(selection.rarefaction(features, STEPS), "entropy")
+
+@query("shared_metrics", f"""WITH {WORDS} SELECT metric, sum(cnt)::BIGINT AS n FROM features WHERE metric IN ('lines') GROUP BY metric""")
+def shared_metrics(spark, sf_dir):
+    kept = selection.supported_metrics(words(load(spark, sf_dir, "documents")), ["lines", "loops"], ["word", "lines"])
+    return kept.groupBy("metric").agg(F.sum("cnt").alias("n"))
 
 
 @query("diversity_table", """WITH per AS (SELECT lang, doc_id, len(string_split(text, chr(10)))::DOUBLE AS m FROM documents) SELECT lang, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.9), 6) AS p90, round(quantile_cont(m, 0.95), 6) AS p95 FROM per GROUP BY lang""")
@@ -271,22 +276,32 @@ def solved_by_one(spark, sf_dir):
     return solved.groupBy("user_id").agg(F.min("model").alias("model"), F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
-@query("models_side_by_side", f"""WITH {_RESULTS}, s AS (SELECT model, user_id, max(success::INT) AS ok FROM results GROUP BY ALL), a AS (SELECT * FROM s WHERE model = (SELECT min(model) FROM s)), b AS (SELECT * FROM s WHERE model = (SELECT max(model) FROM s)) SELECT user_id, a.ok AS first_ok, b.ok AS last_ok FROM a FULL JOIN b USING (user_id)""")
+@query("models_side_by_side", f"""WITH {_RESULTS}, s AS (SELECT model, user_id, max(success::INT) AS ok FROM results GROUP BY ALL) SELECT user_id, string_agg(model || '=' || ok, '|' ORDER BY model) AS solved FROM s GROUP BY user_id""")
 def models_side_by_side(spark, sf_dir):
     best = results(spark, sf_dir).groupBy("model", "user_id").agg(F.max(F.col("success").cast("int")).alias("ok"))
-    ends = best.agg(F.min("model").alias("lo"), F.max("model").alias("hi"))
-    marked = best.join(F.broadcast(ends))  # one row
-    return marked.filter("model = lo OR model = hi").groupBy("user_id").agg(F.max(F.when(F.col("model") == F.col("lo"), F.col("ok"))).alias("first_ok"), F.max(F.when(F.col("model") == F.col("hi"), F.col("ok"))).alias("last_ok"))
+    each = F.array_sort(F.collect_list(F.struct("model", "ok")))  # a row for each model
+    return best.groupBy("user_id").agg(each.alias("m")).select("user_id", F.array_join(F.transform("m", lambda x: F.concat_ws("=", x["model"], x["ok"].cast("string"))), "|").alias("solved"))
+
+
+@query("repair_classes", """WITH t AS (SELECT event_type, event_id % 3 AS repairs, CASE event_id % 4 WHEN 0 THEN 'DONE' ELSE 'FAILED' END AS status, CASE event_id % 5 WHEN 0 THEN [] WHEN 1 THEN ['FAIL'] ELSE ['FAIL', 'SUCCESS'] END AS v FROM events)
+SELECT event_type, sum((repairs = 0 AND status = 'DONE')::INT)::BIGINT AS no_repair, sum((len(v) > 0 AND v[-1] = 'SUCCESS')::INT)::BIGINT AS repaired, sum((len(v) > 0 AND v[-1] <> 'SUCCESS')::INT)::BIGINT AS all_failed FROM t GROUP BY event_type""")
+def repair_classes(spark, sf_dir):
+    k = F.col("event_id")
+    tried = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array(F.lit("FAIL"))).otherwise(F.array(F.lit("FAIL"), F.lit("SUCCESS")))
+    rows = load(spark, sf_dir, "events").select("event_type", (k % 3).alias("repair_attempts"), F.when(k % 4 == 0, "DONE").otherwise("FAILED").alias("work_status"), tried.alias("verification"))
+    return stats.repair_classes(rows, ["event_type"])
 
 
 # --- store ---------------------------------------------------------------------------------------------------------
 
 
-@query("lineage", """WITH RECURSIVE up AS (SELECT doc_id AS node, doc_id // 2 AS ancestor, 1 AS distance FROM documents WHERE doc_id % 20 = 0 AND doc_id > 0 UNION ALL SELECT node, ancestor // 2, distance + 1 FROM up WHERE ancestor > 0) SELECT node, ancestor, min(distance)::INT AS distance FROM up GROUP BY node, ancestor""")
+_UP = """WITH RECURSIVE up AS (SELECT doc_id AS node, doc_id // 2 AS ancestor, 1 AS distance, 1 + doc_id % 5 AS factor FROM documents WHERE doc_id > 0 UNION ALL SELECT node, ancestor // 2, distance + 1, factor FROM up WHERE ancestor > 0)"""
+
+
+@query("lineage", _UP + " SELECT node, ancestor, min(distance)::INT AS distance FROM up GROUP BY node, ancestor")
 def lineage(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id")
-    parents = docs.filter("doc_id > 0").select(F.col("doc_id").alias("node"), F.floor(F.col("doc_id") / 2).cast("long").alias("parent"))
-    return store.lineage(parents, docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("node")))
+    return store.lineage(docs.filter("doc_id > 0").select(F.col("doc_id").alias("node"), F.floor(F.col("doc_id") / 2).cast("long").alias("parent")))
 
 
 _TASKS = """tasks AS (SELECT o_orderkey AS id, o_totalprice AS priority, o_custkey AS dep, o_orderstatus FROM orders), eff AS (SELECT id, priority, o_orderstatus, priority * coalesce(c_acctbal / 1000, 1) AS effective FROM tasks LEFT JOIN customer ON c_custkey = dep)"""
@@ -309,11 +324,37 @@ def claim_batch(spark, sf_dir):
     return store.claim(rated, 50).select("id", F.round("effective", 4).alias("effective"))
 
 
-@query("propagated_priority", """WITH RECURSIVE up AS (SELECT doc_id AS node, doc_id // 2 AS ancestor, 1 AS distance, 1 + doc_id % 5 AS factor FROM documents WHERE doc_id % 20 = 0 AND doc_id > 0 UNION ALL SELECT node, ancestor // 2, distance + 1, factor FROM up WHERE ancestor > 0) SELECT ancestor AS node, round(max(factor * pow(0.5, distance)), 6) AS factor FROM up GROUP BY ancestor""")
+@query("propagated_priority", _UP + """, f AS (SELECT ancestor AS node, max(factor * pow(0.5, distance)) AS factor FROM up GROUP BY ancestor)
+SELECT doc_id AS node, round(factor, 6) AS factor, round(greatest(doc_id % 3, coalesce(factor, 0)), 6) AS priority FROM documents LEFT JOIN f ON doc_id = node""")
 def propagated_priority(spark, sf_dir):
-    closure = lineage(spark, sf_dir)
-    updates = load(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("node"), (1 + F.col("doc_id") % 5).alias("factor"))
-    return r6(store.propagate_priority(closure, updates, 0.5), "factor")
+    docs = load(spark, sf_dir, "documents")
+    updates = docs.select(F.col("doc_id").alias("node"), (1 + F.col("doc_id") % 5).alias("factor"))
+    own = docs.select(F.col("doc_id").alias("node"), (F.col("doc_id") % 3).cast("double").alias("priority"))
+    return r6(store.propagate_priority(lineage(spark, sf_dir), updates, 0.5, own), "factor", "priority")
+
+
+_LOG = """log AS (SELECT user_id AS id, event_id AS ord, CASE event_id % 5 WHEN 0 THEN 'DOING' WHEN 1 THEN 'ATTEMPTED' WHEN 2 THEN 'DONE' WHEN 3 THEN 'FAILED' END AS status, CASE event_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS factor FROM events)"""
+
+
+def task_log(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    events, k = load(spark, sf_dir, "events"), F.col("event_id")
+    status = F.when(k % 5 == 0, "DOING").when(k % 5 == 1, "ATTEMPTED").when(k % 5 == 2, "DONE").when(k % 5 == 3, "FAILED")
+    notes = F.create_map(F.concat(F.lit("k"), (k % 2).cast("string")), k.cast("string"))
+    log = events.select(F.col("user_id").alias("id"), k.alias("ord"), status.alias("status"), F.when(k % 3 == 0, 0.5).when(k % 3 == 1, 1.0).otherwise(2.0).alias("factor"), notes.alias("notes"))
+    tasks = events.select(F.col("user_id").alias("id")).distinct().select("id", F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("type"), F.lit(1.0).alias("priority"), F.lit("NEW").alias("work_status"), F.lit(0).alias("attempts"), F.lit(None).cast("map<string,string>").alias("worker_notes"))
+    return tasks, log
+
+
+@query("updated_tasks", f"""WITH {_LOG} SELECT id, coalesce(arg_max(status, ord) FILTER (status IS NOT NULL), 'NEW') AS work_status, sum((status IN ('DOING', 'ATTEMPTED'))::INT)::INT AS attempts, log2(product(factor))::DOUBLE AS log_priority, max(ord)::VARCHAR AS last_note FROM log GROUP BY id""")
+def updated_tasks(spark, sf_dir):
+    after = store.updated_tasks(*task_log(spark, sf_dir))
+    note = F.array_max(F.transform(F.map_values("worker_notes"), lambda x: x.cast("long"))).cast("string")
+    return after.select("id", "work_status", "attempts", F.log2("priority").alias("log_priority"), note.alias("last_note"))
+
+
+@query("attempt_outcomes", f"""WITH {_LOG} SELECT 't' || (id % 3) AS type, status, count(*) AS n FROM log WHERE status IN ('ATTEMPTED', 'DONE', 'FAILED') GROUP BY ALL""")
+def attempt_outcomes(spark, sf_dir):
+    return store.outcomes(*task_log(spark, sf_dir))
 
 
 @query("recovered_tasks", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'ATTEMPTED' ELSE o_orderstatus END AS work_status FROM orders")
@@ -394,7 +435,22 @@ def iteration_metrics(spark, sf_dir):
     return r6(stats.success_rate(rows, ["iteration", "lang"], F.col("quality") == 1), "rate", "ci_low", "ci_high")
 
 
-@query("kde", """WITH b AS (SELECT lang, length(text)::DOUBLE AS x FROM documents WHERE doc_id % 1 = 0), w AS (SELECT lang, count(*) AS n, 0.9 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * pow(count(*), -0.2) AS h FROM b GROUP BY lang HAVING count(*) > 1)
+@query("iteration_entropy", f"""WITH {WORDS}, p AS (SELECT (doc % 3)::INT AS iteration, metric, value, sum(cnt) AS c FROM features GROUP BY ALL) SELECT iteration, metric, {_H} AS entropy, count(*) AS unique_values, sum(c)::BIGINT AS total FROM p GROUP BY iteration, metric""")
+def iteration_entropy(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    found = iterations.discover(["run-seed-a", "run-seed-b", "run_it1", "run_it2"], r"-seed-", r"_it(\d+)$")
+    parts = {"run-seed-a": "doc_id % 6 = 0", "run-seed-b": "doc_id % 6 = 3", "run_it1": "doc_id % 3 = 1", "run_it2": "doc_id % 3 = 2"}
+    return r6(iterations.entropies(iterations.collected(found, lambda path: words(docs.filter(parts[path])))), "entropy")
+
+
+@query("iteration_distributions", """WITH f AS (SELECT (doc_id % 3)::INT AS iteration, 'lines' AS metric, len(string_split(text, chr(10)))::DOUBLE AS x FROM documents), e AS (SELECT round(quantile_cont(x, 0.5), 6) AS low, round(quantile_cont(x, 0.99), 6) AS high FROM f)
+SELECT iteration, metric, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.9), 6) AS p90, round(quantile_cont(x, 0.95), 6) AS p95, any_value(low) AS low, any_value(high) AS high FROM f, e GROUP BY iteration, metric""")
+def iteration_distributions(spark, sf_dir):
+    rows = load(spark, sf_dir, "documents").select((F.col("doc_id") % 3).cast("int").alias("iteration"), F.lit("lines").alias("metric"), F.size(F.split("text", "\n", -1)).cast("double").alias("x"), F.lit(1).cast("long").alias("cnt"))
+    return r6(iterations.distributions(rows), "mean", "p90", "p95", "low", "high")
+
+
+@query("kde", """WITH b AS (SELECT lang, length(text)::DOUBLE AS x FROM documents ), w AS (SELECT lang, count(*) AS n, 0.9 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * pow(count(*), -0.2) AS h FROM b GROUP BY lang HAVING count(*) > 1)
 SELECT lang, g, round(sum(exp(-0.5 * pow((g - x) / h, 2))) / any_value(n * h) / sqrt(2 * pi()), 9) AS density FROM b JOIN w USING (lang), (SELECT unnest([0.0, 500.0, 1000.0, 2000.0, 5000.0]) AS g) GROUP BY ALL""")
 def kde(spark, sf_dir):
     out = stats.kde(load(spark, sf_dir, "documents").select("lang", F.length("text").alias("x")), ["lang"], "x", [0.0, 500.0, 1000.0, 2000.0, 5000.0])
@@ -420,9 +476,22 @@ def stripped_lines(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.when(cut == "", 0).otherwise(F.size(F.split(cut, "\n", -1))).alias("n"))
 
 
-@query("slugs", r"""SELECT item_id, regexp_replace(substring(regexp_replace(regexp_replace(lower(substring(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug FROM benchmark""")
+@query("slugs", r"""SELECT item_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM benchmark""")
 def slugs(spark, sf_dir):
-    return load(spark, sf_dir, "benchmark").select("item_id", text.slugify(F.substring("text", 1, 200), 60).alias("slug"))
+    return load(spark, sf_dir, "benchmark").select("item_id", text.slugify(F.col("text")).alias("slug"))
+
+
+@query("examples", """SELECT 'd' || doc_id AS _path, lang AS prompt, text || chr(65533) AS response, CASE WHEN doc_id % 2 = 0 THEN 'success' END AS outcome FROM documents WHERE doc_id % 7 <> 0""")
+def examples(spark, sf_dir):
+    """Stored examples of all documents, in each a byte that is no UTF-8; a seventh are no JSON."""
+    k, plain = F.col("doc_id"), lambda c: F.encode(c, "UTF-8")
+    cut = lambda c, n: F.expr(f"substring({c}, 1, length({c}) - {n})")
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.col("lang").alias("prompt"))).alias("head"), F.to_json(F.struct(F.col("text").alias("response"))).alias("body"))
+    tail = F.when(k % 2 == 0, F.lit('","outcome":"success"}')).otherwise(F.lit('"}'))
+    # {"prompt":"en" , "response":"... FF "...}
+    raw = F.concat(plain(cut("head", 1)), plain(F.lit(",")), plain(F.expr("substring(body, 2, length(body) - 3)")), F.unhex(F.lit("FF")), plain(tail))
+    objects = docs.select(F.concat(F.lit("d"), k.cast("string")).alias("path"), F.when(k % 7 == 0, F.unhex(F.lit("FFFE7B"))).otherwise(raw).alias("content"))
+    return io.examples(objects).select("_path", "prompt", "response", "outcome")
 
 
 @query("spec_preserved", r"""SELECT a.doc_id, len(list_distinct(list_filter(list_transform(string_split(b.text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT list_contains(list_transform(string_split(a.text, chr(10)), lambda y: trim(y)), x))))::INT AS missing FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
@@ -438,17 +507,42 @@ def language_features(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", counted.alias("c")).select("doc_id", *(F.coalesce(F.try_element_at("c", F.lit(k)), F.lit(0)).alias(k) for k in ("articles", "bars")))
 
 
-@query("text_diffs", """SELECT a.conv_id, a.turn, true AS round_trip FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+_TURNS = """t AS (SELECT conv_id, turn, replace(text, ' ', chr(10)) || chr(10) AS lines FROM conversations), p AS (SELECT a.conv_id, a.turn, a.lines AS before, b.lines AS after FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+
+@query("text_diffs", f"""WITH {_TURNS} SELECT conv_id, turn, sha256(after) AS applied, (len(string_split(after, chr(10))) - len(string_split(before, chr(10))))::INT AS more_lines, before = after AS same FROM p""")
 def text_diffs(spark, sf_dir):
-    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.regexp_replace("text", " ", "\n"), F.lit("\n")).alias("before"))
+    """Diffs of whole turns, a word a line: what applying them gives, and how many lines they add less those they remove."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.replace("text", F.lit(" "), F.lit("\n")), F.lit("\n")).alias("before"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("before").alias("after"))
-    pairs = turns.join(after, ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", (programs.applied_column(F.col("before"), programs.diff_column(F.col("before"), F.col("after"))) == F.col("after")).alias("round_trip"))
+    pairs = turns.join(after, ["conv_id", "turn"]).withColumn("diff", programs.diff_column(F.col("before"), F.col("after")))
+    begins = lambda sign: F.size(F.filter(F.split("diff", "\n", -1), lambda x: x.startswith(f"{sign} ")))
+    applied = programs.applied_column(F.col("before"), F.col("diff"))
+    return pairs.select("conv_id", "turn", F.sha2(applied, 256).alias("applied"), (begins("+") - begins("-")).alias("more_lines"), (F.col("diff") == "").alias("same"))
+
 
+@query("appended_lines", """SELECT doc_id, sha256(text || chr(10) || 'one line more' || chr(10)) AS applied, 1 AS n_added, 0 AS n_removed FROM documents WHERE length(text) > 0 AND NOT ends_with(text, chr(10))""")
+def appended_lines(spark, sf_dir):
+    """Diffs that append a line to whole texts: nothing but that line is added."""
+    docs = load(spark, sf_dir, "documents").filter((F.length("text") > 0) & ~F.endswith("text", F.lit("\n"))).select("doc_id", F.concat("text", F.lit("\n")).alias("before"))
+    pairs = docs.withColumn("after", F.concat("before", F.lit("one line more\n"))).withColumn("diff", programs.diff_column(F.col("before"), F.col("after")))
+    begins = lambda sign: F.size(F.filter(F.split("diff", "\n", -1), lambda x: x.startswith(f"{sign} ")))
+    return pairs.select("doc_id", F.sha2(programs.applied_column(F.col("before"), F.col("diff")), 256).alias("applied"), begins("+").alias("n_added"), begins("-").alias("n_removed"))
 
-@query("reverse_patches", """SELECT a.item_id, true AS round_trip FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1""")
+
+@query("reverse_patches", """SELECT a.item_id, sha256(b.text) AS restored, octet_length(encode(b.text)) AS bytes FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1""")
 def reverse_patches(spark, sf_dir):
     rows = load(spark, sf_dir, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("new"))
     old = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("new").alias("old"))
     patched = programs.patched_column(F.col("new"), programs.patch_column(F.col("new"), F.col("old")))
-    return rows.join(old, "item_id").select("item_id", (patched == F.col("old")).alias("round_trip"))
+    return rows.join(old, "item_id").withColumn("patched", patched).select("item_id", F.sha2("patched", 256).alias("restored"), F.octet_length("patched").cast("long").alias("bytes"))
+
+
+@query("dataset_records", r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(regexp_replace(text, '/\*(?s:.*?)\*/', ' ', 'g'), '//[^\n]*', '', 'g'), chr(10)), lambda x: regexp_matches(x, '\S')))::INT AS n_lines, 'method' AS kind, 1 AS invariants FROM documents""")
+def dataset_records(spark, sf_dir):
+    """Every text as a program's comment-free lines, below a declaration that makes it one."""
+    head = "method M()\n{\n  while true\n    invariant true\n  { }\n}\n"
+    objects = load(spark, sf_dir, "documents").select(F.concat(F.lit("dataset/"), F.col("doc_id").cast("string")).alias("path"), F.encode(F.concat(F.lit(head), F.translate("text", "{}", "")), "UTF-8").alias("content"))
+    rows = io.dataset_records(objects)
+    lines = F.size(F.split("source", "\n", -1)) - 6
+    return rows.select(F.replace("path", F.lit("dataset/")).cast("long").alias("doc_id"), lines.alias("n_lines"), F.col("methods")[0]["kind"].alias("kind"), F.col("methods")[0]["invariants"].alias("invariants"))

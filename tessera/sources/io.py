@@ -7,6 +7,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import decoded, first_fenced, is_success, parsed
 from ..operators.tables import numbered_rows
 
 #: Schemas of a checkpoint's tables.
@@ -41,10 +42,10 @@ def scan_prefix(objects: DataFrame, prefix: str) -> DataFrame:
 def examples(objects: DataFrame, types: list[str] | None = None, prompts: list[str] | None = None, success_only: bool = False) -> DataFrame:
     """Examples parsed from objects' JSON, with the object's path as _path; content that isn't JSON is left out."""
     rows = objects if types is None else objects.filter(F.col("type").isin(*types))
-    parsed = rows.select(F.col("path").alias("_path"), F.from_json(F.decode("content", "UTF-8"), EXAMPLE).alias("e")).filter("e IS NOT NULL AND e.prompt IS NOT NULL").select("_path", "e.*")
+    found = rows.select(F.col("path").alias("_path"), parsed(F.col("content"), EXAMPLE).alias("e")).filter("e IS NOT NULL AND e.prompt IS NOT NULL").select("_path", "e.*")
     if prompts is not None:
-        parsed = parsed.filter(F.col("prompt").isin(*prompts))
-    return parsed.filter(F.lower(F.coalesce("outcome", F.lit(""))) == "success") if success_only else parsed
+        found = found.filter(F.col("prompt").isin(*prompts))
+    return found.filter(is_success(F.col("outcome"))) if success_only else found
 
 
 def verified_programs(objects: DataFrame, kind: str, good: list[str], prefix: str = "dataset/") -> DataFrame:
@@ -73,9 +74,12 @@ def programs_in(spark: SparkSession, where: str) -> DataFrame:
 
 
 def pooled(sources: dict[str, list[DataFrame]]) -> DataFrame:
-    """label, and the rows of all its sources; their languages must be the same."""
+    """label, and the rows of all its sources. Where sources have a language column, those of a label must be of one."""
     out = None
     for label, frames in sources.items():
+        kinds = {r[0] for df in frames if "language" in df.columns for r in df.select("language").distinct().limit(2).collect()}
+        if len(kinds) > 1:
+            raise ValueError(f"sources of {label} are of different languages: {sorted(map(str, kinds))}")
         for df in frames:
             own = df.withColumn("label", F.lit(label))
             out = own if out is None else out.unionByName(own)
@@ -97,8 +101,6 @@ def json_array(spark: SparkSession, where: str, schema: str, most: int | None =
 
 def converted(rows: DataFrame, text: str, good: list[str], most: int | None = None) -> DataFrame:
     """Rows whose status is good (missing: success) and that have a fenced block, with it as code."""
-    from ..functions.text import first_fenced
-
     kept = rows.filter(F.lower(F.coalesce("status", F.lit("success"))).isin(*good)).withColumn("code", first_fenced(F.col(text))).filter("code IS NOT NULL")
     return kept if most is None else kept.limit(most)
 
@@ -148,6 +150,38 @@ def write_files(files: DataFrame, where: str) -> int:
     return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def unverified(files: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Programs (name, source) that an outcome (name, outcome) says don't verify."""
+    return files.join(outcomes.filter(~is_success(F.col("outcome"))).select("name").distinct(), "name", "left_semi")
+
+
+def benchmark(spark: SparkSession, where: str) -> DataFrame:
+    """task_id, task, ground_truth of a benchmark in lines of JSON; tasks without a text are left out."""
+    return jsonl(spark, where, "task_id string, task string, ground_truth string", ["task_id", "task"])
+
+
+def dataset_records(objects: DataFrame, language: str = "dafny", prefix: str = "dataset/") -> DataFrame:
+    """path, source (without comments and blank lines), methods (statistics of each declaration) of a store's programs."""
+    from ..functions.programs import methods_column
+    from ..functions.text import strip_c_comments, stripped
+
+    rows = scan_prefix(objects, prefix).filter(F.col("content").isNotNull()).select("path", decoded("content").alias("text"))
+    clean = stripped(F.col("text"), strip_c_comments) if language == "framac" else stripped(F.col("text"))
+    return rows.select("path", clean.alias("source")).withColumn("methods", methods_column(F.col("source"), language))
+
+
+def write_dataset(records: DataFrame, name: str, where: str) -> None:
+    """Records as JSON below programs, and their name and number below about."""
+    write_json(records, f"{where}/programs")
+    write_json(records.agg(F.count("*").alias("n_programs")).select(F.lit(name).alias("name"), "n_programs"), f"{where}/about")
+
+
+def write_results(results: DataFrame, metadata: dict[str, str], where: str) -> None:
+    """Results of an evaluation as JSON below results, and what it was below metadata."""
+    write_json(results, f"{where}/results")
+    write_json(results.sparkSession.createDataFrame([(metadata,)], "metadata map<string,string>"), f"{where}/metadata")
+
+
 def write_json(df: DataFrame, where: str) -> None:
     df.write.mode("overwrite").json(where)
 
@@ -155,4 +189,4 @@ def write_json(df: DataFrame, where: str) -> None:
 def hub_records(objects: DataFrame) -> DataFrame:
     """id, group, content of successful programs; the id is the path without folder prefix and ending."""
     rows = objects.filter(F.try_element_at("properties", F.lit("status")) == "success")
-    return rows.select(F.regexp_replace(F.regexp_replace("path", "^dataset/", ""), r"\.[a-z]+$", "").alias("id"), F.try_element_at("properties", F.lit("parent_idea")).alias("group"), F.decode("content", "UTF-8").alias("content"))
+    return rows.select(F.regexp_replace(F.regexp_replace("path", "^dataset/", ""), r"\.[a-z]+$", "").alias("id"), F.try_element_at("properties", F.lit("parent_idea")).alias("group"), decoded("content").alias("content"))
