@@ -1,138 +1,168 @@
-"""Operator 9: class-based n-gram scores of whole texts (Brown et al. 1992; exchange clustering after Kneser and Ney).
-
-A token's probability is that of its class after the class before, times that of the token within its class. Classes are
-found by exchange: starting from a deal by frequency, each item moves to the class that raises the likelihood of all
-class bigrams most, until a round moves none. Items are the ITEMS most frequent words, the end token, and the other
-words by their ending, so every word of any corpus has a class that a task finds without a vocabulary.
-
-Counts cover all training texts. Words outside the HOT most frequent ones are counted in a table, never in memory, and
-join the documents that hold them on the word, which for rare words has no hot key.
+"""Operator 9: class-based n-gram scores of whole texts (Brown et al. 1992; exchange clustering after Kneser and Ney,
+distributed as by Uszkoreit and Brants 2008).
+
+A token's probability is that of its class after the class before, times that of the token within its class. Every word
+of the training texts chooses its class by the exchange criterion, the likelihood of class bigrams:
+
+1. The ITEMS most frequent words one after another, over all their bigrams, until a round moves none.
+2. The CORE most frequent ones, in ROUNDS passes: a pass counts, for each of them, the classes before and after it, and
+   each then moves to its best class, given those of the others.
+3. All other words, each by the classes of its own neighbours in the core. A word that rare doesn't change class bigrams
+   by much, so its gain is to first order the log-likelihood of its neighbours' classes; a word without a neighbour in
+   the core takes a class by its hash.
+
+Classes and counts of the core go to all tasks; their size is bounded by CORE. Other words are at most one in CORE of all
+tokens each and are never held in memory: their occurrences shuffle on the word, where a sorted stream gives each word its
+class, and come back to their texts by a join. Long words are known by a hash, so no frequent one stays out of the core.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from hashlib import md5
 from math import log10
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frequent, map_rows, settle, table
-
-#: Words with a class of their own choice, endings that other words share, and classes.
-ITEMS, ENDINGS, CLASSES = 1024, 256, 48
-#: Rounds of exchange at most.
-ROUNDS = 8
-#: Words whose counts all tasks are sent, and the length of a longer one that isn't.
-HOT, HOT_BYTES = 65_536, 64
-#: Distinct words that a task holds before it passes their counts on.
-HELD = 300_000
+from .common import frequent, map_rows, settle, slices, table, unsettle
+
+#: Words that are clustered one by one, words whose classes and counts all tasks are sent, and classes.
+ITEMS, CORE, CLASSES = 1_024, 65_536, 48
+#: Rounds of exchange over the ITEMS words at most, and passes over the CORE words.
+SWEEPS, ROUNDS = 8, 2
+#: Words longer than this are known by a hash.
+LONG = 64
+#: Distinct words, and bytes of texts with them, that a task holds before it passes their counts on.
+HELD, HELD_BYTES = 300_000, 64_000_000
+#: Core words whose neighbours' classes shuffle as one row.
+BLOCK = 256
 #: The end token, which no word can be.
-END = "\n"
+END = b"\n"
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words in lower case, A-Z alone, and the end token."""
-    out = (text or "").encode().lower().split()
-    out = b" ".join(out).decode().split(" ") if out else []
-    out.append(END)
-    return out
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words in lower case, A-Z alone, and the end token. White space is the six ASCII characters, as in WORD."""
+    return [*(text or b"").lower().split(), END]
 
 
-def held_out(i: int | None) -> bool:
-    """One in seven, by the crc32 of the id as text; a null id is for training."""
-    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+def short(word: bytes) -> bytes:
+    """What a word is known by."""
+    return word if len(word) <= LONG else b"\0" + md5(word).digest()
 
 
 def is_held_out(c: Column) -> Column:
+    """One in seven, by the crc32 of the id as text; a null id is for training."""
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """word, c over all rows."""
+    """word (binary, short), c over all rows."""
 
     def make():
         held: Counter = Counter()
+        size = 0
 
         def step(cols):
+            nonlocal size
             for t in cols[0]:
                 held.update(words_of(t))
-            if len(held) > HELD:
-                return flush()
-            return ()
+                size += len(t or b"")
+                if len(held) > HELD or size > HELD_BYTES:
+                    yield from flush()
 
         def flush():
-            out = list(held.items())
+            nonlocal size
+            yield from ((short(w), c) for w, c in held.items())
             held.clear()
-            return out
+            size = 0
 
         step.end = flush
         return step
 
-    return map_rows(docs.select(text_col), make, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
+    return map_rows(docs.select(F.col(text_col).cast("binary")), make, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-def ending(word: str) -> int:
-    """The group of a word that has no item of its own."""
-    return zlib.crc32(word[-3:].encode()) % ENDINGS
 
+class Core:
+    """The most frequent words, the most frequent first, with their counts and classes (k: none yet)."""
 
-class Items(dict):
-    """word -> item: its own, or its ending's. Endings come after the words' own."""
+    def __init__(self, words: list[bytes], counts: list[int], k: int):
+        self.words, self.counts, self.k = words, np.array(counts, np.int64), k
+        self.of = np.full(len(words), k, np.int64)
+        self._at: dict[bytes, int] | None = None
 
-    def __init__(self, words: list[str]):
-        super().__init__({w: k for k, w in enumerate(words)})
-        self.first = len(words)
+    def __getstate__(self):
+        return self.__dict__ | {"_at": None}
 
-    def __missing__(self, word: str) -> int:
-        return self.first + ending(word)
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 for others."""
+        if self._at is None:
+            self._at = {w: i for i, w in enumerate(self.words)}
+        get = self._at.get
+        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        for i in np.flatnonzero(out < 0):
+            if len(words[i]) > LONG:
+                out[i] = get(short(words[i]), -1)
+        return out
 
-    @property
-    def n(self) -> int:
-        return self.first + ENDINGS
 
-
-def item_bigrams(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame:
-    """i, j, n: how often an item follows another, each text standing after an end token. At most (ITEMS + 1 +
-    ENDINGS) ** 2 rows, whatever the corpus."""
+def _sequences(docs: DataFrame, text_col: str, begin, each, end, schema: str) -> DataFrame:
+    """begin() gives a state; each(state, words) takes runs of whole texts, an end token after each; end(state) gives rows."""
 
     def make():
-        items = Items(words)
-        n = items.n
-        sums = np.zeros(n * n, np.int64)
-        held: list[int] = []
-        end = items[END]
-
-        def add():
-            nonlocal sums, held
-            if held:
-                # Texts stand one after another, each ended, so the end before is the start of the next.
-                line = np.array([end, *held], np.int64)
-                keys, c = np.unique(line[:-1] * n + line[1:], return_counts=True)
-                sums[keys] += c
-                held = []
+        state, held = begin(), []
 
         def step(cols):
             for t in cols[0]:
-                held.extend([items[w] for w in words_of(t)])
-                if len(held) > 200_000:
-                    add()
+                held.extend(words_of(t))
+                if len(held) > 100_000:
+                    each(state, held)
+                    held.clear()
             return ()
 
         def done():
-            add()
-            at = np.flatnonzero(sums)
-            return zip((at // n).tolist(), (at % n).tolist(), sums[at].tolist())
+            if held:
+                each(state, held)
+            return end(state)
 
         step.end = done
         return step
 
-    return map_rows(docs.select(text_col), make, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    return map_rows(docs.select(F.col(text_col).cast("binary")), make, schema)
+
 
+def item_bigrams(docs: DataFrame, text_col: str, core: Core, items: int) -> np.ndarray:
+    """How often one of the first core words follows another, each text standing after an end token; a square matrix of
+    at most ITEMS ** 2 cells, whatever the corpus."""
+    sent = docs.sparkSession.sparkContext.broadcast(core)
+    n = min(items, len(core.words))
+    stop = core.words.index(END)
+
+    def each(sums, words):
+        own = np.concatenate(([stop], sent.value.places(words)))
+        a, b = own[:-1], own[1:]
+        both = (a >= 0) & (a < n) & (b >= 0) & (b < n)
+        np.add.at(sums, a[both] * n + b[both], 1)
+
+    def end(sums):
+        at = np.flatnonzero(sums)
+        return zip((at // n).tolist(), (at % n).tolist(), sums[at].tolist())
+
+    cells = _sequences(docs, text_col, lambda: np.zeros(n * n, np.int64), each, end, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((n, n))
+    out[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["n"].to_numpy()
+    return out
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+
+def _xlogx(x):
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = SWEEPS) -> np.ndarray:
     """The class of each item, from the counts of item bigrams (a square matrix)."""
     n = len(bigrams)
     classes = max(1, min(classes, n))
@@ -146,10 +176,6 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     pairs = member.T @ b @ member  # class bigrams
     after, before = b @ member, b.T @ member  # of each item: classes after it, classes before it
     out, into = b.sum(1), b.sum(0)
-
-    def xlogx(x):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-
     for _ in range(rounds):
         moved = 0
         for w in order:
@@ -165,10 +191,10 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
             pairs[own, own] -= self_n
             left, right = pairs.sum(1), pairs.sum(0)
             # Gain of each class from taking w: its row, its column, and the cell where both meet.
-            rows, columns = xlogx(pairs + a) - xlogx(pairs), xlogx(pairs + p[:, None]) - xlogx(pairs)
+            rows, columns = _xlogx(pairs + a) - _xlogx(pairs), _xlogx(pairs + p[:, None]) - _xlogx(pairs)
             cell = np.diag(pairs)
-            gain = rows.sum(1) - np.diag(rows) + columns.sum(0) - np.diag(columns) + xlogx(cell + np.diag(np.broadcast_to(a, pairs.shape)) + p + self_n) - xlogx(cell)
-            gain -= xlogx(left + out[w]) - xlogx(left) + xlogx(right + into[w]) - xlogx(right)
+            gain = rows.sum(1) - np.diag(rows) + columns.sum(0) - np.diag(columns) + _xlogx(cell + a + p + self_n) - _xlogx(cell)
+            gain -= _xlogx(left + out[w]) - _xlogx(left) + _xlogx(right + into[w]) - _xlogx(right)
             to = int(np.argmax(gain))
             if gain[to] <= gain[own] + 1e-9:
                 to = own
@@ -187,118 +213,346 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return of
 
 
+def neighbours(docs: DataFrame, text_col: str, core: Core) -> tuple[np.ndarray, np.ndarray]:
+    """Of each core word, how often each class stands after it and before it; neighbours without a class don't count.
+    Blocks of words are added up where they meet; 2 * CORE * CLASSES numbers come to the driver, whatever the corpus."""
+    sent = docs.sparkSession.sparkContext.broadcast(core)
+    n, k, stop = len(core.words), core.k, core.words.index(END)
+    blocks = -(-n // BLOCK)
+
+    def each(sums, words):
+        c = sent.value
+        own = np.concatenate(([stop], c.places(words)))
+        of = np.where(own >= 0, c.of[own], k)
+        here = own >= 0
+        after = here[:-1] & (of[1:] < k)
+        np.add.at(sums, (own[:-1][after] * 2) * k + of[1:][after], 1)
+        before = here[1:] & (of[:-1] < k)
+        np.add.at(sums, (own[1:][before] * 2 + 1) * k + of[:-1][before], 1)
+
+    def end(sums):
+        for i, part in enumerate(sums.reshape(blocks, -1)):
+            if part.any():
+                yield i, zlib.compress(part.tobytes(), 1)
+
+    parts = _sequences(docs, text_col, lambda: np.zeros(blocks * BLOCK * 2 * k, np.int64), each, end, "block int, sums binary")
+
+    def add():
+        held: dict[int, np.ndarray] = {}
+
+        def step(cols):
+            for i, x in zip(*cols):
+                x = np.frombuffer(zlib.decompress(x), np.int64)
+                held[i] = held[i] + x if i in held else x
+            return ()
+
+        step.end = lambda: [(i, zlib.compress(x.tobytes(), 1)) for i, x in held.items()]
+        return step
+
+    out = np.zeros((blocks, BLOCK, 2, k), np.int64)
+    for r in map_rows(parts.repartition("block"), add, "block int, sums binary").collect():
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["sums"]), np.int64).reshape(BLOCK, 2, k)
+    out = out.reshape(-1, 2, k)[:n]
+    return out[:, 0].astype(np.float64), out[:, 1].astype(np.float64)
+
+
+def class_pairs(after: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    """Class bigrams of words that have a class, from what stands after each."""
+    out = np.zeros((k, k))
+    known = of < k
+    np.add.at(out, of[known], after[known])
+    return out
+
+
+def refine(after: np.ndarray, before: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    """Each word's best class given those of the others, the most frequent words first, a block of them at a time."""
+    of, pairs = of.copy(), class_pairs(after, of, k)
+    for at in range(0, len(of), BLOCK):
+        w = np.arange(at, min(at + BLOCK, len(of)))
+        a, p, own = after[w], before[w], of[w]
+        placed = own < k
+        seat = np.where(placed, own, 0)
+        left, right, out, into = pairs.sum(1), pairs.sum(0), a.sum(1), p.sum(1)
+        f = _xlogx(pairs)
+        gain = (_xlogx(pairs + a[:, None, :]) - f).sum(2) + (_xlogx(pairs.T + p[:, None, :]) - f.T).sum(2)
+        gain -= _xlogx(left + out[:, None]) - _xlogx(left) + _xlogx(right + into[:, None]) - _xlogx(right)
+        # What the word gives the class that it is in: the class with it, less the class without it.
+        less = lambda x, y: np.maximum(x - y, 0)
+        stay = (f[seat] - _xlogx(less(pairs[seat], a))).sum(1) + (f.T[seat] - _xlogx(less(pairs.T[seat], p))).sum(1)
+        stay -= _xlogx(left[seat]) - _xlogx(less(left[seat], out)) + _xlogx(right[seat]) - _xlogx(less(right[seat], into))
+        gain[np.arange(len(w))[placed], own[placed]] = stay[placed]
+        to = gain.argmax(1)
+        to = np.where(placed & (gain[np.arange(len(w)), to] <= stay + 1e-9), own, to)
+        to = np.where(out + into > 0, to, np.where(placed, own, w % k))
+        for i in np.flatnonzero(to != own):
+            if placed[i]:
+                pairs[own[i]] = less(pairs[own[i]], a[i])
+                pairs[:, own[i]] = less(pairs[:, own[i]], p[i])
+            pairs[to[i]] += a[i]
+            pairs[:, to[i]] += p[i]
+        of[w] = to
+    return of
+
+
 class ClassModel:
-    """What tasks need: items and their classes, class transitions, what a class's tokens sum to. Sizes are bounded by
-    ITEMS, ENDINGS, CLASSES and HOT."""
-
-    def __init__(self, words: list[str], of: np.ndarray, bigrams: np.ndarray, tokens: int, distinct: int, class_counts: np.ndarray, class_kinds: np.ndarray, hot: dict[str, int]):
-        self.items, self.of, self.hot = Items(words), of.tolist(), hot
-        k = len(class_counts)
-        member = np.zeros((len(of), k))
-        member[np.arange(len(of)), of] = 1
-        pairs = member.T @ bigrams @ member
-        total = pairs.sum(0)
-        lower = (total + 1) / (total.sum() + k)
-        row, kinds = pairs.sum(1, keepdims=True), (pairs > 0).sum(1, keepdims=True)
-        # Witten-Bell: what follows a class, mixed with how frequent classes are.
-        moves = np.where(row > 0, (pairs + kinds * lower) / np.maximum(row + kinds, 1), lower)
-        self.moves = np.log10(moves)
-        # Each word of a class has its count and one more, all unknown words of the class together one.
-        self.emitted = np.log10(class_counts + class_kinds + 1)
-        self.base = log10(tokens + distinct + 1)
-        self.tokens = tokens
-
-
-def train(docs: DataFrame, text_col: str = "text") -> tuple[ClassModel, DataFrame]:
-    """The model of all rows, and their words' counts (word, c) as a table."""
-    spark = docs.sparkSession
+    """What tasks need: the core with its classes, the tables from which other words choose theirs, and sums."""
+
+    def __init__(self, core: Core, pairs: np.ndarray, tokens: int, distinct: int):
+        k = core.k
+        self.core, self.tokens, self.base = core, tokens, log10(tokens + distinct + 1)
+        self.logs = np.log10(core.counts + 1.0)
+        # Of each class of a neighbour (the last: unknown) what it says for each class of the word.
+        none = np.zeros((1, k))
+        self.if_after = np.concatenate((np.log((pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * k)).T, none))
+        self.if_before = np.concatenate((np.log((pairs + 0.5) / (pairs.sum(0, keepdims=True) + 0.5 * k)), none))
+
+
+def train(docs: DataFrame, text_col: str = "text") -> ClassModel:
+    """The model of all rows, classes of rare words aside."""
     counts = settle(word_counts(docs, text_col))
-    top = frequent(counts.filter(F.octet_length("word") <= HOT_BYTES), "c", HOT).select("word", "c").toArrow()
-    hot = dict(sorted(zip(top["word"].to_pylist(), top["c"].to_pylist()), key=lambda x: (-x[1], x[0])))
-    words = [w for w in list(hot)[: ITEMS + 1] if w != END][:ITEMS] + [END]
+    top = frequent(counts, "c", CORE, "word").toArrow()
+    found = dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    items = Items(words)
-    cells = item_bigrams(docs, text_col, words).toArrow()
-    bigrams = np.zeros((items.n, items.n))
-    bigrams[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["n"].to_numpy()
-    of = exchange(bigrams)
-    k = int(of.max()) + 1
-    counted, kinds = np.zeros(k), np.zeros(k)
+    if END not in found:
+        found[END] = docs.count()
+    unsettle(counts)
+    words = sorted(found, key=lambda w: (-found[w], w))
+    core = Core(words, [found[w] for w in words], 1)
+    bigrams = item_bigrams(docs, text_col, core, ITEMS)
+    first = exchange(bigrams)
+    core.k = int(first.max()) + 1
+    core.of = np.concatenate((first, np.full(len(words) - len(first), core.k)))
+    for _ in range(ROUNDS):
+        after, before = neighbours(docs, text_col, core)
+        core.of = refine(after, before, core.of, core.k)
+    return ClassModel(core, class_pairs(after, core.of, core.k), sums["n"], sums["v"])
+
+
+def occurrences(rows: DataFrame, model: ClassModel) -> DataFrame:
+    """Of rows (_row, _id, _train, _text) each text (j = -1) with its numbers and the classes of its tokens, a byte each,
+    and each of its words outside the core by its place among these, with the classes beside it."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["_id"].dataType.simpleString()
+    schema = f"_row long, j int, word binary, before short, after short, train boolean, _id {kind}, n long, known long, logs double, seq binary"
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        m = sent.value
+        core, k = m.core, m.core.k
+        stop = int(core.of[core.words.index(END)])
+        for batch in batches:
+            for part in slices(batch):
+                ids, numbers, train = part.column(1), part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
+                n, known, logs, seqs, rare, places, sides, of_row = [], [], [], [], [], [], [], []
+                for i, t in enumerate(part.column(3).to_pylist()):
+                    words = words_of(t)
+                    at = core.places(words)
+                    here = at >= 0
+                    seq = np.where(here, core.of[at], k)
+                    mine = at[here]
+                    n.append(len(words))
+                    known.append(int((core.counts[mine] > 0).sum()))
+                    logs.append(float(m.logs[mine].sum()))
+                    seqs.append(seq.astype(np.uint8).tobytes())
+                    gone = np.flatnonzero(~here)
+                    if len(gone):
+                        rare += [short(words[x]) for x in gone.tolist()]
+                        places.append(np.arange(len(gone), dtype=np.int32))
+                        around = np.concatenate(([stop], seq, [k]))
+                        sides.append((around[gone], around[gone + 2]))
+                        of_row.append(np.full(len(gone), i))
+                size = part.num_rows
+                blank = lambda f, size: pa.nulls(size, f.type)
+                own = {"_row": part.column(0), "j": pa.array(np.full(size, -1, np.int32)), "_id": ids, "train": part.column(2), "n": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "seq": pa.array(seqs, pa.binary())}
+                yield pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else blank(f, size) for f in out], schema=out)
+                for lo in range(0, len(rare), 50_000):
+                    if not lo:
+                        row = np.concatenate(of_row)
+                        j, b, a = np.concatenate(places), np.concatenate([x for x, _ in sides]), np.concatenate([x for _, x in sides])
+                    cut = slice(lo, lo + 50_000)
+                    own = {"_row": pa.array(numbers[row[cut]]), "j": pa.array(j[cut]), "word": pa.array(rare[cut], pa.binary()), "before": pa.array(b[cut].astype(np.int16)), "after": pa.array(a[cut].astype(np.int16)), "train": pa.array(train[row[cut]])}
+                    yield pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else blank(f, len(rare[cut])) for f in out], schema=out)
+
+    return rows.select("_row", "_id", "_train", "_text").mapInArrow(run, schema)
+
+
+def rare_classes(rare: DataFrame, model: ClassModel) -> DataFrame:
+    """word, class, c of each word of rare (word, before, after, train): its best class by the training texts, and how often
+    it stands there. Words that are in none have c = 0 and the class that stands for unknown words. A word's rows come one
+    after another and leave only sums behind."""
+    sent = rare.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = sent.value
+        k = m.core.k
+        last, score, c = None, np.zeros(k), 0
+
+        def finish(words, scores, counts):
+            best = scores.argmax(1)
+            blind = np.flatnonzero((scores == 0).all(1))
+            best[blind] = [zlib.crc32(words[i]) % k for i in blind.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.where(counts > 0, best, k).astype(np.int16)), pa.array(counts)], ["word", "class", "c"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, train = batch.column(0), batch.column(3).to_numpy(zero_copy_only=False)
+            new = np.concatenate(([True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
+            starts = np.flatnonzero(new)
+            before, after = (np.where(train, batch.column(x).to_numpy(), k) for x in (1, 2))
+            scores = np.add.reduceat(m.if_before[before] + m.if_after[after], starts)
+            counts = np.add.reduceat(train.astype(np.int64), starts)
+            names = words.take(pa.array(starts)).to_pylist()
+            if last == names[0]:
+                scores[0] += score
+                counts[0] += c
+            elif last is not None:
+                yield finish([last], score[None], np.array([c]))
+            last, score, c = names[-1], scores[-1], int(counts[-1])
+            if len(names) > 1:
+                yield finish(names[:-1], scores[:-1], counts[:-1])
+        if last is not None:
+            yield finish([last], score[None], np.array([c]))
+
+    ordered = rare.select("word", "before", "after", "train").repartition("word").sortWithinPartitions("word")
+    return ordered.mapInArrow(run, "word binary, class short, c long")
+
+
+def filled(mapped: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """_id, train, n, known, logs, seq of each text: occurrences() with the classes and counts of all words. Words' hot
+    keys are in the core, so what joins here has none; a text's rows come one after another."""
+    kind = mapped.schema["_id"].dataType.simpleString()
+    found = mapped.filter("j >= 0").select("_row", "j", "word").join(chosen, "word").select("_row", "j", F.col("class").alias("k"), "c")
+    texts = mapped.filter("j < 0").select("_row", "j", "_id", "train", "n", "known", "logs", "seq")
+    both = texts.unionByName(found, allowMissingColumns=True).repartition("_row").sortWithinPartitions("_row", "j")
 
     def make():
-        own = Items(words)
-        sums: dict[int, list[int]] = {}
+        now, classes, counts = None, [], []
 
-        def step(cols):
-            for w, c in zip(*cols):
-                s = sums.setdefault(own[w], [0, 0])
-                s[0] += c
-                s[1] += 1
-            return ()
+        def finish():
+            i, train, n, known, logs, seq = now
+            if classes:
+                seq, c = np.frombuffer(seq, np.uint8).copy(), np.concatenate(counts)
+                seq[seq == k] = np.concatenate(classes)
+                known, logs, seq = known + int((c > 0).sum()), logs + float(np.log10(c + 1.0).sum()), seq.tobytes()
+            return i, train, n, known, logs, seq
 
-        step.end = lambda: [(i, c, v) for i, (c, v) in sums.items()]
+        def step(cols):
+            nonlocal now, classes, counts
+            j, at = np.array(cols[1]), 0
+            for h in [*np.flatnonzero(j < 0).tolist(), len(j)]:
+                if h > at:
+                    classes.append(np.array(cols[8][at:h], np.uint8))
+                    counts.append(np.array(cols[9][at:h], np.int64))
+                if h < len(j):
+                    if now is not None:
+                        yield finish()
+                    now, classes, counts = tuple(cols[x][h] for x in range(2, 8)), [], []
+                at = h + 1
+
+        def end():
+            if now is not None:
+                yield finish()
+
+        step.end = end
         return step
 
-    for i, c, v in map_rows(counts, make, "item int, c long, v long").groupBy("item").agg(F.sum("c"), F.sum("v")).collect():  # a row for each item
-        counted[of[i]] += c
-        kinds[of[i]] += v
-    return ClassModel(words, of, bigrams, sums["n"], sums["v"], counted, kinds, hot), counts
+    return map_rows(both.select("_row", "j", "_id", "train", "n", "known", "logs", "seq", "k", "c"), make, f"_id {kind}, train boolean, n long, known long, logs double, seq binary")
 
 
-def score(docs: DataFrame, model: ClassModel, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of each whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+def moves(whole: DataFrame, stop: int, size: int) -> np.ndarray:
+    """How often a class (the last: unknown words) follows another in training texts, each after an end token."""
 
     def make():
-        m = sent.value
-        items, of, moves, emitted, hot, end = m.items, m.of, m.moves, m.emitted, m.hot, m.of[m.items[END]]
-        logs = {w: log10(c + 1) for w, c in hot.items()}
+        sums = np.zeros(size * size, np.int64)
 
         def step(cols):
-            for row, i, t in zip(*cols):
-                words = words_of(t)
-                classes = np.array([end, *[of[items[w]] for w in words]], np.int64)
-                moved = float(moves[classes[:-1], classes[1:]].sum() - emitted[classes[1:]].sum())
-                known, rest = [], {}
-                for w in words:
-                    x = logs.get(w)
-                    if x is None:
-                        rest[w] = rest.get(w, 0) + 1
-                    else:
-                        known.append(x)
-                yield row, i, len(words), len(known), sum(known), moved, None, None
-                for w, f in rest.items():
-                    yield row, None, None, None, None, None, w, f
+            for seq in cols[0]:
+                own = np.frombuffer(seq, np.uint8).astype(np.int64)
+                np.add.at(sums, np.concatenate(([stop], own[:-1])) * size + own, 1)
+            return ()
 
+        step.end = lambda: [(i, int(sums[i])) for i in np.flatnonzero(sums).tolist()]
         return step
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    mapped = settle(map_rows(numbered, make, f"_row long, _id {kind}, n long, known long, logs double, moved double, word string, freq int"))
-    rare = mapped.filter(F.col("word").isNotNull()).select("_row", "word", "freq").join(counts, "word")
-    # Whole billionths: sums that don't depend on an order.
-    rare = rare.groupBy("_row").agg(F.sum("freq").alias("more"), F.sum(F.col("freq") * F.round(F.log10(F.col("c") + F.lit(1)) * 1e9).cast("long")).alias("logged"))
-    own = mapped.filter(F.col("word").isNull()).drop("word", "freq").join(rare, "_row", "left")
-    logs = F.col("logs") + F.coalesce(F.col("logged") / 1e9, F.lit(0.0))
-    return own.select(
-        F.col("_id").alias(id_col), is_held_out(F.col("_id")).alias("held_out"), F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n") * F.lit(model.base)).alias("base_score"), (logs + F.col("moved")).alias("score"),
-    )
+    out = np.zeros(size * size)
+    for r in map_rows(whole.filter("train").select("seq"), make, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # size ** 2 rows at most
+        out[r["cell"]] = r["n"]
+    return out.reshape(size, size)
+
+
+def log_moves(pairs: np.ndarray, class_counts: np.ndarray, class_kinds: np.ndarray) -> np.ndarray:
+    """log10 of the probability that a class follows another, Witten-Bell-smoothed by how frequent classes are. Unknown
+    words are the last class: any class may have emitted one, each with what its smoothing leaves for unknown words, and
+    nothing but classes' frequencies says what follows."""
+    k = len(class_counts)
+    known = pairs[:k, :k]
+    total = known.sum(0)
+    lower = (total + 1) / (total.sum() + k)
+    row, kinds = known.sum(1, keepdims=True), (known > 0).sum(1, keepdims=True)
+    p = np.where(row > 0, (known + kinds * lower) / np.maximum(row + kinds, 1), lower)
+    p = np.concatenate((p, lower[None]))
+    unknown = p @ (1 / (class_counts + class_kinds + 1))
+    return np.log10(np.concatenate((p, unknown[:, None]), axis=1))
+
+
+class Scored:
+    """Texts with their words' classes, and all that scores them."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        held = is_held_out(F.col(id_col))
+        self.model = m = train(docs.filter(~held), text_col)
+        self.k = k = m.core.k
+        rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), (~held).alias("_train"), F.col(text_col).cast("binary").alias("_text"))
+        mapped = settle(occurrences(rows, m))
+        self.chosen = settle(rare_classes(mapped.filter("j >= 0"), m))
+        self.whole = settle(filled(mapped, self.chosen, k))
+        unsettle(mapped)
+        self.counts, self.kinds = np.zeros(k), np.zeros(k)
+        np.add.at(self.counts, m.core.of, m.core.counts)
+        np.add.at(self.kinds, m.core.of, (m.core.counts > 0).astype(float))
+        for r in self.chosen.filter("c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # CLASSES rows
+            self.counts[r["class"]] += r["c"]
+            self.kinds[r["class"]] += r["v"]
+        self.stop = int(m.core.of[m.core.words.index(END)])
+        self.moves = log_moves(moves(self.whole, self.stop, k + 1), self.counts, self.kinds)
+        self.emitted = np.append(np.log10(self.counts + self.kinds + 1), 0.0)
+
+    def classes(self) -> DataFrame:
+        """word (binary, short), class, c of every word of the training texts."""
+        m = self.model.core
+        core = self.whole.sparkSession.createDataFrame([(bytearray(w), int(o), int(c)) for w, o, c in zip(m.words, m.of, m.counts)], "word binary, class short, c long")
+        return core.unionByName(self.chosen).filter("c > 0")
 
 
-def perplexity(score: Column, n_tokens: Column) -> Column:
-    return F.pow(F.lit(10.0), -score / n_tokens)
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities) of all rows, by the model
+    of those that aren't held out.
+
+    A null text is an empty one: the end token alone. A null id is for training. Each row gives one row; repeated rows
+    count as often as they stand. Texts of any length are scored whole. Of words of equal frequency those first in order
+    of their bytes come first; those at the core's edge come into it together or by their hash. Without training rows all
+    words are unknown: N and V are 0. An empty table gives an empty one. Other columns of docs, whatever their names, play
+    no part.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    if docs.isEmpty():
+        return docs.sparkSession.createDataFrame([], f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    s = Scored(docs, id_col, text_col)
+    moved, emitted, stop, base, tokens = s.moves, s.emitted, s.stop, s.model.base, s.model.tokens
 
+    def make():
+        def step(cols):
+            for i, train, n, known, logs, seq in zip(*cols):
+                own = np.frombuffer(seq, np.uint8).astype(np.int64)
+                yield i, not train, n, known, tokens, logs - n * base, logs + float((moved[np.concatenate(([stop], own[:-1])), own] - emitted[own]).sum())
 
-def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of all rows by the model of those that aren't held out.
+        return step
 
-    A null text is an empty one: the end token alone. A null id is for training. Each row gives one row. Without
-    training rows all words are unknown: N and V are 0. An empty table gives an empty one.
-    """
-    model, counts = train(docs.filter(~is_held_out(F.col(id_col))), text_col)
-    return score(docs, model, counts, id_col, text_col)
+    return map_rows(s.whole, make, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
