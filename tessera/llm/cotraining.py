@@ -1,13 +1,16 @@
 """Operator 8: a quality classifier by co-training (Blum and Mitchell 1998).
 
 Two logistic models see a document from two sides that say little about each other: its text (hashed words and a few
-measures of form) and its metadata (language, source, length). Both start from the same labelled documents. In each
-round both score all unlabelled documents, and each hands the ones it is surest of, with its verdict as a label, to the
-other. In the end each view's logits are calibrated on labelled documents that nothing was fitted to, and their sum,
-less the prior that both contain, scores every document.
+measures of their form) and its metadata (language, source, size, layout). Both start from the same labelled documents.
+In each round both score all unlabelled documents, and each hands the ones it is surest of, with its verdict as a label,
+to the other; a document handed over once isn't again. What sure means is measured: a view hands over a class from the
+score on beyond which that class is right in SURE of the calibration documents. In the end each view's logits are
+calibrated on labelled documents that nothing was fitted to, and so is how much each tells next to the other; both together
+score every document.
 
 Only what is fitted to is bounded: LABELLED labelled documents, the first in order of a hash, and EXCHANGED pseudo-labels
-of each class from each view in each round, the surest of all documents.
+of each class from each view in each round, the surest of all documents. Their hashed features come to the driver, at most
+2 ** TEXT_BITS numbers each, never their texts.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_SENT, settle, table, unsettle
+from .common import MOST_SENT, map_rows, settle, slices, table, unsettle
 
 #: Labelled documents that the models are fitted to or calibrated on, at most.
 LABELLED = 6_000
@@ -29,8 +32,8 @@ LABELLED = 6_000
 HELD = 4
 #: Rounds, and pseudo-labels of each class that a view gives the other in each.
 ROUNDS, EXCHANGED = 2, 250
-#: Least calibrated logit of a pseudo-label: a view that can't tell gives none.
-SURE = 3.0
+#: Least share of right verdicts among a view's sure ones, and least calibration documents that it is measured on.
+SURE, LEAST = 0.8, 8
 #: Hashed features of words and of metadata.
 TEXT_BITS, META_BITS = 14, 12
 #: Documents are kept down to the combined score that this share of the good calibration documents reaches, or down to
@@ -89,16 +92,28 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return idx, np.concatenate((tf / norm, np.array(forms) * 4))
 
 
-def meta_features(meta: dict) -> tuple[np.ndarray, np.ndarray]:
-    """One-hot values, pairs of them, and steps of numbers. Null is a value."""
+def layout(text: str | None) -> dict[str, int]:
+    """What can be told of a text's shape without reading it."""
+    lines = (text or "").split("\n")
+    return {"chars": len(text or ""), "bytes": len((text or "").encode()), "lines": len(lines), "longest": max(map(len, lines)), "blank": sum(not x for x in lines)}
+
+
+def meta_features(meta: dict, shape: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """One-hot: values, steps of numbers, and steps of the layout alone, by each text value and in pairs. Null is a value."""
     from xxhash import xxh32_intdigest
 
-    parts = []
+    steps = lambda x, k: int(np.log2(max(0.0, x) + 1) * k)
+    plain, parts = [], []
     for k, v in sorted(meta.items()):
         if isinstance(v, (int, float)) and not isinstance(v, bool):
-            v = f"~{int(np.log2(max(1.0, float(v))) * 2)}" if v == v else "nan"
+            v = f"~{steps(float(v), 2)}" if v == v else "nan"
+        else:
+            plain.append(f"{k}={v}")
         parts.append(f"{k}={v}")
-    parts += [f"{a}&{b}" for i, a in enumerate(parts) for b in parts[:i]]
+    chars, lines, longest = shape["chars"], shape["lines"], shape["longest"]
+    wide = chars / lines
+    parts += [f"bytes={steps(100 * (shape['bytes'] / max(1, chars) - 1), 2)}", f"lines={steps(lines, 2)}", f"wide={steps(wide, 4)}", f"longest={steps(longest, 3)}", f"blank={steps(shape['blank'], 1)}"]
+    parts += [f"chars={steps(chars, 1)}&lines={steps(lines, 1)}", f"wide={steps(wide, 2)}&longest={steps(longest, 2)}", *(f"{v}&wide={steps(wide, 3)}" for v in plain)]
     idx = np.fromiter((xxh32_intdigest(p) % (1 << META_BITS) for p in parts), np.int64, len(parts))
     return idx, np.full(len(parts), 1 / max(1, len(parts)) ** 0.5)
 
@@ -162,110 +177,165 @@ class Logistic:
 
 
 class Views:
-    """Both models, what their calibrated logits have in common, and the least score kept."""
+    """Both models, how their calibrated logits are combined, and the least score kept."""
 
     def __init__(self):
         self.text, self.meta = Logistic((1 << TEXT_BITS) + FORMS), Logistic(1 << META_BITS)
-        self.prior, self.least = 0.0, 0.0
+        self.weights, self.least = (1.0, 0.0, 0.0), 0.0
+        self.handed: list[dict] = []  # of each round: labels that a view ("t", "m") was handed, by class
+
+    def weigh(self, text: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> None:
+        """How much each view's calibrated logits tell next to the other's: logistic regression on both, by Newton steps,
+        held near the text's alone where few documents say anything else."""
+        x = np.stack((text, meta, np.ones(len(text))), 1)
+        start = w = np.array([1.0, 0.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            r = np.maximum(p * (1 - p), 1e-6)
+            h = (x * r[:, None]).T @ x + np.eye(3)
+            w = w - np.clip(np.linalg.solve(h, x.T @ (p - labels) + (w - start)), -1, 1)
+        self.weights = tuple(map(float, np.maximum(w, (0.0, 0.0, -np.inf))))
+
+    def mixed(self, text, meta):
+        """The combined logit of both views' logits."""
+        a, b, c = self.weights
+        return np.clip(a * text + b * meta + c, -30, 30)
 
-    def combined(self, text_logit: float, meta_logit: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(text_logit + meta_logit - self.prior, -30, 30))))
+    def combined(self, text: float, meta: float) -> float:
+        return float(1 / (1 + np.exp(-self.mixed(text, meta))))
 
 
-def _rows(found: list) -> tuple[Rows, Rows]:
+def edge(logits: np.ndarray, labels: np.ndarray, label: int) -> float | None:
+    """The score from which on a view is sure of a class: the widest end of the calibration documents, up to half of them,
+    in which the label's share is SURE (less a document on either side, as few say little). None if there is no such end."""
+    order = np.argsort(-logits if label else logits, kind="stable")[: max(LEAST, len(logits) // 2)]
+    size = np.arange(1, len(order) + 1)
+    right = np.cumsum(labels[order] == label)
+    sure = np.flatnonzero((right + 1 >= SURE * (size + 2)) & (size >= LEAST))
+    return float(logits[order[sure[-1]]]) if len(sure) else None
+
+
+def _pairs(found: list) -> tuple[Rows, Rows]:
     text, meta = Rows(), Rows()
-    for t, m in found:
-        text.add(text_features(t))
-        meta.add(meta_features(m))
+    for r in found:
+        for rows, i, v in ((text, "ti", "tv"), (meta, "mi", "mv")):
+            rows.add((np.array(r[i], np.int64), np.array(r[v], np.float64)))
     return text, meta
 
 
+def _sides(text, meta: dict) -> tuple:
+    return text_features(text), meta_features(meta, layout(text))
+
+
+def _features(given: DataFrame) -> DataFrame:
+    """_id, _label, _tie and both views' features (ti, tv, mi, mv) of rows _id, _label, _text, _meta."""
+    kind = given.schema["_id"].dataType.simpleString()
+
+    def make():
+        def step(cols):
+            for i, label, tie, text, meta in zip(*cols):
+                (ti, tv), (mi, mv) = _sides(text, meta)
+                yield i, label, tie, ti.astype(np.int32), tv, mi.astype(np.int32), mv
+
+        return step
+
+    rows = given.select("_id", "_label", F.xxhash64("_text").alias("_tie"), "_text", "_meta")
+    return map_rows(rows, make, f"_id {kind}, _label int, _tie long, ti array<int>, tv array<double>, mi array<int>, mv array<double>", rows=2_000)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), label_col: str = "quality") -> Views | None:
     """Views from labels (id, 0 or 1; null ids and labels are left out, repeated ones vote), or None if a class has
-    fewer than two documents to fit to."""
+    fewer than two documents to fit to. Of documents with the same id the first in order of a hash of the text counts."""
     votes = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
-    given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*meta_cols).alias("_meta"))
-    chosen = votes.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(LABELLED).toPandas()
-    if chosen.empty:
+    given = _given(docs, id_col, text_col, meta_cols)
+    order = [F.xxhash64("_id"), F.col("_id")]
+    chosen = votes.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi").orderBy(*order).limit(LABELLED).collect()
+    if not chosen:
         return None
     spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def fetch(ids: dict[int, int]) -> list[tuple]:
-        """_id, text, meta, label of documents by id; the number of ids is bounded by LABELLED."""
-        picked = F.broadcast(spark.createDataFrame([(int(k), int(v)) for k, v in ids.items()], "_id long, _label int"))
-        seen, out = set(), []
-        for r in sorted(given.join(picked, "_id").select("_id", "_text", "_meta", "_label").toLocalIterator(), key=lambda r: (r["_id"], r["_text"] or "")):
-            if r["_id"] not in seen:
-                seen.add(r["_id"])
-                out.append((r["_id"], r["_text"], r["_meta"].asDict(), r["_label"]))
-        return out
+    def fetch(ids: list[tuple]) -> list:
+        """Features of documents by id and label; the number of ids is bounded by LABELLED."""
+        picked = F.broadcast(spark.createDataFrame(ids, f"_id {kind}, _label int"))
+        out = {}
+        for r in sorted(_features(given.join(picked, "_id")).toLocalIterator(), key=lambda r: (r["_id"], r["_tie"])):
+            out.setdefault(r["_id"], r)
+        return list(out.values())
 
-    own = fetch(dict(zip(chosen["_id"].tolist(), chosen["_label"].tolist())))
+    own = fetch([(r["_id"], r["_label"]) for r in chosen])
     place = np.arange(len(own)) % HELD == 0
-    y = np.array([r[3] for r in own])
-    text, meta = _rows([(r[1], r[2]) for r in own])
-    pick = lambda rows, mask: Rows([x for x, k in zip(rows.idx, mask) if k], [x for x, k in zip(rows.val, mask) if k])
-    fit_text, fit_meta, fit_y = pick(text, ~place), pick(meta, ~place), y[~place]
-    if min(fit_y.sum(), len(fit_y) - fit_y.sum()) < 2:
+    y = np.array([r["_label"] for r in own])
+    fit = dict(zip("tm", _pairs([r for r, h in zip(own, place) if not h])))
+    held = dict(zip("tm", _pairs([r for r, h in zip(own, place) if h])))
+    fit_y, held_y = {"t": y[~place], "m": y[~place]}, y[place]
+    if min(fit_y["t"].sum(), (1 - fit_y["t"]).sum()) < 2:
         return None
     views = Views()
-    text_y, meta_y = fit_y, fit_y
-    views.text.fit(fit_text, text_y)
-    views.meta.fit(fit_meta, meta_y)
-    held_y = y[place]
-
-    def calibrate() -> dict[str, np.ndarray]:
-        raw = {k: np.array([v.raw((i, x)) for i, x, h in zip(r.idx, r.val, place) if h]) for k, v, r in (("t", views.text, text), ("m", views.meta, meta))}
-        views.text.calibrate(raw["t"], held_y)
-        views.meta.calibrate(raw["m"], held_y)
-        return raw
+    both = {"t": views.text, "m": views.meta}
+
+    def refit() -> dict[str, np.ndarray]:
+        """Both views anew; their calibrated logits of the calibration documents."""
+        out = {}
+        for k, v in both.items():
+            v.fit(fit[k], fit_y[k])
+            raw = np.array([v.raw(x) for x in zip(held[k].idx, held[k].val)])
+            v.calibrate(raw, held_y)
+            out[k] = np.clip(v.scale * raw + v.shift, -30, 30)
+        return out
 
     # Texts never shuffle to leave the labelled out: few ids are sent to all tasks; of many, the scores are left out.
     known = settle(votes.select("_id"))
     few = known.count() <= MOST_SENT
-    taken: set[int] = set()
+    logits, taken = refit(), []
     for _ in range(ROUNDS):
-        calibrate()
         if few:
             scored = settle(_scores(given.join(F.broadcast(known), "_id", "left_anti"), views))
         else:
             scored = settle(_scores(given, views).join(known, "_id", "left_anti"))
-        for view, others in (("t", "meta"), ("m", "text")):
-            # Of both ends of a view's scores the surest documents, if sure enough; ties stand in order of a hash.
-            new: dict[int, int] = {}
-            for label, order in ((1, F.desc(view)), (0, F.asc(view))):
-                best = scored.filter(F.col("_id").isNotNull() & ((F.col(view) > SURE) if label else (F.col(view) < -SURE))).orderBy(order, F.xxhash64("_id"), "_id").limit(EXCHANGED).collect()
-                new |= {r["_id"]: label for r in best if r["_id"] not in taken and r["_id"] not in new}
-            if new:
-                more = fetch(new)
-                taken |= set(new)
-                for _, t, m, label in more:
-                    if others == "meta":
-                        fit_meta.add(meta_features(m))
-                        meta_y = np.append(meta_y, label)
-                    else:
-                        fit_text.add(text_features(t))
-                        text_y = np.append(text_y, label)
+        # At most 4 * ROUNDS * EXCHANGED ids were handed over before.
+        fresh = scored.filter(F.col("_id").isNotNull()).join(F.broadcast(spark.createDataFrame(taken, f"_id {kind}")), "_id", "left_anti")
+        counts, new = {}, {}
+        for view, other in ("tm", "mt"):
+            # The surest beyond the edge; ties stand in order of a hash.
+            for label in (1, 0):
+                least = edge(logits[view], held_y, label)
+                sure = F.lit(False) if least is None else F.col(view) >= least if label else F.col(view) <= least
+                best = fresh.filter(sure).groupBy("_id").agg(F.max(view).alias(view)).orderBy(F.desc(view) if label else F.asc(view), *order).limit(EXCHANGED).collect()
+                for r in best:
+                    if (r["_id"], other) not in new:
+                        new[r["_id"], other] = label
+                        counts[other, label] = counts.get((other, label), 0) + 1
+        views.handed.append(counts)
         unsettle(scored)
-        views.text.fit(fit_text, text_y)
-        views.meta.fit(fit_meta, meta_y)
-    raw = calibrate()
-    share = (held_y.sum() + 1) / (len(held_y) + 2)
-    views.prior = float(np.log(share / (1 - share)))
-    logits = [np.clip(v.scale * raw[k] + v.shift, -30, 30) for k, v in (("t", views.text), ("m", views.meta))]
-    both = 1 / (1 + np.exp(-np.clip(logits[0] + logits[1] - views.prior, -30, 30)))
-    good = np.sort(both[held_y > 0])
+        if not new:
+            break
+        features = {r["_id"]: r for r in fetch([(i, 0) for i in {i for i, _ in new}])}
+        for (i, other), label in sorted(new.items(), key=str):
+            more = _pairs([features[i]])["tm".index(other)]
+            fit[other].idx += more.idx
+            fit[other].val += more.val
+            fit_y[other] = np.append(fit_y[other], label)
+        taken += sorted({(i,) for i, _ in new}, key=str)
+        logits = refit()
+    unsettle(known)
+    views.weigh(logits["t"], logits["m"], held_y)
+    together = 1 / (1 + np.exp(-views.mixed(logits["t"], logits["m"])))
+    good = np.sort(together[held_y > 0])
     views.least = float(min(AT_MOST, good[int((1 - KEEP) * len(good))])) if len(good) else 0.0
     return views
 
 
+def _given(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...]) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*meta_cols).alias("_meta"))
+
+
 def _batches(views: Views, text_at: int, meta_at: int, use):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                logits = [(views.text.logit(text_features(t)), views.meta.logit(meta_features(m))) for t, m in zip(part.column(text_at).to_pylist(), part.column(meta_at).to_pylist())]
-                yield use(part, logits)
+            for part in slices(batch):
+                sides = (_sides(t, m) for t, m in zip(part.column(text_at).to_pylist(), part.column(meta_at).to_pylist()))
+                yield use(part, [(views.text.logit(t), views.meta.logit(m)) for t, m in sides])
         _buckets.clear()  # the worker goes on to other tasks
 
     return run
@@ -288,17 +358,20 @@ def _scores(given: DataFrame, views: Views) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), label_col: str = "quality") -> DataFrame:
     """doc_id, text_score, meta_score, score (probabilities of a good document), kept; a row for each row.
 
-    Null texts and metadata are values like others. Repeated rows are scored alike. Without labels of both classes
-    every score is 0.5 and every document is kept. An empty table gives an empty one.
+    Null texts and metadata are values like others. Repeated rows are scored alike, each giving a row. Texts of any length
+    are read whole. Ties among the surest stand in order of a hash of the id. Without labels of both classes every score is
+    0.5 and every document is kept. An empty table gives an empty one. Other columns of docs, whatever their names, play no
+    part.
     """
     views = train(docs, labels, id_col, text_col, meta_cols, label_col)
     own = F.col(id_col)
     if views is None:
         half = F.lit(0.5)
         return docs.select(own, half.alias("text_score"), half.alias("meta_score"), half.alias("score"), F.lit(True).alias("kept"))
-    scored = _scores(docs.select(own.alias("_id"), F.col(text_col).alias("_text"), F.struct(*meta_cols).alias("_meta")), views)
+    scored = _scores(_given(docs, id_col, text_col, meta_cols), views)
     chance = lambda c: 1 / (1 + F.exp(-c))
-    score = chance(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("t") + F.col("m") - views.prior)))
+    a, b, c = views.weights
+    score = chance(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * F.col("t") + b * F.col("m") + c)))
     return scored.select(F.col("_id").alias(id_col), chance(F.col("t")).alias("text_score"), chance(F.col("m")).alias("meta_score"), score.alias("score"), (score >= views.least).alias("kept"))
 
 
