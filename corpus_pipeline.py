@@ -1,6 +1,8 @@
 """From documents to ids for training: quality, rules, near-duplicates, mixing, encoding.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, other
+columns of docs too, whatever their names. Stages take whole texts of any length, rows that repeat, and nulls in any column;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,22 +14,25 @@ from tessera.llm.common import scratch, settle, table, unsettle
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps. Null texts and metadata are values like others; a null id isn't
+    learned from. Without labels of both classes all stay."""
     return cotraining.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source. A null text fails the rules; a
+    null language or source is a value of its own."""
     return rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-copies."""
+    """One document, that of the smallest id, of each group of near-copies; of the same ids the first row. Null ids come
+    last. All wordless texts, null ones too, are one group."""
     return simhash.deduplicate(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them. Null sources are one source; documents without words stay."""
     return mixing.repeated(docs)
 
 
