@@ -84,7 +84,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     Size: words of the text (null: 0). taken: words that the mix takes of the document, repeats counted; a source's
     sum to its target, rounded down. Null sources are one source, the last. Rows with the same id stand in order of
-    size; equal rows are interchangeable. A source without words has target 0. An empty table gives an empty one.
+    size; equal rows are interchangeable. A source without words has target 0. Texts of any length are counted whole. An
+    empty table gives an empty one. Other columns of docs, whatever their names, play no part.
     """
     placed = _placed(docs, id_col, source_col, text_col, weights, share, epochs, seed)
     return placed.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))

@@ -104,7 +104,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """page_id, host, path, rule, verdict, score (null where a rule decides); a row for each row of pages.
 
     URLs that are null or have no `://` have empty host and path. Without accepted or rejected URLs to learn from, all
-    scores are 0 or as one model's against the uniform one, and the threshold is 0. Repeated rows are judged alike.
+    scores are 0 or as one model's against the uniform one, and the threshold is 0. Repeated rows are judged alike. URLs of
+    any length are judged whole. Of rules of the same length the first in order of the text wins, of thresholds of the same
+    error the nearest to zero. An empty table gives an empty one. Other columns of pages, whatever their names, play no part.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path")).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))

@@ -55,6 +55,10 @@ def test_row_numbers_stay(spark, tmp_path):
     assert len(set(before.values())) == 3_000 and after == before
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 # --- 2: rules -------------------------------------------------------------------------------------------------------
 
 
@@ -78,7 +82,6 @@ def test_rules_base(spark, docs, odd):
             assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
             assert not (r["base_failed"] and r["kept"])
     assert rules.judge(odd.limit(0)).count() == 0
-    assert rules.keep_good(odd).columns == odd.columns
 
 
 def test_rules_judge_small_groups(spark):
@@ -218,13 +221,42 @@ def test_url_models_equal_brute_force(spark, sf):
                 p = (c[context + gram[-1]] + len(after) * p) / (sum(after) + len(after))
         return p
 
+    def score(r, c):
+        s = folded(r)
+        grams = [s[i - order : i + 1] for i in range(order, len(s))]
+        return sum(math.log(chance(c["block"], g)) - math.log(chance(c["allow"], g)) for g in grams) / len(grams)
+
     for r in got.values():
         if not r["rule"]:
+            assert abs(score(r, counts) - r["score"]) < 1e-5
+    # The threshold: models of the other folds, least balanced error on the held one.
+    held = lambda r: signed(xxh64_intdigest(r["path"].encode(), xxh64_intdigest(r["host"].encode(), 42))) % urls.FOLDS == 0
+    others = {x: collections.Counter() for x in ("allow", "block")}
+    for r in got.values():
+        if r["rule"] and not held(r):
             s = folded(r)
-            grams = [s[i - order : i + 1] for i in range(order, len(s))]
-            want = sum(math.log(chance(counts["block"], g)) - math.log(chance(counts["allow"], g)) for g in grams) / len(grams)
-            assert abs(want - r["score"]) < 1e-5
-    assert {r["verdict"] for r in got.values() if not r["rule"]} == {"allow", "block"}
+            others[r["verdict"]].update(s[i - k : i + 1] for i in range(order, len(s)) for k in range(order + 1))
+    tried = [(math.floor(min(urls.RANGE, max(-urls.RANGE, score(r, others))) * urls.STEP + 0.5), r["verdict"]) for r in got.values() if r["rule"] and held(r)]
+    blocked, allowed = (sorted(k for k, v in tried if v == x) for x in ("block", "allow"))
+    steps = sorted({k for k, _ in tried})
+    error = lambda k: sum(x <= k for x in blocked) / len(blocked) + sum(x > k for x in allowed) / len(allowed)
+    best = min(steps, key=lambda k: (round(error(k), 12), abs(k), k))
+    after = min((k for k in steps if k > best), default=best)
+    cut = (best + after) / 2 / urls.STEP + 1e-9
+    free = [r for r in got.values() if not r["rule"]]
+    assert {r["verdict"] for r in free} == {"allow", "block"}
+    for r in free:
+        if abs(r["score"] - cut) > 1e-4:
+            assert r["verdict"] == ("block" if r["score"] > cut else "allow")
+
+
+def test_url_ties_go_to_the_threshold_nearest_zero(spark):
+    """Of thresholds of the same error the nearest to zero is taken, and equal URLs are judged alike."""
+    rows = [("block", 2.0), ("block", 1.0), ("allow", -1.0), ("allow", -3.0)]
+    cut = urls.threshold(spark.createDataFrame(rows, "label string, score double"))
+    assert abs(cut) < 1e-6 and urls.threshold(spark.createDataFrame(rows[:2], "label string, score double")) == 0.0
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(["http://a.com/en/x", "http://b.net/de/y"] * 5 + ["http://c.info/q"] * 4)], "page_id long, url string")
+    assert len({r["verdict"] for r in urls.judge(pages).filter("page_id >= 10").collect()}) == 1
 
 
 # --- 5 and 7: SQL ---------------------------------------------------------------------------------------------------
@@ -242,10 +274,6 @@ def test_equals_sql(spark, sf, name):
         assert same.all(), c
 
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
 def test_merkle_edges(spark, odd):
     got = merkle.edited_likeness(odd).collect()
     assert len(got) == len(ODD) and merkle.edited_likeness(odd.limit(0)).count() == 0
