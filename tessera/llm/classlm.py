@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from hashlib import md5
+from itertools import chain
 from math import log10
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frequent, map_rows, settle, slices, table, unsettle
+from .common import BATCH, frequent, map_rows, settle, slices, table, unsettle
 
 #: Words that are clustered one by one, words whose classes and counts all tasks are sent, and classes.
 ITEMS, CORE, CLASSES = 1_024, 65_536, 48
@@ -77,9 +78,12 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
         def flush():
             nonlocal size
-            yield from ((short(w), c) for w, c in held.items())
+            words, counts = list(held), np.fromiter(held.values(), np.int64, len(held))
             held.clear()
             size = 0
+            for at in range(0, len(words), 100_000):
+                part = [w if len(w) <= LONG else short(w) for w in words[at : at + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(counts[at : at + 100_000])], ["word", "c"])
 
         step.end = flush
         return step
@@ -232,26 +236,31 @@ def neighbours(docs: DataFrame, text_col: str, core: Core) -> tuple[np.ndarray,
 
     def end(sums):
         for i, part in enumerate(sums.reshape(blocks, -1)):
-            if part.any():
-                yield i, zlib.compress(part.tobytes(), 1)
+            if len(at := np.flatnonzero(part)):
+                yield i, at.astype(np.int32).tobytes() + part[at].tobytes()
 
     parts = _sequences(docs, text_col, lambda: np.zeros(blocks * BLOCK * 2 * k, np.int64), each, end, "block int, sums binary")
 
+    def cells(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        some = len(raw) // 12
+        return np.frombuffer(raw, np.int32, some), np.frombuffer(raw[4 * some :], np.int64)
+
     def add():
         held: dict[int, np.ndarray] = {}
 
         def step(cols):
             for i, x in zip(*cols):
-                x = np.frombuffer(zlib.decompress(x), np.int64)
-                held[i] = held[i] + x if i in held else x
+                at, sums = cells(x)
+                held.setdefault(i, np.zeros(BLOCK * 2 * k, np.int64))[at] += sums
             return ()
 
-        step.end = lambda: [(i, zlib.compress(x.tobytes(), 1)) for i, x in held.items()]
+        step.end = lambda: end(np.concatenate([held.get(i, np.zeros(BLOCK * 2 * k, np.int64)) for i in range(blocks)])) if held else ()
         return step
 
-    out = np.zeros((blocks, BLOCK, 2, k), np.int64)
+    out = np.zeros((blocks, BLOCK * 2 * k), np.int64)
     for r in map_rows(parts.repartition("block"), add, "block int, sums binary").collect():
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["sums"]), np.int64).reshape(BLOCK, 2, k)
+        at, sums = cells(r["sums"])
+        out[r["block"]][at] += sums
     out = out.reshape(-1, 2, k)[:n]
     return out[:, 0].astype(np.float64), out[:, 1].astype(np.float64)
 
@@ -346,34 +355,27 @@ def occurrences(rows: DataFrame, model: ClassModel) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 ids, numbers, train = part.column(1), part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
-                n, known, logs, seqs, rare, places, sides, of_row = [], [], [], [], [], [], [], []
-                for i, t in enumerate(part.column(3).to_pylist()):
-                    words = words_of(t)
-                    at = core.places(words)
-                    here = at >= 0
-                    seq = np.where(here, core.of[at], k)
-                    mine = at[here]
-                    n.append(len(words))
-                    known.append(int((core.counts[mine] > 0).sum()))
-                    logs.append(float(m.logs[mine].sum()))
-                    seqs.append(seq.astype(np.uint8).tobytes())
-                    gone = np.flatnonzero(~here)
-                    if len(gone):
-                        rare += [short(words[x]) for x in gone.tolist()]
-                        places.append(np.arange(len(gone), dtype=np.int32))
-                        around = np.concatenate(([stop], seq, [k]))
-                        sides.append((around[gone], around[gone + 2]))
-                        of_row.append(np.full(len(gone), i))
-                size = part.num_rows
+                texts = [words_of(t) for t in part.column(3).to_pylist()]
+                size, flat = part.num_rows, list(chain.from_iterable(texts))
+                ends = np.cumsum(np.fromiter(map(len, texts), np.int64, size))
+                begins = np.concatenate(([0], ends[:-1]))
+                at = core.places(flat)
+                here = at >= 0
+                seq = np.where(here, core.of[at], k).astype(np.uint8)
+                logs = np.add.reduceat(np.where(here, m.logs[at], 0.0), begins)
+                known = np.add.reduceat((here & (core.counts[at] > 0)).astype(np.int64), begins)
+                seqs = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes()), pa.py_buffer(seq.tobytes())])
                 blank = lambda f, size: pa.nulls(size, f.type)
-                own = {"_row": part.column(0), "j": pa.array(np.full(size, -1, np.int32)), "_id": ids, "train": part.column(2), "n": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "seq": pa.array(seqs, pa.binary())}
+                own = {"_row": part.column(0), "j": pa.array(np.full(size, -1, np.int32)), "_id": ids, "train": part.column(2), "n": pa.array(ends - begins), "known": pa.array(known), "logs": pa.array(logs), "seq": seqs}
                 yield pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else blank(f, size) for f in out], schema=out)
+                gone = np.flatnonzero(~here)  # never the last of a text, which is the end token
+                row = np.searchsorted(ends, gone, "right")
+                j = np.arange(len(gone)) - np.searchsorted(gone, begins)[row]
+                b, a = np.where(gone > begins[row], seq[gone - 1], stop), seq[np.minimum(gone + 1, len(seq) - 1)]
+                rare = [w if len(w) <= LONG else short(w) for w in map(flat.__getitem__, gone.tolist())]
                 for lo in range(0, len(rare), 50_000):
-                    if not lo:
-                        row = np.concatenate(of_row)
-                        j, b, a = np.concatenate(places), np.concatenate([x for x, _ in sides]), np.concatenate([x for _, x in sides])
                     cut = slice(lo, lo + 50_000)
-                    own = {"_row": pa.array(numbers[row[cut]]), "j": pa.array(j[cut]), "word": pa.array(rare[cut], pa.binary()), "before": pa.array(b[cut].astype(np.int16)), "after": pa.array(a[cut].astype(np.int16)), "train": pa.array(train[row[cut]])}
+                    own = {"_row": pa.array(numbers[row[cut]]), "j": pa.array(j[cut].astype(np.int32)), "word": pa.array(rare[cut], pa.binary()), "before": pa.array(b[cut].astype(np.int16)), "after": pa.array(a[cut].astype(np.int16)), "train": pa.array(train[row[cut]])}
                     yield pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else blank(f, len(rare[cut])) for f in out], schema=out)
 
     return rows.select("_row", "_id", "_train", "_text").mapInArrow(run, schema)
@@ -429,38 +431,52 @@ def filled(mapped: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     texts = mapped.filter("j < 0").select("_row", "j", "_id", "train", "n", "known", "logs", "seq")
     both = texts.unionByName(found, allowMissingColumns=True).repartition("_row").sortWithinPartitions("_row", "j")
 
-    def make():
+    schema = f"_id {kind}, train boolean, n long, known long, logs double, seq binary"
+
+    def run(batches):
         now, classes, counts = None, [], []
 
-        def finish():
+        def finish(done: list) -> None:
             i, train, n, known, logs, seq = now
             if classes:
                 seq, c = np.frombuffer(seq, np.uint8).copy(), np.concatenate(counts)
                 seq[seq == k] = np.concatenate(classes)
                 known, logs, seq = known + int((c > 0).sum()), logs + float(np.log10(c + 1.0).sum()), seq.tobytes()
-            return i, train, n, known, logs, seq
+            done.append((i, train, n, known, logs, seq))
 
-        def step(cols):
-            nonlocal now, classes, counts
-            j, at = np.array(cols[1]), 0
-            for h in [*np.flatnonzero(j < 0).tolist(), len(j)]:
+        def packed(done: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*done), out)], schema=out)
+
+        for batch in batches:
+            j, done, size = batch.column(1).to_numpy(), [], 0
+            heads = np.flatnonzero(j < 0)
+            texts = zip(*(batch.column(x).take(pa.array(heads)).to_pylist() for x in range(2, 8)))
+            own, c = (batch.column(x).fill_null(0).to_numpy() for x in (8, 9))
+            at = 0
+            for h in [*heads.tolist(), len(j)]:
                 if h > at:
-                    classes.append(np.array(cols[8][at:h], np.uint8))
-                    counts.append(np.array(cols[9][at:h], np.int64))
+                    classes.append(own[at:h])
+                    counts.append(c[at:h])
                 if h < len(j):
                     if now is not None:
-                        yield finish()
-                    now, classes, counts = tuple(cols[x][h] for x in range(2, 8)), [], []
+                        finish(done)
+                        size += len(now[5])
+                        if size > BATCH:
+                            yield packed(done)
+                            done, size = [], 0
+                    now, classes, counts = next(texts), [], []
                 at = h + 1
+            if done:
+                yield packed(done)
+        if now is not None:
+            finish(done := [])
+            yield packed(done)
 
-        def end():
-            if now is not None:
-                yield finish()
-
-        step.end = end
-        return step
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    return map_rows(both.select("_row", "j", "_id", "train", "n", "known", "logs", "seq", "k", "c"), make, f"_id {kind}, train boolean, n long, known long, logs double, seq binary")
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    return both.select("_row", "j", "_id", "train", "n", "known", "logs", "seq", "k", "c").mapInArrow(run, schema)
 
 
 def moves(whole: DataFrame, stop: int, size: int) -> np.ndarray:

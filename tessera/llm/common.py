@@ -137,13 +137,21 @@ BATCH = 4_000_000
 
 def weight(row: tuple) -> int:
     """About how many characters or elements a row has."""
-    return 8 + sum(len(x) for x in row if hasattr(x, "__len__"))
+    n = 8
+    for x in row:
+        if x is not None and x.__class__ not in _PLAIN:
+            n += len(x) if hasattr(x, "__len__") else 0
+    return n
+
+
+_PLAIN = (int, float, bool)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[tuple]]], schema: str, rows: int = 20_000) -> DataFrame:
     """Arrow batches of df through a function made once per task. It takes columns of some rows as lists and gives row
     tuples, which leave in batches of `rows` or about BATCH characters at most, so memory stays bounded whatever the
-    lengths of texts: what is held at a time is a batch, and a single row where that is longer."""
+    lengths of texts: what is held at a time is a batch, and a single row where that is longer. Whole Arrow batches, where
+    it gives any, pass as they are."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -154,6 +162,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[t
         step, held, size = make(), [], 0
         for made in chain((step([c.to_pylist() for c in part.columns]) for batch in batches for part in slices(batch)), (x() for x in (getattr(step, "end", tuple),))):
             for row in made:
+                if row.__class__ is pa.RecordBatch:
+                    yield row
+                    continue
                 held.append(row)
                 size += weight(row)
                 if len(held) >= rows or size >= BATCH:

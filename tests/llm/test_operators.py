@@ -59,6 +59,50 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
+def test_batches_are_bounded_in_bytes(spark, monkeypatch):
+    sizes = []
+    rows = spark.createDataFrame([(k, "x" * (300_000 if k % 50 == 0 else 10)) for k in range(200)], "k long, t string").coalesce(1)
+
+    def make():
+        def step(cols):
+            assert sum(map(len, cols[1])) <= 2 * common.BATCH
+            for k, t in zip(*cols):
+                for j in range(3):
+                    yield k, t
+
+        return step
+
+    out = common.map_rows(rows, make, "k long, t string", rows=50)
+    assert out.groupBy("k").count().filter("count = 3").count() == 200
+    assert common.weight((1, "abc", [1, 2], None)) == 13 and not sizes
+
+
+def test_tables_go(spark):
+    import os
+
+    with common.scratch(spark) as keep:
+        a, b = common.settle(spark.range(3)), keep(common.settle(spark.range(4)))
+    assert not os.path.exists(a._tessera_path) and b.count() == 4
+    common.unsettle(b, None, spark.range(1))
+    assert not os.path.exists(b._tessera_path)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()  # noqa: N815
+
+    from tessera.operators import tables
+
+    for module in (common, tables):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            module.shared_dir(Session())
+
+
 # --- 2: rules -------------------------------------------------------------------------------------------------------
 
 
