@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH, frequent, map_rows, settle, slices, table, unsettle
+from .common import BATCH, frequent, map_rows, release, settle, slices, table, unsettle
 
 #: Words that are clustered one by one, words whose classes and counts all tasks are sent, and classes.
 ITEMS, CORE, CLASSES = 1_024, 65_536, 48
@@ -377,6 +377,7 @@ def occurrences(rows: DataFrame, model: ClassModel) -> DataFrame:
                     cut = slice(lo, lo + 50_000)
                     own = {"_row": pa.array(numbers[row[cut]]), "j": pa.array(j[cut].astype(np.int32)), "word": pa.array(rare[cut], pa.binary()), "before": pa.array(b[cut].astype(np.int16)), "after": pa.array(a[cut].astype(np.int16)), "train": pa.array(train[row[cut]])}
                     yield pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else blank(f, len(rare[cut])) for f in out], schema=out)
+        release()
 
     return rows.select("_row", "_id", "_train", "_text").mapInArrow(run, schema)
 
@@ -418,6 +419,7 @@ def rare_classes(rare: DataFrame, model: ClassModel) -> DataFrame:
                 yield finish(names[:-1], scores[:-1], counts[:-1])
         if last is not None:
             yield finish([last], score[None], np.array([c]))
+        release()
 
     ordered = rare.select("word", "before", "after", "train").repartition("word").sortWithinPartitions("word")
     return ordered.mapInArrow(run, "word binary, class short, c long")
@@ -471,6 +473,7 @@ def filled(mapped: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
         if now is not None:
             finish(done := [])
             yield packed(done)
+        release()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

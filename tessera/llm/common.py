@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from itertools import chain
 
 import pyarrow as pa
@@ -172,6 +174,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[t
                     held, size = [], 0
         if held:
             yield pack(held)
+        del step, held
+        release()
 
     def pack(part: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*part), out)], schema=out)
@@ -179,6 +183,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[t
     return df.mapInArrow(run, parsed)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: its worker waits for other tasks or other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # elsewhere than in glibc there's nothing to trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of at most 256 rows, fewer where rows are long."""
     most = max(1, min(256, batch.num_rows * BATCH // max(1, batch.nbytes)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_SENT, map_rows, settle, slices, table, unsettle
+from .common import MOST_SENT, map_rows, release, settle, slices, table, unsettle
 
 #: Labelled documents that the models are fitted to or calibrated on, at most.
 LABELLED = 6_000
@@ -336,7 +336,8 @@ def _batches(views: Views, text_at: int, meta_at: int, use):
             for part in slices(batch):
                 sides = (_sides(t, m) for t, m in zip(part.column(text_at).to_pylist(), part.column(meta_at).to_pylist()))
                 yield use(part, [(views.text.logit(t), views.meta.logit(m)) for t, m in sides])
-        _buckets.clear()  # the worker goes on to other tasks
+        _buckets.clear()
+        release()
 
     return run
 
