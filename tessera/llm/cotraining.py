@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +64,8 @@ _buckets = _Buckets()
 FORMS = 9
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values. A null or wordless text has its measures alone."""
-    raw = (text or "").encode()
+def text_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values. A wordless text has its measures alone."""
     words = raw.split()
     n = max(1, len(words))
     counts = Counter(raw.lower().split())
@@ -92,17 +92,17 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return idx, np.concatenate((tf / norm, np.array(forms) * 4))
 
 
-def layout(text: str | None) -> dict[str, int]:
+def layout(raw: bytes, chars: int) -> dict[str, int]:
     """What can be told of a text's shape without reading it."""
-    lines = (text or "").split("\n")
-    return {"chars": len(text or ""), "bytes": len((text or "").encode()), "lines": len(lines), "longest": max(map(len, lines)), "blank": sum(not x for x in lines)}
+    sizes = list(map(len, raw.split(b"\n")))
+    return {"chars": chars, "bytes": len(raw), "lines": len(sizes), "longest": max(sizes), "blank": sizes.count(0)}
 
 
 def meta_features(meta: dict, shape: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """One-hot: values, steps of numbers, and steps of the layout alone, by each text value and in pairs. Null is a value."""
     from xxhash import xxh32_intdigest
 
-    steps = lambda x, k: int(np.log2(max(0.0, x) + 1) * k)
+    steps = lambda x, k: int(log2(max(0.0, x) + 1) * k)
     plain, parts = [], []
     for k, v in sorted(meta.items()):
         if isinstance(v, (int, float)) and not isinstance(v, bool):
@@ -223,8 +223,9 @@ def _pairs(found: list) -> tuple[Rows, Rows]:
     return text, meta
 
 
-def _sides(text, meta: dict) -> tuple:
-    return text_features(text), meta_features(meta, layout(text))
+def _sides(text: str | None, meta: dict) -> tuple:
+    raw = (text or "").encode()
+    return text_features(raw), meta_features(meta, layout(raw, len(text or "")))
 
 
 def _features(given: DataFrame) -> DataFrame:
