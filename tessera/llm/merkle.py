@@ -235,7 +235,8 @@ backs AS (SELECT *, {_sql_back(_sql_hashes("x"), _sql_hashes("y"), "f")} AS k FR
 sections AS (
   SELECT doc_id, kind, f = len(x) AND len(x) = len(y) AS equal, list_sum(list_transform(x, lambda s: s.n)) + list_sum(list_transform(y, lambda s: s.n)) AS whole,
          {_sql_leaves("x", "f", "k")} AS same,
-         list_transform(list_zip(x[f + 1:len(x) - k], y[f + 1:len(y) - k]), lambda z: {{'x': coalesce(z[1].c, []), 'y': coalesce(z[2].c, [])}}) AS opened
+         list_transform(range(1, greatest(len(x), len(y)) - f - k + 1), lambda i: {{
+           'x': CASE WHEN i <= len(x) - f - k THEN x[f + i].c ELSE [] END, 'y': CASE WHEN i <= len(y) - f - k THEN y[f + i].c ELSE [] END}}) AS opened
   FROM backs),
 opened AS (
   SELECT * EXCLUDE (opened), list_transform(list_transform(opened,
@@ -244,7 +245,8 @@ opened AS (
   FROM sections),
 paragraphs AS (
   SELECT * EXCLUDE (opened), coalesce(list_sum(list_transform(opened, lambda z: {_sql_leaves("z.x", "z.f", "z.k")})), 0) AS more,
-         flatten(list_transform(opened, lambda z: list_transform(list_zip(z.x[z.f + 1:len(z.x) - z.k], z.y[z.f + 1:len(z.y) - z.k]), lambda q: {{'x': q[1].c, 'y': q[2].c}}))) AS last
+         flatten(list_transform(opened, lambda z: list_transform(range(1, greatest(len(z.x), len(z.y)) - z.f - z.k + 1), lambda i: {{
+           'x': CASE WHEN i <= len(z.x) - z.f - z.k THEN z.x[z.f + i].c END, 'y': CASE WHEN i <= len(z.y) - z.f - z.k THEN z.y[z.f + i].c END}}))) AS last
   FROM opened),
 leaves AS (
   SELECT doc_id, kind, equal, whole, len(last) AS n_differing, same + more + coalesce(list_sum(list_transform(list_transform(
