@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -88,23 +89,42 @@ MOST_SENT = 1_000_000
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with its columns as c0, c1, ..., so that names can't clash, and _row, a number of its own for each row. A written
-    table: a plan made anew might cut the files elsewhere and number other rows, where executors came or went."""
-    out = settle(df.toDF(*(f"c{k}" for k in range(len(df.columns)))).withColumn("_row", F.monotonically_increasing_id()))
+    """df with _row, a number of its own for each row, and renamed() columns, so that names can't clash. A written table: a
+    plan made anew might cut the files elsewhere and number other rows, where executors came or went."""
+    low = [c.lower() for c in df.columns]
+    names = [c if re.fullmatch(r"(?!c\d+$)[A-Za-z][A-Za-z0-9_]*", c, re.ASCII) and low.count(c.lower()) == 1 else f"c{k}" for k, c in enumerate(df.columns)]
+    out = settle(df.toDF(*names).withColumn("_row", F.monotonically_increasing_id()))
     out._tessera_names = df.columns
     return out
 
 
 def renamed(rows: DataFrame, name: str) -> str:
-    """What numbered() calls a column of its input."""
-    return f"c{rows._tessera_names.index(name)}"
+    """What numbered() calls a column of its input: its name, or c and its place where names aren't plain or not alone."""
+    return rows.columns[rows._tessera_names.index(name)]
+
+
+#: Bitmaps of 32,768 numbers, 4 KB each, that may be sent to all tasks: 64 MB.
+BUCKETS = 16_384
+
+
+def among(rows: DataFrame, number: Column, chosen: DataFrame, inside: bool = True) -> DataFrame:
+    """Those of rows whose number (a long, not null) is in chosen (a table of one column of longs), or the others. Numbers
+    are sent to all tasks as bitmaps, so that texts stay where they are; more than BUCKETS of these are joined by a shuffle."""
+    own = F.col(chosen.columns[0])
+    bits = chosen.select(F.bitmap_bucket_number(own).alias("_bucket"), F.bitmap_bit_position(own).alias("_bit")).repartition("_bucket")
+    maps = settle(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    if maps.count() > BUCKETS:
+        return rows.withColumn("_number", number).join(chosen.select(own.alias("_number")), "_number", "left_semi" if inside else "left_anti").select(*rows.columns)
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_in = F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(number) == F.col("_bucket"), "inner" if inside else "left")
+    return joined.filter(is_in if inside else ~is_in).select(*rows.columns)
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The input of numbered() less the rows in dropped (a settled table of _row). Few are sent to all tasks, so that
-    texts stay where they are; more than MOST_SENT are joined by a shuffle."""
-    few = dropped.count() <= MOST_SENT
-    return rows.join(F.broadcast(dropped) if few else dropped, "_row", "left_anti").drop("_row").toDF(*rows._tessera_names)
+    """The input of numbered() less the rows in dropped (a settled table of _row)."""
+    return among(rows, F.col("_row"), dropped, inside=False).drop("_row").toDF(*rows._tessera_names)
 
 
 def frequent(df: DataFrame, count: str, most: int, key: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frequent, map_rows, numbered, renamed, settle, table, unsettle, without
+from .common import MOST_SENT, among, frequent, map_rows, numbered, renamed, settle, table, unsettle, without
 from .graph import components
 
 BITS = 64
@@ -314,6 +314,8 @@ ANCHORS, ROWS = 12, 3
 #: Second pass: shingles that are in OFTEN or more of one in SAMPLE texts come last in the order of shingles, at most
 #: COMMON of them. This decides how many candidates there are, never which pairs are found.
 SAMPLE, OFTEN, COMMON = 16, 4, 65_536
+#: Bits of a text's marks at least, and of the filter of shared shingles at most (32 MB).
+MARKS, FILTER = 512, 2**28
 
 
 def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,8 +340,22 @@ def anchors(hashes: np.ndarray) -> list[int]:
     return out.view(np.int64).tolist()
 
 
+def marks(hashes: np.ndarray) -> bytes:
+    """A bit for each member of a set, or up to twice as many, MARKS at least: whether an odd number of members fall on it."""
+    size = max(MARKS, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """By how many bits two sets' marks differ, at the size of the smaller: no more than the members of one set alone."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).sum())
+
+
 def sketches(docs: DataFrame, width: int, row_col: str, text_col: str) -> DataFrame:
-    """row, class (a hash of 128 bits of the lower-case word sequence), fingerprint, anchors (null for wordless texts)."""
+    """row, class (a hash of 128 bits of the lower-case word sequence), fingerprint, number of shingles, marks,
+    anchors (null for wordless texts)."""
 
     def make():
         from xxhash import xxh3_128_hexdigest
@@ -348,11 +364,11 @@ def sketches(docs: DataFrame, width: int, row_col: str, text_col: str) -> DataFr
             for i, t in zip(*cols):
                 own = np.unique(shingle_hashes(t, width))  # similarity is of sets: repeats don't count
                 name = xxh3_128_hexdigest(b" ".join((t or "").encode().lower().split()))
-                yield i, name, fold(own), anchors(own) if len(own) else None
+                yield i, name, fold(own), len(own), marks(own), anchors(own) if len(own) else None
 
         return step
 
-    return map_rows(docs.select(row_col, text_col), make, "_row long, class string, fingerprint long, anchors array<long>", rows=5_000)
+    return map_rows(docs.select(row_col, text_col), make, "_row long, class string, fingerprint long, size int, marks binary, anchors array<long>", rows=5_000)
 
 
 def deal(rows: DataFrame, key: str, item: str, most: int = SHARD) -> DataFrame:
@@ -383,8 +399,25 @@ def nearest_links(dealt: DataFrame) -> DataFrame:
     return runs(dealt, ["shard", "to"], ["part", "node", "fingerprint"], make, "a long, b long")
 
 
+def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) that may have the similarity: all but those whose sets (node, size, marks) must differ by more.
+    Exact, and no text moves for it."""
+
+    def make():
+        def step(cols):
+            for a, b, n, m, x, y in zip(*cols):
+                if apart(x, y) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6:
+                    yield a, b
+
+        return step
+
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("size").alias(f"_size_{n}"), F.col("marks").alias(f"_marks_{n}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    return map_rows(full.select("a", "b", "_size_a", "_size_b", "_marks_a", "_marks_b"), make, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose texts (node, _text) have the similarity or more."""
+    """Those of pairs (a, b), a settled table, whose texts (node, _text) have the similarity or more."""
 
     def make():
         last = [None, None]
@@ -400,6 +433,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
         return step
 
+    texts = settle(among(texts, F.col("node"), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     side = lambda n: texts.select(F.col("node").alias(n), F.col("_text").alias(f"_text_{n}"))
     full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "_text_a", "_text_b")
     return map_rows(full.sortWithinPartitions("a"), make, "a long, b long")
@@ -452,24 +486,31 @@ def prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray
     return map_rows(texts.select("node", "_text"), make, "node long, size int, own array<long>", rows=5_000)
 
 
-def missed_links(texts: DataFrame, labels: DataFrame, width: int, similarity: float) -> DataFrame:
-    """a, b: the pairs of texts (node, _text) of the similarity or more that labels (node, _group) don't join yet.
+def missed_links(texts: DataFrame, labels: DataFrame, width: int, similarity: float, sets: DataFrame | None = None) -> DataFrame:
+    """a, b: the pairs of texts (node, _text) of the similarity or more that labels (node, _group, of all texts) don't join
+    yet. What sets (node, size, marks) rule out isn't looked into.
 
     Exact: the first shingle that such a pair has in common lies in both prefixes, and what follows it in the shorter
     remainder is all that they can share besides.
     """
     own = prefixes(texts, width, similarity, common_shingles(texts, width))
-    rows = settle(own.join(labels, "node").select("node", "_group", "size", F.posexplode("own").alias("at", "shingle")))
+    grouped = settle(labels.filter("node <> _group").select("node", "_group"))  # prefixes stay where they are
+    few = grouped.count() <= MOST_SENT
+    own = own.join(F.broadcast(grouped) if few else grouped, "node", "left").withColumn("_group", F.coalesce("_group", "node"))
+    rows = settle(own.select("node", "_group", "size", F.posexplode("own").alias("at", "shingle")))
     # Only shingles of more than one group can link anything; most are of one text.
     shared = settle(rows.groupBy("shingle").agg(F.min("_group").alias("lo"), F.max("_group").alias("hi")).filter("lo <> hi").select("shingle"))
-    left = settle(rows.join(shared, "shingle"))
+    # Most others stay where they are: a filter of at most FILTER bits is sent to all tasks, before the exact join.
+    bits = min(FILTER, 1 << (16 * shared.count() + 32_768).bit_length())
+    place = F.col("shingle").bitwiseAND(F.lit(bits - 1))
+    left = settle(among(rows, place, shared.select(place.alias("place"))).join(shared, "shingle"))
     right = left.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("node", "_group", "size", "at")))
     most = F.least(F.col("size") - F.col("at"), F.col("size_2") - F.col("at_2"))  # with the shingle itself
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_2")) - 1e-6)
     pairs = left.join(right, "shingle").filter((F.col("node") < F.col("node_2")) & (F.col("_group") != F.col("_group_2")) & (most >= least))
     pairs = settle(pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct())
-    unsettle(rows, shared, left)
-    return verified(pairs, texts, width, similarity)
+    unsettle(grouped, rows, shared, left)
+    return verified(pairs if sets is None else settle(likely(pairs, sets, similarity)), texts, width, similarity)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -484,8 +525,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     that the first left in two groups, by prefixes of shingle sets.
     """
     found = settle(sketches(docs, width, "_row", text_col))
-    same_words = F.min(F.struct("_row", "fingerprint", "anchors"))  # equal words: equal fingerprints and anchors
-    nodes = settle(found.groupBy("class").agg(same_words.alias("_m")).select("class", F.col("_m._row").alias("node"), F.col("_m.fingerprint").alias("fingerprint"), F.col("_m.anchors").alias("anchors")))
+    same_words = F.min(F.struct("_row", "fingerprint", "size", "marks", "anchors"))  # equal words: all of these but _row are equal
+    nodes = settle(found.groupBy("class").agg(same_words.alias("_m")).select("class", F.col("_m._row").alias("node"), *(F.col(f"_m.{c}").alias(c) for c in ("fingerprint", "size", "marks", "anchors"))))
     rows = nodes.select("node", "fingerprint", F.explode("anchors").alias("shard"))
     # Shards with the same members are looked into once: similar texts share most of their anchors.
     members = [F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(5))).alias("_y")]
@@ -494,10 +535,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     pairs = settle(nearest_links(dealt).distinct())
     unsettle(same, dealt)
     texts = docs.select(F.col("_row").alias("node"), F.col(text_col).alias("_text"))
-    some = texts.join(settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
-    joined = components(settle(verified(pairs, settle(some), width, similarity)))
+    joined = components(settle(verified(settle(likely(pairs, nodes, similarity)), texts, width, similarity)))
     known = settle(nodes.filter("anchors IS NOT NULL").select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("_group")))
-    missed = settle(missed_links(texts.join(known.select("node"), "node", "left_semi"), known, width, similarity))
+    missed = settle(missed_links(among(texts, F.col("node"), known.select("node")), known, width, similarity, nodes))
     joined = components(missed.unionByName(joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
     labels = settle(nodes.select("class", "node").join(joined, "node", "left").select(F.col("class").alias("_class"), F.coalesce("component", "node").alias("_group")))
     ids = docs.select(F.col("_row").alias("_r"), F.col(id_col).alias("_id"))

@@ -582,6 +582,47 @@ def test_missed_links_are_all_similar_pairs(spark, monkeypatch, often):
     assert len(want) > 40 and {tuple(r) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("size", [3, 300, 2_000, 9_000])
+def test_marks_never_part_similar_sets(size):
+    rng = np.random.default_rng(size)
+    parted = 0
+    for k in range(40):
+        a = rng.integers(0, 2**64, size, dtype=np.uint64)
+        b = np.unique(np.concatenate((a[int(size * k / 80) :], rng.integers(0, 2**64, k, dtype=np.uint64))))
+        a = np.unique(a)
+        alone = len(np.setxor1d(a, b))
+        assert simhash.apart(simhash.marks(a), simhash.marks(b)) <= alone
+        parted += simhash.apart(simhash.marks(a), simhash.marks(rng.integers(0, 2**64, size, dtype=np.uint64))) > 2 * size / 9
+    assert parted == 40 or size == 3
+
+
+def test_near_duplicates_move_few_texts(spark, tmp_path, monkeypatch):
+    """Whole texts are read where they lie, less those of pairs whose sets may be similar: texts of one common passage each
+    have candidates, but none of these pairs reaches the texts."""
+    rng = random.Random(8)
+    line = [f"c{k}" for k in range(30)]
+    rows = [(k, " ".join([f"w{rng.randrange(100_000)}" for _ in range(90)] + line)) for k in range(300)]
+    rows += [(1_000 + k, t + " more") for k, t in rows[:5]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    seen, real = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    monkeypatch.setattr(simhash, "OFTEN", 10**9)  # else the passage comes last and makes no candidates
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert kept == set(range(300)) and len(seen) == 2 and sum(seen) <= 10
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_rows_among_numbers(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BUCKETS", most)
+    some = {0, 1, 32_767, 32_768, 32_769, 65_536, 2**33, 2**33 + 9, 2**40 + 12_345}
+    rows = spark.createDataFrame([(x + d,) for x in some for d in (0, 7)], "n long").distinct()
+    every = {r["n"] for r in rows.collect()}
+    chosen = spark.createDataFrame([(x,) for x in some | {5 * 10**9}], "x long")
+    assert {r["n"] for r in common.among(rows, F.col("n"), chosen).collect()} == some
+    assert {r["n"] for r in common.among(rows, F.col("n"), chosen, inside=False).collect()} == every - some
+    assert common.among(rows, F.col("n"), chosen.limit(0)).count() == 0 and common.among(rows, F.col("n"), chosen.limit(0), inside=False).count() == len(every)
+
+
 def test_near_duplicates_edges(spark, odd):
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6, 7, 8]
