@@ -21,7 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from hashlib import md5
-from itertools import chain
+from itertools import chain, repeat
 from math import log10
 
 import numpy as np
@@ -48,7 +48,9 @@ END = b"\n"
 
 def words_of(text: bytes | None) -> list[bytes]:
     """Words in lower case, A-Z alone, and the end token. White space is the six ASCII characters, as in WORD."""
-    return [*(text or b"").lower().split(), END]
+    words = (text or b"").lower().split()
+    words.append(END)
+    return words
 
 
 def short(word: bytes) -> bytes:
@@ -97,6 +99,7 @@ class Core:
     def __init__(self, words: list[bytes], counts: list[int], k: int):
         self.words, self.counts, self.k = words, np.array(counts, np.int64), k
         self.of = np.full(len(words), k, np.int64)
+        self.hashed = any(w[:1] == b"\0" for w in words)  # whether any may be a long word's hash
         self._at: dict[bytes, int] | None = None
 
     def __getstate__(self):
@@ -107,10 +110,11 @@ class Core:
         if self._at is None:
             self._at = {w: i for i, w in enumerate(self.words)}
         get = self._at.get
-        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        for i in np.flatnonzero(out < 0):
-            if len(words[i]) > LONG:
-                out[i] = get(short(words[i]), -1)
+        out = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        if self.hashed:
+            for i in np.flatnonzero(out < 0).tolist():
+                if len(words[i]) > LONG:
+                    out[i] = get(short(words[i]), -1)
         return out
 
 

@@ -796,6 +796,16 @@ def test_class_lm_edges(spark, odd):
     assert {r["doc_id"]: r["n_tokens"] for r in got}[1] == 1 and all(math.isfinite(r["score"]) for r in got)
 
 
+def test_core_words_by_hash_only_where_there_are_any(monkeypatch):
+    long = [b"x" * 65, b"y" * 200]
+    hashed = []
+    monkeypatch.setattr(classlm, "short", lambda w, real=classlm.short: hashed.append(w) or real(w))
+    assert classlm.Core([b"a", classlm.END], [3, 2], 1).places([b"a", *long, b"b", b"\n"]).tolist() == [0, -1, -1, -1, 1]
+    assert not hashed
+    words = [b"a", b"\0" + hashlib.md5(long[0]).digest(), classlm.END]
+    assert classlm.Core(words, [3, 2, 1], 1).places([b"a", *long, b"b", b"\n"]).tolist() == [0, 1, -1, -1, 2]
+
+
 # --- 10: licences ---------------------------------------------------------------------------------------------------
 
 MIT = """Copyright 2020 A. B.
