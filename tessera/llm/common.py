@@ -169,16 +169,30 @@ def weight(row: tuple) -> int:
 _PLAIN = (int, float, bool)
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches for Python workers are of about BATCH bytes at most, or a row where that is
+    longer: executor and worker hold two or more of them for each task. A smaller bound of the session's own stays."""
+    own = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < own <= BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[tuple]]], schema: str, rows: int = 20_000) -> DataFrame:
     """Arrow batches of df through a function made once per task. It takes columns of some rows as lists and gives row
     tuples, which leave in batches of `rows` or about BATCH characters at most, so memory stays bounded whatever the
     lengths of texts: what is held at a time is a batch, and a single row where that is longer. Whole Arrow batches, where
     it gives any, pass as they are."""
-    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    parsed = StructType.fromDDL(schema)
-    out = to_arrow_schema(parsed)
+    bounded(df.sparkSession)
+    parsed, out = StructType.fromDDL(schema), arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, held, size = make(), [], 0

@@ -22,18 +22,19 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_rows, table
+from .common import arrow_schema, map_rows, table
 
 SPACE = "▁"
 #: Parts of a text kept by each Python worker with their ids; the memo starts anew beyond that. About 50 MB.
 MEMO = 200_000
 #: Longer parts are never kept.
 MEMO_CHARS = 48
-#: Pairs of pieces whose compatibility a worker remembers, about 30 MB.
-PAIRS = 200_000
+#: Places for pairs of pieces whose compatibility a worker remembers, 8 bytes each: a prime. A pair takes the place of
+#: the one that stood there.
+PAIRS = 1_048_573
 #: Characters of a text that are cut into parts at a time.
 SEGMENT = 262_144
 #: Characters of a part for which matches are held at a time, and how many such windows: a way back beyond them finds its
@@ -104,7 +105,7 @@ class PieceModel:
         self.cuts_spaces = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.cuts_lines = all("\n" not in p for p in self.ids)
         self.cuts_all = self.prefix and self.cuts_spaces and self.cuts_lines and SPACE in self.ids
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits = array("q", [-1]) * PAIRS  # twice the pair's number, and 1 if compatible
         self.memo = _Memo(self)
         self.known = frozenset(p for p in self.ids if len(p) == 1)
         self.text_of = {str(i): p.replace(SPACE, " ") for p, i in self.ids.items()}
@@ -127,12 +128,12 @@ class PieceModel:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the joint text of two pieces gives back the two pieces."""
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            known = self.fits[a, b] = self._compatible(a, b)
-        return known
+        pair = a * len(self.pieces) + b
+        at = pair % len(self.fits)
+        known = self.fits[at]
+        if known >> 1 != pair:
+            known = self.fits[at] = pair * 2 + self._compatible(a, b)
+        return known & 1 == 1
 
     def _compatible(self, a: int, b: int) -> bool:
         if a in self.tied or b in self.tied:
@@ -192,6 +193,7 @@ class PieceModel:
 
     def _backtrack(self, text: str) -> list[int] | array:
         size, fits, n = self.size, self.fits, len(text)
+        many, places = len(self.pieces), len(fits)
         whole = n <= WINDOW
         found = self.matches(text, n) if whole else _Matches(self, text)
         failed, any_failed = bytearray(n // 8 + 1), False  # bit p: no way on from position p
@@ -206,7 +208,7 @@ class PieceModel:
                 to = at + size[i]
                 if any_failed and failed[to >> 3] >> (to & 7) & 1:
                     continue
-                if last is None or (fit if (fit := fits.get((last, i))) is not None else self.compatible(last, i)):
+                if last is None or (fit & 1 if (fit := fits[(pair := last * many + i) % places]) >> 1 == pair else self.compatible(last, i)):
                     ids.append(i)
                     starts.append(at)
                     tries.append(left)
@@ -353,29 +355,44 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     columns of docs, whatever their names, play no part.
     """
 
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, ids array<int>, same boolean" + ", decoded string" * decoded
+    form = arrow_schema(schema)
+
     def make():
         m = model(model_path)
         end = [m.end_id] if add_end else []
 
         def step(cols):
-            for i, t in zip(*cols):
-                ids, out, same, at = array("i"), [], True, 0
+            # Ids leave as one flat array of the rows at hand: as rows they would be copied twice and wait for others.
+            ids, ends, same, texts = array("i"), array("i", [0]), [], []
+            for t in cols[1]:
+                out, is_same, at = [], True, 0
                 plain = (t or "").replace(SPACE, " ")  # which decodes to a space
                 for segment in m.encode_segments(plain):
                     own = segment.split()
                     ids.extend(map(int, own))
                     back = m.decode(own, not at)
-                    same = same and plain.startswith(back, at)
+                    is_same = is_same and plain.startswith(back, at)
                     at += len(back)
                     if decoded:
                         out.append(back)
                 ids.extend(end)
-                yield i, np.frombuffer(ids, np.int32) if ids else [], same and at == len(plain) and plain == (t or ""), *(["".join(out)] if decoded else [])
+                ends.append(len(ids))
+                same.append(is_same and at == len(plain) and plain == (t or ""))
+                texts.append("".join(out))
+            lists = pa.ListArray.from_arrays(_flat(ends), _flat(ids), type=form.field(1).type)
+            rest = [pa.array(texts, form.field(3).type)] if decoded else []
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], form.field(0).type), lists, pa.array(same, pa.bool_()), *rest], schema=form)
 
         return step
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, ids array<int>, same boolean" + ", decoded string" * decoded)
+    return map_rows(docs.select(id_col, text_col), make, schema)
+
+
+def _flat(numbers: array) -> pa.Array:
+    """32-bit numbers as they lie, uncopied."""
+    return pa.Array.from_buffers(pa.int32(), len(numbers), [None, pa.py_buffer(numbers)])
 
 
 def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True) -> DataFrame:

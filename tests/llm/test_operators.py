@@ -6,10 +6,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -77,6 +79,46 @@ def test_batches_are_bounded_in_bytes(spark, monkeypatch):
     assert common.weight((1, "abc", [1, 2], None)) == 13 and not sizes
 
 
+def test_what_workers_are_sent_is_bounded_in_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(2_000).select(F.repeat(F.lit("x"), 10_000).alias("t")).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "64MB")
+        common.map_rows(rows, lambda: lambda cols: (), "x long")
+        sent = rows.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in sent) == 2_000 and max(r["size"] for r in sent) <= common.BATCH + 20_000
+        spark.conf.set(key, "1MB")  # a smaller bound stays
+        common.map_rows(rows, lambda: lambda cols: (), "x long")
+        assert max(r["size"] for r in rows.mapInArrow(sizes, "n long, size long").collect()) <= 1_100_000
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_features_gathered_on_the_driver_are_arrays():
+    rng = random.Random(9)
+
+    def rows():
+        for k in range(400):
+            yield {"_id": k % 300, "_label": k % 2, "_tie": -k, "ti": [rng.randrange(300, 16_000) for _ in range(500)], "tv": [rng.random() for _ in range(500)], "mi": [1], "mv": [0.5]}
+
+    tracemalloc.start()
+    try:
+        found = cotraining._gathered(rows())
+        assert tracemalloc.get_traced_memory()[0] < 400 * 500 * 16
+    finally:
+        tracemalloc.stop()
+    assert [r[:2] for r in found] == [(k, k % 2) for k in range(300)]  # of equal ids the first by _tie
+    rng.seed(9)
+    every = list(rows())
+    assert all(r[2][0].tolist() == every[k + 300 if k < 100 else k]["ti"] and r[2][1].tolist() == every[k + 300 if k < 100 else k]["tv"] for k, r in enumerate(found))
+
+
 def test_tables_go(spark):
     import os
 

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import tracemalloc
+from array import array
 
 import pytest
 
@@ -79,6 +81,34 @@ def test_compatible_is_re_merging(sp):
         assert m._compatible(a, b) == (m.merge(m.pieces[a] + m.pieces[b]) == [a, b])
 
 
+def test_remembered_pairs_are_small_and_right(sp, monkeypatch):
+    monkeypatch.setattr(pieces, "PAIRS", 7)  # nearly every pair takes another's place
+    m, rng = pieces.PieceModel(default_model()), random.Random(5)
+    ids = list(m.split)
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(500)]
+    assert [m.compatible(a, b) for a, b in pairs * 2] == [m._compatible(a, b) for a, b in pairs] * 2
+    assert m.encode("remembered pairs 日本 take places" * 40) == sp.encode("remembered pairs 日本 take places" * 40)
+    monkeypatch.undo()
+    tracemalloc.start()
+    try:
+        m.fits = type(m.fits)("q", [-1]) * pieces.PAIRS if isinstance(m.fits, array) else {}
+        for k in range(150_000):
+            m.compatible(ids[k % 500], ids[k // 500])
+        assert tracemalloc.get_traced_memory()[0] < 10_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_ids_leave_as_they_lie(spark, monkeypatch):
+    """Whole Arrow batches of a slice's rows, not rows that wait for others."""
+    made = []
+    monkeypatch.setattr(pieces, "map_rows", lambda df, make, schema: made.append(make))
+    encode_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), default_model(), decoded=False)
+    (out,) = made[0]()([[1, None, 1], ["a b", None, "a b"]])
+    a, b = out.column(1)[0].as_py(), out.column(1)[1].as_py()
+    assert out.column(0).to_pylist() == [1, None, 1] and out.column(1).to_pylist() == [a, b, a] and len(b) == 1 and out.column(2).to_pylist() == [True] * 3
+
+
 def test_documents(spark, sp):
     rows = [(i, t, "x") for i, t in enumerate(EDGE)] + [(0, "again", "x"), (0, "again", "x"), (None, "null id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
