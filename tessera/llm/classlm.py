@@ -11,15 +11,21 @@ of the training texts chooses its class by the exchange criterion, the likelihoo
    by much, so its gain is to first order the log-likelihood of its neighbours' classes; a word without a neighbour in
    the core takes a class by its hash.
 
+Texts are cut into words twice: to count these, and to write each text as its words' numbers in the core, with the words
+outside beside them. All passes after that read numbers.
+
 Classes and counts of the core go to all tasks; their size is bounded by CORE. Other words are at most one in CORE of all
-tokens each and are never held in memory: their occurrences shuffle on the word, where a sorted stream gives each word its
-class, and come back to their texts by a join. Long words are known by a hash, so no frequent one stays out of the core.
+tokens each: their occurrences shuffle on the word, where a sorted stream gives each word its class, and packed places
+come back to groups of texts. Of a word's occurrences HELD are in memory at most, the rest in a file until its class is
+known. Long words are known by a hash, so no frequent one stays out of the core.
 """
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from hashlib import md5
 from itertools import chain, repeat
 from math import log10
@@ -30,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH, frequent, map_rows, release, settle, slices, table, unsettle
+from .common import arrow_schema, bounded, frequent, map_rows, release, settle, slices, table, unsettle
 
 #: Words that are clustered one by one, words whose classes and counts all tasks are sent, and classes.
 ITEMS, CORE, CLASSES = 1_024, 65_536, 48
@@ -38,12 +44,15 @@ ITEMS, CORE, CLASSES = 1_024, 65_536, 48
 SWEEPS, ROUNDS = 8, 2
 #: Words longer than this are known by a hash.
 LONG = 64
-#: Distinct words, and bytes of texts with them, that a task holds before it passes their counts on.
+#: Distinct words, and bytes of texts with them, that a task holds before it passes their counts on; places, too.
 HELD, HELD_BYTES = 300_000, 64_000_000
 #: Core words whose neighbours' classes shuffle as one row.
 BLOCK = 256
 #: The end token, which no word can be.
 END = b"\n"
+#: An occurrence of a word outside the core: the group of its text and its place among the group's words outside; and what
+#: comes back to the group: its class there, and how often the word stands in training texts.
+SPOT, PLACE = np.dtype([("g", "<i8"), ("o", "<i4")]), np.dtype([("o", "<i4"), ("k", "u1"), ("c", "<i8")])
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -100,6 +109,8 @@ class Core:
         self.words, self.counts, self.k = words, np.array(counts, np.int64), k
         self.of = np.full(len(words), k, np.int64)
         self.hashed = any(w[:1] == b"\0" for w in words)  # whether any may be a long word's hash
+        #: How numbers are written; the largest stands for words outside.
+        self.kind = np.dtype("<u2" if len(words) < 65_536 else "<u4")
         self._at: dict[bytes, int] | None = None
 
     def __getstate__(self):
@@ -117,50 +128,79 @@ class Core:
                     out[i] = get(short(words[i]), -1)
         return out
 
+    def read(self, numbers: list[bytes]) -> np.ndarray:
+        """Numbers as encoded() wrote them, one text after another; as many as there are words for others."""
+        return np.minimum(np.frombuffer(b"".join(numbers), self.kind), len(self.words))
+
+
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Elements of data as binaries, each up to one of ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate(([0], ends * data.itemsize)).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def encoded(rows: DataFrame, core: Core) -> DataFrame:
+    """Of rows (_row, _id, _train, _text) each text with its words' numbers in the core, and with its words outside, a line
+    each, as no word has one. Texts that were together (a slice) are a group _g; _at is a text's place there, first that of
+    its first word outside among the group's."""
+    bounded(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(core)
+    schema = f"_g long, _at int, _id {rows.schema['_id'].dataType.simpleString()}, _train boolean, numbers binary, first int, rare binary"
+    out = arrow_schema(schema)
+
+    def run(batches):
+        c = sent.value
+        for batch in batches:
+            for part in slices(batch):
+                texts = [words_of(t) for t in part.column(3).to_pylist()]
+                size, flat = part.num_rows, list(chain.from_iterable(texts))
+                ends = np.cumsum(np.fromiter(map(len, texts), np.int64, size))
+                at = c.places(flat)
+                gone = np.flatnonzero(at < 0)
+                upto = np.concatenate(([0], np.searchsorted(gone, ends)))
+                others = list(map(flat.__getitem__, gone.tolist()))
+                cols = {"_g": pa.array(np.full(size, part.column(0)[0].as_py())), "_at": pa.array(np.arange(size)), "_id": part.column(1), "_train": part.column(2), "first": pa.array(upto[:-1])}
+                cols["numbers"] = binaries(np.where(at < 0, np.iinfo(c.kind).max, at).astype(c.kind), ends)
+                cols["rare"] = pa.array([b"\n".join(others[lo:hi]) for lo, hi in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in out], schema=out)
+        release()
+
+    return rows.select("_row", "_id", "_train", "_text").mapInArrow(run, schema)
+
 
-def _sequences(docs: DataFrame, text_col: str, begin, each, end, schema: str) -> DataFrame:
-    """begin() gives a state; each(state, words) takes runs of whole texts, an end token after each; end(state) gives rows."""
+def _sequences(texts: DataFrame, core: Core, begin, each, end, schema: str) -> DataFrame:
+    """begin() gives a state; each(state, own) takes the numbers of whole texts, an end token after each; end(state) gives rows."""
 
     def make():
-        state, held = begin(), []
+        state = begin()
 
         def step(cols):
-            for t in cols[0]:
-                held.extend(words_of(t))
-                if len(held) > 100_000:
-                    each(state, held)
-                    held.clear()
+            each(state, core.value.read(cols[0]))
             return ()
 
-        def done():
-            if held:
-                each(state, held)
-            return end(state)
-
-        step.end = done
+        step.end = lambda: end(state)
         return step
 
-    return map_rows(docs.select(F.col(text_col).cast("binary")), make, schema)
+    return map_rows(texts.select("numbers"), make, schema)
 
 
-def item_bigrams(docs: DataFrame, text_col: str, core: Core, items: int) -> np.ndarray:
+def item_bigrams(texts: DataFrame, core: Core, items: int) -> np.ndarray:
     """How often one of the first core words follows another, each text standing after an end token; a square matrix of
     at most ITEMS ** 2 cells, whatever the corpus."""
-    sent = docs.sparkSession.sparkContext.broadcast(core)
+    sent = texts.sparkSession.sparkContext.broadcast(core)
     n = min(items, len(core.words))
     stop = core.words.index(END)
 
-    def each(sums, words):
-        own = np.concatenate(([stop], sent.value.places(words)))
+    def each(sums, own):
+        own = np.concatenate(([stop], own))
         a, b = own[:-1], own[1:]
-        both = (a >= 0) & (a < n) & (b >= 0) & (b < n)
+        both = (a < n) & (b < n)
         np.add.at(sums, a[both] * n + b[both], 1)
 
     def end(sums):
         at = np.flatnonzero(sums)
         return zip((at // n).tolist(), (at % n).tolist(), sums[at].tolist())
 
-    cells = _sequences(docs, text_col, lambda: np.zeros(n * n, np.int64), each, end, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
+    cells = _sequences(texts, sent, lambda: np.zeros(n * n, np.int64), each, end, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((n, n))
     out[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["n"].to_numpy()
     return out
@@ -221,18 +261,17 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = SWEEPS)
     return of
 
 
-def neighbours(docs: DataFrame, text_col: str, core: Core) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(texts: DataFrame, core: Core) -> tuple[np.ndarray, np.ndarray]:
     """Of each core word, how often each class stands after it and before it; neighbours without a class don't count.
     Blocks of words are added up where they meet; 2 * CORE * CLASSES numbers come to the driver, whatever the corpus."""
-    sent = docs.sparkSession.sparkContext.broadcast(core)
+    sent = texts.sparkSession.sparkContext.broadcast(core)
     n, k, stop = len(core.words), core.k, core.words.index(END)
     blocks = -(-n // BLOCK)
 
-    def each(sums, words):
-        c = sent.value
-        own = np.concatenate(([stop], c.places(words)))
-        of = np.where(own >= 0, c.of[own], k)
-        here = own >= 0
+    def each(sums, own):
+        own = np.concatenate(([stop], own))
+        of = np.append(sent.value.of, k)[own]
+        here = own < n
         after = here[:-1] & (of[1:] < k)
         np.add.at(sums, (own[:-1][after] * 2) * k + of[1:][after], 1)
         before = here[1:] & (of[:-1] < k)
@@ -243,7 +282,7 @@ def neighbours(docs: DataFrame, text_col: str, core: Core) -> tuple[np.ndarray,
             if len(at := np.flatnonzero(part)):
                 yield i, at.astype(np.int32).tobytes() + part[at].tobytes()
 
-    parts = _sequences(docs, text_col, lambda: np.zeros(blocks * BLOCK * 2 * k, np.int64), each, end, "block int, sums binary")
+    parts = _sequences(texts, sent, lambda: np.zeros(blocks * BLOCK * 2 * k, np.int64), each, end, "block int, sums binary")
 
     def cells(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         some = len(raw) // 12
@@ -320,8 +359,8 @@ class ClassModel:
         self.if_before = np.concatenate((np.log((pairs + 0.5) / (pairs.sum(0, keepdims=True) + 0.5 * k)), none))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> ClassModel:
-    """The model of all rows, classes of rare words aside."""
+def core_of(docs: DataFrame, text_col: str) -> tuple[Core, int, int]:
+    """The most frequent words of all rows, without classes yet, and how many tokens and distinct ones there are."""
     counts = settle(word_counts(docs, text_col))
     top = frequent(counts, "c", CORE, "word").toArrow()
     found = dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
@@ -330,78 +369,133 @@ def train(docs: DataFrame, text_col: str = "text") -> ClassModel:
         found[END] = docs.count()
     unsettle(counts)
     words = sorted(found, key=lambda w: (-found[w], w))
-    core = Core(words, [found[w] for w in words], 1)
-    bigrams = item_bigrams(docs, text_col, core, ITEMS)
-    first = exchange(bigrams)
+    return Core(words, [found[w] for w in words], 1), sums["n"], sums["v"]
+
+
+def train(texts: DataFrame, core: Core, tokens: int, distinct: int) -> ClassModel:
+    """The model of encoded texts, classes of words outside the core aside."""
+    first = exchange(item_bigrams(texts, core, ITEMS))
     core.k = int(first.max()) + 1
-    core.of = np.concatenate((first, np.full(len(words) - len(first), core.k)))
+    core.of = np.concatenate((first, np.full(len(core.words) - len(first), core.k)))
     for _ in range(ROUNDS):
-        after, before = neighbours(docs, text_col, core)
+        after, before = neighbours(texts, core)
         core.of = refine(after, before, core.of, core.k)
-    return ClassModel(core, class_pairs(after, core.of, core.k), sums["n"], sums["v"])
-
+    return ClassModel(core, class_pairs(after, core.of, core.k), tokens, distinct)
 
-def occurrences(rows: DataFrame, model: ClassModel) -> DataFrame:
-    """Of rows (_row, _id, _train, _text) each text (j = -1) with its numbers and the classes of its tokens, a byte each,
-    and each of its words outside the core by its place among these, with the classes beside it."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema["_id"].dataType.simpleString()
-    schema = f"_row long, j int, word binary, before short, after short, train boolean, _id {kind}, n long, known long, logs double, seq binary"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+def occurrences(texts: DataFrame, model: ClassModel) -> DataFrame:
+    """word, before, after, train, g, o: each word outside the core of encoded texts, with the classes beside it, its text's
+    group and its place among the group's words outside."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+    schema = "word binary, before short, after short, train boolean, g long, o int"
+    out = arrow_schema(schema)
 
     def run(batches):
-        m = sent.value
-        core, k = m.core, m.core.k
-        stop = int(core.of[core.words.index(END)])
+        core = sent.value.core
+        n, stop, of = len(core.words), int(core.of[core.words.index(END)]), np.append(core.of, core.k).astype(np.int16)
         for batch in batches:
             for part in slices(batch):
-                ids, numbers, train = part.column(1), part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
-                texts = [words_of(t) for t in part.column(3).to_pylist()]
-                size, flat = part.num_rows, list(chain.from_iterable(texts))
-                ends = np.cumsum(np.fromiter(map(len, texts), np.int64, size))
-                begins = np.concatenate(([0], ends[:-1]))
-                at = core.places(flat)
-                here = at >= 0
-                seq = np.where(here, core.of[at], k).astype(np.uint8)
-                logs = np.add.reduceat(np.where(here, m.logs[at], 0.0), begins)
-                known = np.add.reduceat((here & (core.counts[at] > 0)).astype(np.int64), begins)
-                seqs = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes()), pa.py_buffer(seq.tobytes())])
-                blank = lambda f, size: pa.nulls(size, f.type)
-                own = {"_row": part.column(0), "j": pa.array(np.full(size, -1, np.int32)), "_id": ids, "train": part.column(2), "n": pa.array(ends - begins), "known": pa.array(known), "logs": pa.array(logs), "seq": seqs}
-                yield pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else blank(f, size) for f in out], schema=out)
-                gone = np.flatnonzero(~here)  # never the last of a text, which is the end token
-                row = np.searchsorted(ends, gone, "right")
-                j = np.arange(len(gone)) - np.searchsorted(gone, begins)[row]
-                b, a = np.where(gone > begins[row], seq[gone - 1], stop), seq[np.minimum(gone + 1, len(seq) - 1)]
-                rare = [w if len(w) <= LONG else short(w) for w in map(flat.__getitem__, gone.tolist())]
-                for lo in range(0, len(rare), 50_000):
+                g, train, first = (part.column(x).to_numpy(zero_copy_only=False) for x in range(3))
+                numbers = part.column(3).to_pylist()
+                own = core.read(numbers)
+                ends = np.cumsum(np.fromiter(map(len, numbers), np.int64, len(numbers))) // core.kind.itemsize
+                seq, gone = of[own], np.flatnonzero(own == n)  # never the last of a text, which is the end token
+                if not len(gone):
+                    continue
+                row, upto = np.searchsorted(ends, gone, "right"), np.searchsorted(gone, ends)
+                begin = np.concatenate(([0], ends[:-1]))[row]
+                o = first[row] + np.arange(len(gone)) - np.concatenate(([0], upto[:-1]))[row]
+                before, after = np.where(gone > begin, seq[gone - 1], stop), seq[gone + 1]
+                words = [w if len(w) <= LONG else short(w) for w in b"\n".join(filter(None, part.column(4).to_pylist())).split(b"\n")]
+                for lo in range(0, len(words), 50_000):
                     cut = slice(lo, lo + 50_000)
-                    own = {"_row": pa.array(numbers[row[cut]]), "j": pa.array(j[cut].astype(np.int32)), "word": pa.array(rare[cut], pa.binary()), "before": pa.array(b[cut].astype(np.int16)), "after": pa.array(a[cut].astype(np.int16)), "train": pa.array(train[row[cut]])}
-                    yield pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else blank(f, len(rare[cut])) for f in out], schema=out)
+                    cols = [pa.array(words[cut], pa.binary()), *(pa.array(x[cut]) for x in (before, after, train[row], g[row], o))]
+                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, out)], schema=out)
         release()
 
-    return rows.select("_row", "_id", "_train", "_text").mapInArrow(run, schema)
+    return texts.select("_g", "_train", "first", "numbers", "rare").mapInArrow(run, schema)
+
+
+class Spots:
+    """Occurrences of a word in the order they come: `most` of them in memory, about, the rest in a file."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.size, self.file = most, [], 0, None
+
+    def add(self, spots: np.ndarray) -> None:
+        self.held.append(spots)
+        self.size += len(spots)
+        if self.size > self.most:
+            self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115
+            for x in self.held:
+                self.file.write(x.tobytes())
+            self.held, self.size = [], 0
+
+    def take(self) -> Iterator[np.ndarray]:
+        """All of them, in parts; then there are none."""
+        if self.file:
+            self.file.seek(0)
+            while raw := self.file.read(self.most * SPOT.itemsize):
+                yield np.frombuffer(raw, SPOT)
+            self.file.close()
+        yield from self.held
+        self.__init__(self.most)
 
 
 def rare_classes(rare: DataFrame, model: ClassModel) -> DataFrame:
     """word, class, c of each word of rare (word, before, after, train): its best class by the training texts, and how often
     it stands there. Words that are in none have c = 0 and the class that stands for unknown words. A word's rows come one
-    after another and leave only sums behind."""
+    after another and leave only sums behind. Where rare has g and o, too, rows without a word tell each group g in
+    `places` (PLACE) what was found of its words, those that are in no training text aside."""
     sent = rare.sparkSession.sparkContext.broadcast(model)
+    told = "o" in rare.columns
+    schema = "word binary, class short, c long" + ", g long, places binary" * told
+    out = arrow_schema(schema)
 
     def run(batches):
         m = sent.value
         k = m.core.k
-        last, score, c = None, np.zeros(k), 0
+        last, score, c, spots = None, np.zeros(k), 0, Spots(HELD)
+        found, size = [], 0
 
-        def finish(words, scores, counts):
+        def best_of(words, scores, counts):
             best = scores.argmax(1)
             blind = np.flatnonzero((scores == 0).all(1))
             best[blind] = [zlib.crc32(words[i]) % k for i in blind.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.where(counts > 0, best, k).astype(np.int16)), pa.array(counts)], ["word", "class", "c"])
+            return np.where(counts > 0, best, k)
+
+        def row(**cols):
+            size = len(next(iter(cols.values())))
+            return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in out], schema=out)
+
+        def tell(where, best, counts):
+            nonlocal size
+            some = counts > 0
+            found.append((where["g"][some], where["o"][some], best[some], counts[some]))
+            size += len(found[-1][0])
+            if size > HELD:
+                yield from flush()
+
+        def flush():
+            nonlocal size
+            g, o, best, counts = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            size = 0
+            order = np.argsort(g, kind="stable")
+            g, places = g[order], np.empty(len(g), PLACE)
+            places["o"], places["k"], places["c"] = o[order], best[order], counts[order]
+            for lo in range(0, len(g), 100_000):
+                part = g[lo : lo + 100_000]
+                ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
+                yield row(g=part[ends - 1], places=binaries(places[lo : lo + 100_000], ends))
+
+        def finish():
+            """The last word, whose rows are all there."""
+            best = best_of([last], score[None], np.array([c]))
+            yield row(word=[last], c=[c], **{"class": best})
+            for part in spots.take():
+                if c:
+                    yield from tell(part, best.repeat(len(part)), np.full(len(part), c))
 
         for batch in batches:
             if not batch.num_rows:
@@ -413,77 +507,83 @@ def rare_classes(rare: DataFrame, model: ClassModel) -> DataFrame:
             scores = np.add.reduceat(m.if_before[before] + m.if_after[after], starts)
             counts = np.add.reduceat(train.astype(np.int64), starts)
             names = words.take(pa.array(starts)).to_pylist()
+            where = np.empty(len(train) if told else 0, SPOT)
+            if told:
+                where["g"], where["o"] = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            at = 0  # of the words the first that begins here and isn't the last
             if last == names[0]:
-                scores[0] += score
-                counts[0] += c
-            elif last is not None:
-                yield finish([last], score[None], np.array([c]))
+                score, c, at = score + scores[0], c + int(counts[0]), 1
+                spots.add(where[: starts[1] if len(starts) > 1 else None])
+                if len(names) == 1:
+                    continue
+            if last is not None:
+                yield from finish()
+            if at < len(names) - 1:
+                own = slice(at, -1)
+                best = best_of(names[own], scores[own], counts[own])
+                yield row(word=names[own], c=counts[own], **{"class": best})
+                if told:
+                    each = np.diff(starts)[at:]
+                    yield from tell(where[starts[at] : starts[-1]], best.repeat(each), counts[own].repeat(each))
             last, score, c = names[-1], scores[-1], int(counts[-1])
-            if len(names) > 1:
-                yield finish(names[:-1], scores[:-1], counts[:-1])
+            spots.add(where[starts[-1] :])
         if last is not None:
-            yield finish([last], score[None], np.array([c]))
+            yield from finish()
+        if found:
+            yield from flush()
         release()
 
-    ordered = rare.select("word", "before", "after", "train").repartition("word").sortWithinPartitions("word")
-    return ordered.mapInArrow(run, "word binary, class short, c long")
-
-
-def filled(mapped: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """_id, train, n, known, logs, seq of each text: occurrences() with the classes and counts of all words. Words' hot
-    keys are in the core, so what joins here has none; a text's rows come one after another."""
-    kind = mapped.schema["_id"].dataType.simpleString()
-    found = mapped.filter("j >= 0").select("_row", "j", "word").join(chosen, "word").select("_row", "j", F.col("class").alias("k"), "c")
-    texts = mapped.filter("j < 0").select("_row", "j", "_id", "train", "n", "known", "logs", "seq")
-    both = texts.unionByName(found, allowMissingColumns=True).repartition("_row").sortWithinPartitions("_row", "j")
-
-    schema = f"_id {kind}, train boolean, n long, known long, logs double, seq binary"
+    ordered = rare.select("word", "before", "after", "train", *["g", "o"] * told).repartition("word").sortWithinPartitions("word")
+    return ordered.mapInArrow(run, schema)
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each group (first column), which come one after another."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        g = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                if held and now != g[lo]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                now = g[lo]
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def filled(texts: DataFrame, places: DataFrame, model: ClassModel) -> DataFrame:
+    """_id, train, n, known, logs, seq of each encoded text: its tokens, those known and the sum of log10(count + 1), and its
+    tokens' classes, a byte each. places (g, places) are what rare_classes() tells groups; words that none tells of are
+    unknown. A group's texts are at most a slice."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+    schema = f"_id {texts.schema['_id'].dataType.simpleString()}, train boolean, n long, known long, logs double, seq binary"
+    out = arrow_schema(schema)
+    both = texts.select("_g", "_at", "_id", "_train", "numbers").unionByName(places.select(F.col("g").alias("_g"), "places"), allowMissingColumns=True)
 
     def run(batches):
-        now, classes, counts = None, [], []
-
-        def finish(done: list) -> None:
-            i, train, n, known, logs, seq = now
-            if classes:
-                seq, c = np.frombuffer(seq, np.uint8).copy(), np.concatenate(counts)
-                seq[seq == k] = np.concatenate(classes)
-                known, logs, seq = known + int((c > 0).sum()), logs + float(np.log10(c + 1.0).sum()), seq.tobytes()
-            done.append((i, train, n, known, logs, seq))
-
-        def packed(done: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*done), out)], schema=out)
-
-        for batch in batches:
-            j, done, size = batch.column(1).to_numpy(), [], 0
-            heads = np.flatnonzero(j < 0)
-            texts = zip(*(batch.column(x).take(pa.array(heads)).to_pylist() for x in range(2, 8)))
-            own, c = (batch.column(x).fill_null(0).to_numpy() for x in (8, 9))
-            at = 0
-            for h in [*heads.tolist(), len(j)]:
-                if h > at:
-                    classes.append(own[at:h])
-                    counts.append(c[at:h])
-                if h < len(j):
-                    if now is not None:
-                        finish(done)
-                        size += len(now[5])
-                        if size > BATCH:
-                            yield packed(done)
-                            done, size = [], 0
-                    now, classes, counts = next(texts), [], []
-                at = h + 1
-            if done:
-                yield packed(done)
-        if now is not None:
-            finish(done := [])
-            yield packed(done)
+        m = sent.value
+        core = m.core
+        n, k = len(core.words), core.k
+        of, logs, count = np.append(core.of, k).astype(np.uint8), np.append(m.logs, 0.0), np.append(core.counts, 0)
+        for group in groups(batches):
+            rows = group.filter(pc.is_valid(group["numbers"]))
+            numbers = rows["numbers"].to_pylist()
+            own = core.read(numbers)
+            ends = np.cumsum(np.fromiter(map(len, numbers), np.int64, len(numbers))) // core.kind.itemsize
+            begins = np.concatenate(([0], ends[:-1]))
+            seq, log, known, gone = of[own], logs[own], count[own] > 0, np.flatnonzero(own == n)
+            at = np.frombuffer(b"".join(group["places"].drop_null().to_pylist()), PLACE)
+            where = gone[at["o"]]
+            seq[where], log[where], known[where] = at["k"], np.log10(at["c"] + 1.0), True
+            cols = [rows["_id"].combine_chunks(), rows["_train"].combine_chunks(), pa.array(ends - begins), pa.array(np.add.reduceat(known, begins, dtype=np.int64)), pa.array(np.add.reduceat(log, begins)), binaries(seq, ends)]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, out)], schema=out)
         release()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    out = to_arrow_schema(StructType.fromDDL(schema))
-    return both.select("_row", "j", "_id", "train", "n", "known", "logs", "seq", "k", "c").mapInArrow(run, schema)
+    return both.repartition("_g").sortWithinPartitions("_g", "_at").select("_g", "_id", "_train", "numbers", "places").mapInArrow(run, schema)
 
 
 def moves(whole: DataFrame, stop: int, size: int) -> np.ndarray:
@@ -527,13 +627,15 @@ class Scored:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         held = is_held_out(F.col(id_col))
-        self.model = m = train(docs.filter(~held), text_col)
-        self.k = k = m.core.k
+        core, tokens, distinct = core_of(docs.filter(~held), text_col)
         rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), (~held).alias("_train"), F.col(text_col).cast("binary").alias("_text"))
-        mapped = settle(occurrences(rows, m))
-        self.chosen = settle(rare_classes(mapped.filter("j >= 0"), m))
-        self.whole = settle(filled(mapped, self.chosen, k))
-        unsettle(mapped)
+        texts = settle(encoded(rows, core))
+        self.model = m = train(texts.filter("_train"), core, tokens, distinct)
+        self.k = k = m.core.k
+        found = settle(rare_classes(occurrences(texts, m), m))
+        self.whole = settle(filled(texts, found.filter("word is null"), m))
+        self.chosen = found.filter("word is not null").select("word", "class", "c")
+        unsettle(texts)
         self.counts, self.kinds = np.zeros(k), np.zeros(k)
         np.add.at(self.counts, m.core.of, m.core.counts)
         np.add.at(self.kinds, m.core.of, (m.core.counts > 0).astype(float))

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import tracemalloc
+import uuid
 import zlib
 
 import duckdb
@@ -807,6 +808,61 @@ def test_rare_words_take_the_best_class(spark, monkeypatch):
         assert got[w][1] == len(own) and abs(max(best) - best[got[w][0]]) < 1e-9
 
 
+def test_class_lm_reads_texts_twice(spark, docs, tmp_path):
+    some = docs.filter("doc_id < 60").select("doc_id", "text")
+    n = some.count()
+
+    def seen(batches):
+        for b in batches:
+            (tmp_path / uuid.uuid4().hex).write_text(str(b.num_rows))
+            yield b
+
+    s = classlm.Scored(some.mapInArrow(seen, some.schema), "doc_id", "text")
+    assert s.whole.count() == n and sum(int(p.read_text()) for p in tmp_path.iterdir()) <= 2 * n
+
+
+def test_encoded_texts_hold_all_words(spark):
+    texts = ["A b\x0bzz", None, "x" * 70 + " a\n\n" + "y" * 70, "", "b q B"]
+    core = classlm.Core([b"a", classlm.END, b"b", classlm.short(b"y" * 70)], [3, 3, 2, 1], 1)
+    df = spark.createDataFrame([(k, k * 10, k != 1, None if t is None else bytearray(t.encode())) for k, t in enumerate(texts)], "_row long, _id long, _train boolean, _text binary").coalesce(1)
+    rows = sorted(classlm.encoded(df, core).collect(), key=lambda r: r["_at"])
+    assert [core.read([bytes(r["numbers"])]).tolist() for r in rows] == [[0, 2, 4, 1], [1], [4, 0, 3, 1], [1], [2, 4, 2, 1]]
+    assert [bytes(r["rare"]) for r in rows] == [b"zz", b"", b"x" * 70, b"", b"q"] and [r["first"] for r in rows] == [0, 1, 1, 2, 2]
+    assert [r["_id"] for r in rows] == [0, 10, 20, 30, 40] and len({r["_g"] for r in rows}) == 1 and not rows[1]["_train"]
+    big = classlm.Core([b"%d" % k for k in range(65_536)], [1] * 65_536, 1)
+    assert big.kind.itemsize == 4 and classlm.Core(big.words[:-1], [1] * 65_535, 1).kind.itemsize == 2
+
+
+def test_groups_are_told_their_words(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "HELD", 20)  # one word's rows go by a file
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = spark.conf.get(key)
+    rng = np.random.default_rng(5)
+    core = classlm.Core([b"x"], [5], 6)
+    core.of[:] = 0
+    model = classlm.ClassModel(core, rng.integers(0, 50, (6, 6)).astype(float), 100, 10)
+    rows = [(bytearray(b"hot" if w > 40 else b"w%d" % w), int(b), int(a), bool(t and w), i % 9, i // 9) for i, (w, b, a, t) in enumerate(rng.integers(0, (80, 7, 7, 4), (700, 4)))]
+    df = spark.createDataFrame(rows, "word binary, before short, after short, train boolean, g long, o int")
+    plain = {bytes(r["word"]): (r["class"], r["c"]) for r in classlm.rare_classes(df.drop("g", "o"), model).collect()}
+    spark.conf.set(key, "13")
+    try:
+        out = classlm.rare_classes(df, model).collect()
+    finally:
+        spark.conf.set(key, most)
+    assert {bytes(r["word"]): (r["class"], r["c"]) for r in out if r["word"] is not None} == plain and plain[b"w0"] == (6, 0)
+    told = [(r["g"], *p) for r in out if r["word"] is None for p in np.frombuffer(bytes(r["places"]), classlm.PLACE).tolist()]
+    assert sorted(told) == sorted((g, o, *plain[bytes(w)]) for w, _, _, _, g, o in rows if plain[bytes(w)][1])
+
+
+def test_spots_past_the_bound_go_to_a_file():
+    spots, want = classlm.Spots(10), np.zeros(47, classlm.SPOT)
+    want["g"], want["o"] = np.arange(47) * 3, np.arange(47)
+    for at in range(0, 47, 4):
+        spots.add(want[at : at + 4])
+        assert spots.size <= 10
+    assert spots.file and np.concatenate(list(spots.take())).tolist() == want.tolist() and not list(spots.take())
+
+
 def test_refining_finds_classes():
     rng = np.random.default_rng(1)
     kind = rng.integers(0, 3, 600)
