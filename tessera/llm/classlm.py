@@ -51,8 +51,9 @@ BLOCK = 256
 #: The end token, which no word can be.
 END = b"\n"
 #: An occurrence of a word outside the core: the group of its text and its place among the group's words outside; and what
-#: comes back to the group: its class there, and how often the word stands in training texts.
+#: comes back to the group: its class there, and how often the word stands in training texts; small where both numbers are.
 SPOT, PLACE = np.dtype([("g", "<i8"), ("o", "<i4")]), np.dtype([("o", "<i4"), ("k", "u1"), ("c", "<i8")])
+SMALL = np.dtype([("o", "<u2"), ("k", "u1"), ("c", "<u2")])
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -445,11 +446,11 @@ class Spots:
 def rare_classes(rare: DataFrame, model: ClassModel) -> DataFrame:
     """word, class, c of each word of rare (word, before, after, train): its best class by the training texts, and how often
     it stands there. Words that are in none have c = 0 and the class that stands for unknown words. A word's rows come one
-    after another and leave only sums behind. Where rare has g and o, too, rows without a word tell each group g in
-    `places` (PLACE) what was found of its words, those that are in no training text aside."""
+    after another and leave only sums behind. Where rare has g and o, too, rows without a word tell each group g in `small`
+    (SMALL) and `places` (PLACE) what was found of its words, those that are in no training text aside."""
     sent = rare.sparkSession.sparkContext.broadcast(model)
     told = "o" in rare.columns
-    schema = "word binary, class short, c long" + ", g long, places binary" * told
+    schema = "word binary, class short, c long" + ", g long, small binary, places binary" * told
     out = arrow_schema(schema)
 
     def run(batches):
@@ -481,13 +482,14 @@ def rare_classes(rare: DataFrame, model: ClassModel) -> DataFrame:
             g, o, best, counts = (np.concatenate(x) for x in zip(*found))
             found.clear()
             size = 0
-            order = np.argsort(g, kind="stable")
-            g, places = g[order], np.empty(len(g), PLACE)
-            places["o"], places["k"], places["c"] = o[order], best[order], counts[order]
-            for lo in range(0, len(g), 100_000):
-                part = g[lo : lo + 100_000]
-                ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
-                yield row(g=part[ends - 1], places=binaries(places[lo : lo + 100_000], ends))
+            order, little = np.argsort(g, kind="stable"), (o < 65_536) & (counts < 65_536)
+            for name, kind, some in (("small", SMALL, order[little[order]]), ("places", PLACE, order[~little[order]])):
+                places = np.empty(len(some), kind)
+                places["o"], places["k"], places["c"] = o[some], best[some], counts[some]
+                for lo in range(0, len(some), 100_000):
+                    part = g[some[lo : lo + 100_000]]
+                    ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
+                    yield row(g=part[ends - 1], **{name: binaries(places[lo : lo + 100_000], ends)})
 
         def finish():
             """The last word, whose rows are all there."""
@@ -500,16 +502,17 @@ def rare_classes(rare: DataFrame, model: ClassModel) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, train = batch.column(0), batch.column(3).to_numpy(zero_copy_only=False)
+            words, code = batch.column(0), batch.column(1).to_numpy()
+            train = (code >> 16 & 1).astype(bool)
             new = np.concatenate(([True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
             starts = np.flatnonzero(new)
-            before, after = (np.where(train, batch.column(x).to_numpy(), k) for x in (1, 2))
+            before, after = (np.where(train, code >> x & 255, k) for x in (8, 0))
             scores = np.add.reduceat(m.if_before[before] + m.if_after[after], starts)
             counts = np.add.reduceat(train.astype(np.int64), starts)
             names = words.take(pa.array(starts)).to_pylist()
             where = np.empty(len(train) if told else 0, SPOT)
             if told:
-                where["g"], where["o"] = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+                where["g"], where["o"] = batch.column(2).to_numpy(), code >> 17
             at = 0  # of the words the first that begins here and isn't the last
             if last == names[0]:
                 score, c, at = score + scores[0], c + int(counts[0]), 1
@@ -533,7 +536,9 @@ def rare_classes(rare: DataFrame, model: ClassModel) -> DataFrame:
             yield from flush()
         release()
 
-    ordered = rare.select("word", "before", "after", "train", *["g", "o"] * told).repartition("word").sortWithinPartitions("word")
+    # o, train, before and after as one number: a row for each occurrence is what shuffles most.
+    code = (((F.col("o") if told else F.lit(0)).cast("long") * 2 + F.col("train").cast("int")) * 256 + F.col("before")) * 256 + F.col("after")
+    ordered = rare.select("word", code.alias("code"), *["g"] * told).repartition("word").sortWithinPartitions("word")
     return ordered.mapInArrow(run, schema)
 
 
@@ -555,35 +560,56 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def filled(texts: DataFrame, places: DataFrame, model: ClassModel) -> DataFrame:
-    """_id, train, n, known, logs, seq of each encoded text: its tokens, those known and the sum of log10(count + 1), and its
-    tokens' classes, a byte each. places (g, places) are what rare_classes() tells groups; words that none tells of are
-    unknown. A group's texts are at most a slice."""
+def classed(texts: DataFrame, model: ClassModel) -> DataFrame:
+    """Encoded texts with their tokens' classes, a byte each (seq), how many tokens there are, those known and the sum of
+    log10(count + 1): as the core alone has it, words outside are unknown."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
-    schema = f"_id {texts.schema['_id'].dataType.simpleString()}, train boolean, n long, known long, logs double, seq binary"
+    schema = f"_g long, _at int, _id {texts.schema['_id'].dataType.simpleString()}, train boolean, n long, known long, logs double, seq binary"
     out = arrow_schema(schema)
-    both = texts.select("_g", "_at", "_id", "_train", "numbers").unionByName(places.select(F.col("g").alias("_g"), "places"), allowMissingColumns=True)
 
     def run(batches):
         m = sent.value
         core = m.core
-        n, k = len(core.words), core.k
-        of, logs, count = np.append(core.of, k).astype(np.uint8), np.append(m.logs, 0.0), np.append(core.counts, 0)
+        of, logs, is_known = np.append(core.of, core.k).astype(np.uint8), np.append(m.logs, 0.0), np.append(core.counts > 0, False)
+        for batch in batches:
+            for part in slices(batch):
+                numbers = part.column(4).to_pylist()
+                own = core.read(numbers)
+                ends = np.cumsum(np.fromiter(map(len, numbers), np.int64, len(numbers))) // core.kind.itemsize
+                begins = np.concatenate(([0], ends[:-1]))
+                cols = [*part.columns[:4], pa.array(ends - begins), pa.array(np.add.reduceat(is_known[own], begins, dtype=np.int64)), pa.array(np.add.reduceat(logs[own], begins)), binaries(of[own], ends)]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, out)], schema=out)
+        release()
+
+    return texts.select("_g", "_at", "_id", "_train", "numbers").mapInArrow(run, schema)
+
+
+def filled(texts: DataFrame, places: DataFrame, model: ClassModel) -> DataFrame:
+    """_id, train, n, known, logs, seq of each encoded text: classed() with what is known of all words. places (g, small,
+    places) are what rare_classes() tells groups; words that none tells of are unknown. A group's texts are at most a slice."""
+    k, names = model.core.k, ["_id", "train", "n", "known", "logs", "seq"]
+    both = classed(texts, model).unionByName(places.select(F.col("g").alias("_g"), "small", "places"), allowMissingColumns=True)
+    schema = f"_id {texts.schema['_id'].dataType.simpleString()}, train boolean, n long, known long, logs double, seq binary"
+    out = arrow_schema(schema)
+
+    def run(batches):
         for group in groups(batches):
-            rows = group.filter(pc.is_valid(group["numbers"]))
-            numbers = rows["numbers"].to_pylist()
-            own = core.read(numbers)
-            ends = np.cumsum(np.fromiter(map(len, numbers), np.int64, len(numbers))) // core.kind.itemsize
-            begins = np.concatenate(([0], ends[:-1]))
-            seq, log, known, gone = of[own], logs[own], count[own] > 0, np.flatnonzero(own == n)
-            at = np.frombuffer(b"".join(group["places"].drop_null().to_pylist()), PLACE)
-            where = gone[at["o"]]
-            seq[where], log[where], known[where] = at["k"], np.log10(at["c"] + 1.0), True
-            cols = [rows["_id"].combine_chunks(), rows["_train"].combine_chunks(), pa.array(ends - begins), pa.array(np.add.reduceat(known, begins, dtype=np.int64)), pa.array(np.add.reduceat(log, begins)), binaries(seq, ends)]
-            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, out)], schema=out)
+            rows = group.filter(pc.is_valid(group["seq"])).combine_chunks()
+            n, known, logs = (rows[x].to_numpy() for x in ("n", "known", "logs"))
+            ends, seq = np.cumsum(n), np.frombuffer(b"".join(rows["seq"].to_pylist()), np.uint8).copy()
+            gone = np.flatnonzero(seq == k)
+            row = np.searchsorted(ends, gone, "right")
+            for name, kind in (("small", SMALL), ("places", PLACE)):
+                at = np.frombuffer(b"".join(group[name].drop_null().to_pylist()), kind)
+                o = at["o"]
+                seq[gone[o]] = at["k"]
+                known = known + np.bincount(row[o], minlength=len(n))
+                logs = logs + np.bincount(row[o], np.log10(at["c"] + 1.0), len(n))
+            cols = {"_id": rows["_id"], "train": rows["train"], "n": rows["n"], "known": pa.array(known), "logs": pa.array(logs), "seq": binaries(seq, ends)}
+            yield pa.Table.from_pydict(cols).cast(out).combine_chunks().to_batches()[0]
         release()
 
-    return both.repartition("_g").sortWithinPartitions("_g", "_at").select("_g", "_id", "_train", "numbers", "places").mapInArrow(run, schema)
+    return both.repartition("_g").sortWithinPartitions("_g", "_at").select("_g", *names, "small", "places").mapInArrow(run, schema)
 
 
 def moves(whole: DataFrame, stop: int, size: int) -> np.ndarray:

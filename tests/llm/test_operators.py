@@ -841,7 +841,7 @@ def test_groups_are_told_their_words(spark, monkeypatch):
     core = classlm.Core([b"x"], [5], 6)
     core.of[:] = 0
     model = classlm.ClassModel(core, rng.integers(0, 50, (6, 6)).astype(float), 100, 10)
-    rows = [(bytearray(b"hot" if w > 40 else b"w%d" % w), int(b), int(a), bool(t and w), i % 9, i // 9) for i, (w, b, a, t) in enumerate(rng.integers(0, (80, 7, 7, 4), (700, 4)))]
+    rows = [(bytearray(b"hot" if w > 40 else b"w%d" % w), int(b), int(a), bool(t and w), i % 9, i // 9 * 1_000) for i, (w, b, a, t) in enumerate(rng.integers(0, (80, 7, 7, 4), (700, 4)))]
     df = spark.createDataFrame(rows, "word binary, before short, after short, train boolean, g long, o int")
     plain = {bytes(r["word"]): (r["class"], r["c"]) for r in classlm.rare_classes(df.drop("g", "o"), model).collect()}
     spark.conf.set(key, "13")
@@ -850,7 +850,8 @@ def test_groups_are_told_their_words(spark, monkeypatch):
     finally:
         spark.conf.set(key, most)
     assert {bytes(r["word"]): (r["class"], r["c"]) for r in out if r["word"] is not None} == plain and plain[b"w0"] == (6, 0)
-    told = [(r["g"], *p) for r in out if r["word"] is None for p in np.frombuffer(bytes(r["places"]), classlm.PLACE).tolist()]
+    told = [(r["g"], *p) for r in out if r["word"] is None for name, kind in (("small", classlm.SMALL), ("places", classlm.PLACE)) if r[name] for p in np.frombuffer(bytes(r[name]), kind).tolist()]
+    assert any(r["places"] for r in out) and any(r["small"] for r in out)
     assert sorted(told) == sorted((g, o, *plain[bytes(w)]) for w, _, _, _, g, o in rows if plain[bytes(w)][1])
 
 
