@@ -8,7 +8,11 @@ bitfield and never tried again, so the walk is linear in the text.
 
 Where the vocabulary proves that no piece crosses a boundary (before a space run, or around a newline that is
 in no piece), the text is cut there first and the parts' encodings are kept in a bounded memo. If a vocabulary
-doesn't prove it, the whole text is one part.
+doesn't prove it, the whole text is one part. The signs that a new part ends in are taken off first, where no
+piece has the last letter and the first sign side by side, so words before full stops and commas are looked up.
+
+Of the matches only the longest at a position is looked up; the shorter ones there are the pieces it starts with. In parts
+of up to WINDOW characters the automaton gives them leftmost and longest, and starts anew where a shorter one was taken.
 
 Memory: a text is cut into segments of about SEGMENT characters at such boundaries, and a longer part without one is
 walked over matches of WINDOW characters at a time. What grows with a text is its ids, 4 bytes each, and a bit a
@@ -28,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_schema, map_rows, table
 
 SPACE = "▁"
-#: Parts of a text kept by each Python worker with their ids; the memo starts anew beyond that. About 50 MB.
-MEMO = 200_000
+#: Parts of a text kept by each Python worker with their ids, and as many of those before them. About 50 MB in all.
+MEMO = 100_000
+#: Signs that parts end in, kept with their ids; these start anew beyond that. A few MB.
+ENDS = 20_000
 #: Longer parts are never kept.
 MEMO_CHARS = 48
 #: Places for pairs of pieces whose compatibility a worker remembers, 8 bytes each: a prime. A pair takes the place of
@@ -38,23 +44,23 @@ PAIRS = 1_048_573
 #: Characters of a text that are cut into parts at a time.
 SEGMENT = 262_144
 #: Characters of a part for which matches are held at a time, and how many such windows: a way back beyond them finds its
-#: matches anew.
-WINDOW, WINDOWS = 16_384, 4
+#: matches anew. The automaton copies a shorter part each time it starts on it.
+WINDOW, WINDOWS = 1_024, 4
 
 
 class _Matches:
-    """The pieces that start at each position of a text: its character, then the automaton's matches, the longest last."""
+    """The longest piece that starts at each position of a text."""
 
     def __init__(self, model: PieceModel, text: str):
         self.model, self.text, self.held = model, text, {}
 
-    def __getitem__(self, at: int) -> list[int]:
+    def __getitem__(self, at: int) -> int:
         k = at // WINDOW
         own = self.held.get(k)
         if own is None:
             if len(self.held) >= WINDOWS:
                 del self.held[min(self.held)]
-            own = self.held[k] = self.model.matches(self.text[k * WINDOW : (k + 1) * WINDOW + self.model.longest], WINDOW)
+            own = self.held[k] = self.model.matches(self.text[k * WINDOW : (k + 1) * WINDOW + self.model.longest])
         return own[at - k * WINDOW]
 
 
@@ -88,6 +94,8 @@ class PieceModel:
         self.split: dict[int, tuple[int, int]] = {}
         self.pair: dict[tuple[int, int], int] = {}
         for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.automaton.add_word(piece, i)
             last: list[tuple[int, int]] = []
             if len(piece) > 1 and self.merge(piece, last) == [i]:  # else merging never makes this piece
                 self.automaton.add_word(piece, i)
@@ -102,12 +110,20 @@ class PieceModel:
             if i not in self.tied and any(x in self.split and self.rank[x] >= self.rank[i] for x in (a, b)):
                 self.tied.add(i)
         self.longest = max(map(len, self.ids), default=1)
+        # Of each piece the longest other one that it starts with: what else matches where it does. -1: none.
+        matched = {p: i for p, i in self.ids.items() if len(p) == 1 or i in self.split}
+        self.shorter = [-1] * len(self.pieces)
+        for piece, i in matched.items():
+            self.shorter[i] = next((matched[own] for k in range(len(piece) - 1, 0, -1) if (own := piece[:k]) in matched), -1)
         self.cuts_spaces = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.cuts_lines = all("\n" not in p for p in self.ids)
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}  # pairs of characters within pieces
+        self.signs = "".join(p for p in self.ids if len(p) == 1 and not p.isalnum() and p != SPACE)
         self.cuts_all = self.prefix and self.cuts_spaces and self.cuts_lines and SPACE in self.ids
-        self.fits = array("q", [-1]) * PAIRS  # twice the pair's number, and 1 if compatible
+        self.fits = array("q", [-1]) * PAIRS  # the number of a compatible pair, -2 less that of another; -1: none yet
         self.memo = _Memo(self)
         self.known = frozenset(p for p in self.ids if len(p) == 1)
+        self.names = list(map(str, range(len(self.pieces))))
         self.text_of = {str(i): p.replace(SPACE, " ") for p, i in self.ids.items()}
         self.text_of |= {str(i): "" for i, t in enumerate(self.types) if t == 3}
         # A byte below 128 is a whole character wherever it stands.
@@ -131,9 +147,9 @@ class PieceModel:
         pair = a * len(self.pieces) + b
         at = pair % len(self.fits)
         known = self.fits[at]
-        if known >> 1 != pair:
-            known = self.fits[at] = pair * 2 + self._compatible(a, b)
-        return known & 1 == 1
+        if known != pair and known != -2 - pair:
+            known = self.fits[at] = pair if self._compatible(a, b) else -2 - pair
+        return known == pair
 
     def _compatible(self, a: int, b: int) -> bool:
         if a in self.tied or b in self.tied:
@@ -181,48 +197,54 @@ class PieceModel:
             at = to
         return out
 
-    def matches(self, text: str, starts: int) -> list[list[int]]:
-        """The pieces that start at each of the first positions. Ends ascend, so the longest comes last."""
-        known, size = self.ids, self.size
-        found = [[known[c]] for c in text[:starts]]
+    def matches(self, text: str) -> list[int]:
+        """The longest piece that starts at each position. Ends ascend, so it comes last."""
+        size, found = self.size, [-1] * len(text)
         for end, i in self.automaton.iter(text):
-            at = end - size[i] + 1
-            if at < starts:
-                found[at].append(i)
+            found[end - size[i] + 1] = i
         return found
 
     def _backtrack(self, text: str) -> list[int] | array:
-        size, fits, n = self.size, self.fits, len(text)
-        many, places = len(self.pieces), len(fits)
-        whole = n <= WINDOW
-        found = self.matches(text, n) if whole else _Matches(self, text)
-        failed, any_failed = bytearray(n // 8 + 1), False  # bit p: no way on from position p
-        # starts and tries: of each piece, where it starts and how many matches there are still untried.
-        ids, starts, tries = ([], [], []) if whole else (array("i"), array("q"), array("i"))
-        at, left = 0, len(found[0])
-        while at < n:
-            options, last = found[at], ids[-1] if ids else None
-            while left:
-                left -= 1
-                i = options[left]
-                to = at + size[i]
-                if any_failed and failed[to >> 3] >> (to & 7) & 1:
+        size, shorter, fits, n = self.size, self.shorter, self.fits, len(text)
+        many, places, longest = len(self.pieces), len(fits), self.automaton.iter_long
+        failed, any_failed = None, False  # bit p: no way on from position p
+        # i: the longest piece not yet tried at this position. next_at: where the automaton's next match starts.
+        if n <= WINDOW:
+            found, ids, run = None, [], longest(text)
+            end, i = next(run)
+            next_at = end + 1
+        else:
+            found, ids, next_at = _Matches(self, text), array("i"), -1
+            i = found[0]
+        at, last = 0, -1
+        while True:
+            while i >= 0:
+                if last < 0 or (fit := fits[(pair := last * many + i) % places]) == pair or fit != -2 - pair and self.compatible(last, i):
+                    to = at + size[i]
+                    if not any_failed or not failed[to >> 3] >> (to & 7) & 1:
+                        break
+                i = shorter[i]
+            if i >= 0:
+                ids.append(i)
+                if to == n:
+                    return ids
+                at, last = to, i
+                if found is not None:
+                    i = found[to]
                     continue
-                if last is None or (fit & 1 if (fit := fits[(pair := last * many + i) % places]) >> 1 == pair else self.compatible(last, i)):
-                    ids.append(i)
-                    starts.append(at)
-                    tries.append(left)
-                    at = to
-                    left = len(found[at]) if at < n else 0
-                    break
+                if to != next_at:
+                    run = longest(text, to)
+                end, i = next(run)
+                next_at = end + 1
             else:
                 if not ids:
                     raise ValueError("the vocabulary can't encode this text")
+                if not any_failed:
+                    failed, any_failed = bytearray(n // 8 + 1), True
                 failed[at >> 3] |= 1 << (at & 7)
-                any_failed = True
-                ids.pop()
-                at, left = starts.pop(), tries.pop()
-        return ids
+                i = ids.pop()
+                at -= size[i]
+                i, last = shorter[i], ids[-1] if ids else -1
 
     def segments(self, text: str) -> Iterator[str]:
         """The text in segments whose parts() are those of the whole: a segment ends before a single space between two
@@ -264,7 +286,7 @@ class PieceModel:
             return self._plain((" " if self.prefix else "") + key)
         if key[:1] == "\n":
             return [*self.encode_part("\n"), *self._plain(key[1:])]
-        return self._plain(" " + key)
+        return self.encode_part(SPACE + key.replace(" ", SPACE))
 
     def _plain(self, text: str) -> list[int]:
         return self.encode_part(text.replace(" ", SPACE)) if text else []
@@ -313,19 +335,43 @@ class PieceModel:
 
 
 class _Memo(dict):
-    """Part -> its ids as a string. Bounded: it starts anew when it is full."""
+    """Part -> its ids as a string. Bounded: when it is full it starts anew, but what was in it is still looked up once
+    more, so frequent parts stay."""
 
     def __init__(self, model: PieceModel):
-        self.model = model
+        self.model, self.before, self.ends = model, {}, {}
 
     def __missing__(self, key: str) -> str:
-        ids = " ".join(map(str, self.model.encode_key(key)))
-        if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = ids
+        if len(key) > MEMO_CHARS:
+            return self.named(self.model.encode_key(key))
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.found(key)
+        if len(self) >= MEMO:
+            self.before = dict(self)
+            self.clear()
+        self[key] = ids
         return ids
 
+    def named(self, ids: list[int]) -> str:
+        names = self.model.names
+        return " ".join([names[i] for i in ids])
+
+    def found(self, key: str) -> str:
+        """The ids of a part: those of the part without the signs it ends in and of these, or of the whole."""
+        model, ends = self.model, self.ends
+        stem = key.rstrip(model.signs)
+        n = len(stem)
+        if not 0 < n < len(key) or not stem[-1].isalnum() or key[n - 1 : n + 1] in model.joined or not model.cuts_all:
+            return self.named(model.encode_key(key))
+        end = key[n:]
+        ids = ends.get(end)
+        if ids is None:
+            if len(ends) >= ENDS:
+                ends.clear()
+            ids = ends[end] = self.named(model.encode_part(end))
+        return f"{self[stem]} {ids}"
+
 
 def _utf8(raw: bytes) -> str:
     """One U+FFFD for each byte that isn't part of a character."""

@@ -99,6 +99,46 @@ def test_remembered_pairs_are_small_and_right(sp, monkeypatch):
         tracemalloc.stop()
 
 
+def test_words_are_walked_once(sp, monkeypatch):
+    """Signs after a word are no new word, and frequent words stay when the memo starts anew."""
+    monkeypatch.setattr(pieces, "MEMO", 50)
+    m, walked = pieces.PieceModel(default_model()), []
+    part = m.encode_part
+    m.encode_part = lambda text: walked.append(text) or part(text)
+    texts = [f"qoulaouea, x{k}w qoulaouea. \nqoulaouea; qoulaouea&&& qoulaouea" for k in range(200)]
+    assert [m.encode(t) for t in texts] == [sp.encode(t) for t in texts]
+    assert walked.count("▁qoulaouea") == 1 and not any(w.startswith("▁qoulaouea") for w in set(walked) - {"▁qoulaouea"})
+    assert len(m.memo) + len(m.memo.before) <= 100
+
+
+def test_longest_and_shorter_are_all_matches(sp):
+    m, rng = model(default_model()), random.Random(17)
+    known = {p: i for p, i in m.ids.items() if len(p) == 1 or i in m.split}
+    for _ in range(300):
+        s = "".join(rng.choice(list(known)) for _ in range(6))
+        found = m.matches(s)
+        for at in range(len(s)):
+            assert [i for end, i in [next(m.automaton.iter_long(s, at))]] == [found[at]]
+            own, i = [], found[at]
+            while i >= 0:
+                own.append(i)
+                i = m.shorter[i]
+            assert own == [known[s[at:to]] for to in range(len(s), at, -1) if s[at:to] in known]
+
+
+def test_signs_after_words_and_parts_about_a_window(sp, monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO", 30)
+    monkeypatch.setattr(pieces, "ENDS", 3)
+    m, rng = pieces.PieceModel(default_model()), random.Random(19)
+    signs = [*m.signs, "日.", "▁", " ", "\n", "\t", "e.g.", "()", "..."]
+    for k in range(3000):
+        s = "".join(rng.choice(["the", "ou", "x9", "É", "日", " "]) + "".join(rng.choice(signs) for _ in range(rng.randint(0, 3))) for _ in range(8))
+        assert m.encode(s) == sp.encode(s), s
+    for n in (pieces.WINDOW - 2, pieces.WINDOW - 1, pieces.WINDOW, pieces.WINDOW + 1, 5 * pieces.WINDOW):
+        s = "".join(rng.choice("abdeinorstu=") for _ in range(n))
+        assert m.encode(s) == sp.encode(s)
+
+
 def test_ids_leave_as_they_lie(spark, monkeypatch):
     """Whole Arrow batches of a slice's rows, not rows that wait for others."""
     made = []
